@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import bpe, license_scan, quality, url_filter
+from turnwise.llm import bpe, html_extract, language_id, license_scan, quality, url_filter
 from turnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs), spans=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
@@ -31,11 +36,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 
 #: What SQL cannot express (tokenizer ids, fitted models, fuzzy matches) has none and is tested in tests/llm.
