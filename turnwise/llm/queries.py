@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import bpe, html_extract, language_id, license_scan, quality, url_filter
-from turnwise.llm.common import table
+from turnwise.llm import bpe, html_extract, language_id, license_scan, quality, url_filter, warc
+from turnwise.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False).drop("round_trip")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch(spark, "warc")
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), uri), uri, payloads=False).drop("url")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -42,6 +47,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
@@ -49,5 +55,15 @@ QUERIES: dict[str, Query] = {
     "op10_html_extract": op10_html_extract,
 }
 
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
 #: What SQL cannot express (tokenizer ids, fitted models, fuzzy matches) has none and is tested in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2}
