@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import bpe, html_extract, language_id, license_scan, quality, simhash, url_filter, warc
+from turnwise.llm import bpe, decontaminate, html_extract, language_id, license_scan, quality, simhash, url_filter, warc
 from turnwise.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
 }
