@@ -32,18 +32,24 @@ RADIUS = 4
 ASCII_LOWER = bytes(b + 32 if chr(b) in UPPER else b for b in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> tuple[list[bytes], np.ndarray]:
+    """The text's words and the hash of each shingle, repeats included; fewer words are one shingle, none have none."""
     import xxhash
 
     words = text.translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return words, np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    last = max(len(words) - shingle, 0)
+    n = max(len(words) - shingle, 0) + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[: last + 1].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)), np.uint64, last + 1)
+    places = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return words, np.fromiter((digest(line[a:b], SEED) for a, b in places), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; zero for none."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -51,6 +57,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * set_bits > len(hashes)).tolist())
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle)[1])
+
+
 def masks(radius: int = RADIUS, bits: int = 64, seed: int = 20_250_101) -> list[int]:
     """2 ** (radius + 1) - 1 masks. The vectors are dealt evenly, so that all masks keep about half of the places."""
     size = 1 << (radius + 1)
@@ -63,13 +73,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (a signed long) of each document; keep names further columns to carry."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = pa.array([signed(fingerprint(t)) for t in as_bytes(batch.column("text"))], pa.int64())
+            fps = pa.array([signed(fingerprint(t, shingle)) for t in as_bytes(batch.column("text"))], pa.int64())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *(batch.column(k) for k in keep)], ["doc_id", "fp", *keep])
 
         return step
@@ -77,32 +87,47 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return map_texts(source, make, "doc_id long, fp long" + "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep))
 
 
-def cluster(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (places in fps) that connect what is within the radius, one for each member after the first."""
-    left, edges = np.arange(len(fps)), []
+def cluster(n: int, near) -> list[tuple[int, int]]:
+    """Edges that connect what near links, one for each member after the first; near(places, place) -> bools."""
+    left, edges = np.arange(n), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-            if near.any():
-                queue += left[near].tolist()
-                edges += [(int(at), int(x)) for x in left[near]]
-                left = left[~near]
+            hit = near(left, at)
+            if hit.any():
+                queue += left[hit].tolist()
+                edges += [(int(at), int(x)) for x in left[hit]]
+                left = left[~hit]
     return edges
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: distinct fp. Edges (u, v) whose connected components are those of all links within the radius."""
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(radius))))
-    dealt = nodes.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
-    n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_by = dealt.repartition(n, "key", "t").sortWithinPartitions("key", "t")
+    dealt = nodes.select("fp", F.explode(tables(F.col("fp"), radius)).alias("b")).select("b.t", "b.key", F.col("fp").alias("node"))
+
+    def near(rows: np.ndarray) -> list[tuple[int, int]]:
+        fps = rows[2].view(np.uint64)
+        return cluster(len(fps), lambda left, at: np.bitwise_count(fps[left] ^ fps[at]) <= radius)
+
+    return in_buckets(dealt, near).distinct()
+
+
+def tables(fp, radius: int):
+    """(table, masked fingerprint) in every table."""
+    return F.array(*(F.struct(F.lit(t).cast("long").alias("t"), fp.bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(radius))))
+
+
+def in_buckets(dealt: DataFrame, near) -> DataFrame:
+    """Edges u, v between nodes of one bucket. dealt: long columns t, key (the bucket), node, and what else near() needs;
+    near(rows of one bucket, a column each) gives pairs of places. Buckets are streamed out of sorted partitions."""
+    names = dealt.columns
+    n = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "t", "fp")])
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             rows = np.concatenate([*held, rows], axis=1)
             if not rows.shape[1]:
                 continue
@@ -118,20 +143,147 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if rows.shape[1] > 1:
             new = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [rows.shape[1]]])
-            fps = rows[2].view(np.uint64)
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                found += [(signed(int(fps[a + i])), signed(int(fps[a + j]))) for i, j in cluster(fps[a:b], radius)]
+                found += [(int(rows[2, a + i]), int(rows[2, a + j])) for i, j in near(rows[:, a:b])]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    return sorted_by.mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(n, "key", "t").sortWithinPartitions("key", "t").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fingerprint, component_id, and the kept columns."""
-    prints = written(fingerprints(docs, keep), "fingerprints")
+    prints = written(fingerprints(docs, keep, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     groups = components(links(nodes.select("fp"), radius))
     # the smallest document of each component of fingerprints, then back to fingerprints and documents
     member = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = written(member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+
+
+# Documents of a given similarity. Shingle sets that share four fifths differ in about ten of 64 fingerprint bits, which
+# no covering family of bearable size reaches. So fingerprints are also taken of SEGMENTS short segments of each text,
+# those that start at its least shingle hashes and so are the same in copies; in unedited segments they are equal or
+# nearly so. Covering tables over segment fingerprints find the candidates, whole fingerprints and sizes sieve them, and
+# shingle sets decide.
+
+SEGMENTS = 8
+SEGMENT_WORDS = 8
+SEGMENT_RADIUS = 1
+#: Bits in which whole fingerprints of similar documents may differ; shorter ones than FEW shingles aren't sieved by bits.
+SIEVE = 24
+FEW = 40
+#: Documents of a cluster that are compared in one task; larger clusters are compared block by block.
+CLUSTER = 8192
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """One row a distinct text: key, fp, size (distinct shingles), segments (fingerprints)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps, sizes, segments = [], [], []
+            for text in as_bytes(batch.column("text")):
+                words, h = shingle_hashes(text, shingle)
+                distinct = np.unique(h)
+                least = distinct[:SEGMENTS] if len(distinct) else distinct
+                first = np.flatnonzero(np.isin(h, least))
+                span = max(1, SEGMENT_WORDS - shingle + 1)
+                fps.append(signed(majority(h)))
+                sizes.append(len(distinct))
+                segments.append(sorted({signed(majority(h[a : a + span])) for a in first.tolist()}))
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["key", "fp", "size", "segments"])
+
+        return step
+
+    return map_texts(docs, make, "key long, fp long, size long, segments array<long>")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of each document: components of the links between documents whose sets of shingles have
+    a Jaccard similarity of similarity or more. Texts without a word are linked to each other."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    found = written(sketches(keyed.select("key", "text"), shingle), "sketches").dropDuplicates(["key"])
+    # similar sets have sizes within a factor of similarity, so they share one of two neighbouring size classes
+    step = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity)).cast("long")
+    dealt = found.withColumn("class", F.explode(F.array(step, step + 1))).withColumn("segment", F.explode("segments"))
+    dealt = dealt.select("key", "fp", "size", "class", F.explode(tables(F.col("segment"), SEGMENT_RADIUS)).alias("b"))
+    dealt = dealt.select(F.col("b.t").alias("t"), F.xxhash64("b.key", "class").alias("bucket"), F.col("key").alias("node"), "fp", "size").withColumnRenamed("bucket", "key").distinct()
+
+    def near(rows: np.ndarray) -> list[tuple[int, int]]:
+        fps, sizes = rows[3].view(np.uint64), rows[4]
+
+        def test(left: np.ndarray, at: int) -> np.ndarray:
+            small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
+            return (small >= similarity * large) & ((large < FEW) | (np.bitwise_count(fps[left] ^ fps[at]) <= SIEVE))
+
+        return cluster(rows.shape[1], test)
+
+    candidates = components(in_buckets(dealt.select("t", "key", "node", "fp", "size"), near))
+    candidates = written(candidates, "candidates")
+    blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER).alias("blocks"))
+    placed = candidates.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # every two blocks of a cluster meet in one task; a cluster of one block meets itself
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("a"), F.greatest("own", b).alias("b")))
+    met = placed.select("node", "component", F.explode(F.when(F.col("blocks") > 1, F.filter(pair, lambda p: (p["a"] != p["b"]))).otherwise(pair)).alias("p"))
+    texts = keyed.select("key", "text").join(candidates.select(F.col("node").alias("key")), "key").dropDuplicates(["key"])
+    sets = _shingle_sets(texts, shingle)
+    exact = _verified(met.join(sets, met["node"] == sets["key"]).select("component", "p.a", "p.b", "node", "shingles"), similarity)
+    empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
+    groups = components(exact.unionByName(empty))
+    named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("component", "key").alias("component"))
+    named = written(named, "named")
+    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in as_bytes(batch.column("text"))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
+
+        return step
+
+    return map_texts(texts, make, "key long, shingles array<long>")
+
+
+def _verified(met: DataFrame, similarity: float) -> DataFrame:
+    n = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.zeros(0, int)
+        mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+
+        def test(left: np.ndarray, at: int) -> np.ndarray:
+            """Shared shingles of one document with all others that are left, in one pass over their sets."""
+            own = flat[ends[at] - sizes[at] : ends[at]]
+            mark[own] = True
+            some = left[(np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at])) & (sizes[left] > 0)]
+            n_of = sizes[some]
+            place = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(ends[some] - n_of, n_of)
+            shared = np.add.reduceat(mark[flat[place]].astype(np.int64), np.cumsum(n_of) - n_of) if len(some) else np.zeros(0, int)
+            mark[own] = False
+            return np.isin(left, some[shared >= similarity * (n_of + sizes[at] - shared) - 1e-9])
+
+        return [(nodes[i], nodes[j]) for i, j in cluster(len(nodes), test)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            found = []
+            shingles = batch.column("shingles")
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "node")), strict=True)
+            for i, (component, a, b, node) in enumerate(keys):
+                if now != (component, a, b):
+                    found += edges(nodes, sets)
+                    now, nodes, sets = (component, a, b), [], []
+                nodes.append(node)
+                sets.append(shingles[i].values.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+        found = edges(nodes, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return met.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(run, "u long, v long").distinct()
