@@ -17,15 +17,12 @@ of each other. Empty input gives empty output. Further columns of the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import bpe, decontaminate, quality, simhash, suffix_dedup
-from turnwise.llm.common import scratch, small_batches, table
+from turnwise.llm.common import scratch, table
 from turnwise.plans.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -51,28 +48,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), PASSAGE)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The text without its spans, each shortened to whole characters."""
-        for batch in small_batches(batches, "raw"):
-            texts = []
-            for raw, spans in zip(batch.column("raw").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                parts, at = [], 0
-                for s in spans or ():
-                    a, b = s["first"], s["end"]
-                    while a < b and raw[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b -= 1
-                    parts.append(raw[at:a])
-                    at = b
-                texts.append(b"".join([*parts, raw[at:]]).decode() if raw is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), pa.array([None if t is None else len(t) for t in texts], pa.int64())], list(COLUMNS))
-
-    rows = found.select("row.doc_id", F.col("row.text").cast("string").cast("binary").alias("raw"), "row.lang", "row.source", "spans")
-    cut = rows.mapInArrow(whole, "doc_id long, text string, lang string, source string, n_chars long")
-    return cut.where(F.col("text").rlike(r"\S"))
+    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), PASSAGE, whole=True)
+    cut = found.select("row.*", F.decode("kept", "UTF-8").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.where(F.col("text").rlike(r"\S")).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ SEGMENT_RADIUS = 1
 SIEVE = 24
 FEW = 40
 #: Documents of a cluster that are compared in one task; larger clusters are compared block by block.
-CLUSTER = 8192
+CLUSTER = 2048
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -228,7 +228,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     met = placed.select("node", "component", F.explode(F.when(F.col("blocks") > 1, F.filter(pair, lambda p: (p["a"] != p["b"]))).otherwise(pair)).alias("p"))
     texts = keyed.select("key", "text").join(candidates.select(F.col("node").alias("key")), "key").dropDuplicates(["key"])
     sets = _shingle_sets(texts, shingle)
-    exact = _verified(met.join(sets, met["node"] == sets["key"]).select("component", "p.a", "p.b", "node", "shingles"), similarity)
+    prints = found.select(F.col("key").alias("node"), "fp")
+    exact = _verified(met.join(prints, "node").join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "fp", "shingles"), similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
     named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("component", "key").alias("component"))
@@ -251,39 +252,47 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 def _verified(met: DataFrame, similarity: float) -> DataFrame:
     n = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def edges(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        sizes = np.array([len(x) for x in sets])
+    def edges(nodes: list[int], fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        if len(nodes) < 2:
+            return []
+        sizes, prints = np.array([len(x) for x in sets], np.int64), np.array(fps, np.int64).view(np.uint64)
         ends = np.cumsum(sizes)
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.zeros(0, int)
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
 
         def test(left: np.ndarray, at: int) -> np.ndarray:
-            """Shared shingles of one document with all others that are left, in one pass over their sets."""
-            own = flat[ends[at] - sizes[at] : ends[at]]
-            mark[own] = True
-            some = left[(np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at])) & (sizes[left] > 0)]
-            n_of = sizes[some]
-            place = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(ends[some] - n_of, n_of)
-            shared = np.add.reduceat(mark[flat[place]].astype(np.int64), np.cumsum(n_of) - n_of) if len(some) else np.zeros(0, int)
-            mark[own] = False
-            return np.isin(left, some[shared >= similarity * (n_of + sizes[at] - shared) - 1e-9])
+            """Shared shingles of one document with all that pass the sieve, a bounded number at a time."""
+            mark[flat[ends[at] - sizes[at] : ends[at]]] = True
+            large = np.maximum(sizes[left], sizes[at])
+            hit = (np.minimum(sizes[left], sizes[at]) >= similarity * large) & (sizes[left] > 0) & ((large < FEW) | (np.bitwise_count(prints[left] ^ prints[at]) <= SIEVE))
+            places = np.flatnonzero(hit)
+            for part in np.array_split(places, max(1, int(sizes[left[places]].sum()) >> 18)) if len(places) else ():
+                n_of = sizes[left[part]]
+                first = np.cumsum(n_of) - n_of
+                place = np.arange(n_of.sum()) + np.repeat(ends[left[part]] - n_of - first, n_of)
+                shared = np.add.reduceat(mark[flat[place]], first, dtype=np.int64)
+                hit[part] = shared >= similarity * (n_of + sizes[at] - shared) - 1e-9
+            mark[flat[ends[at] - sizes[at] : ends[at]]] = False
+            return hit
 
         return [(nodes[i], nodes[j]) for i, j in cluster(len(nodes), test)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, nodes, fps, sets = None, [], [], []
         for batch in batches:
             found = []
             shingles = batch.column("shingles")
-            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "node")), strict=True)
-            for i, (component, a, b, node) in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "node", "fp")), strict=True)
+            for i, (component, a, b, node, fp) in enumerate(keys):
                 if now != (component, a, b):
-                    found += edges(nodes, sets)
-                    now, nodes, sets = (component, a, b), [], []
+                    found += edges(nodes, fps, sets)
+                    now, nodes, fps, sets = (component, a, b), [], [], []
                 nodes.append(node)
-                sets.append(shingles[i].values.to_numpy(zero_copy_only=False))
+                fps.append(fp)
+                sets.append(shingles[i].values.to_numpy(zero_copy_only=False).copy())
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
-        found = edges(nodes, sets)
+            pa.default_memory_pool().release_unused()
+        found = edges(nodes, fps, sets)
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     return met.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(run, "u long, v long").distinct()

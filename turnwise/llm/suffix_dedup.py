@@ -34,6 +34,8 @@ from turnwise.llm.common import as_bytes, map_texts, small_batches, written
 
 LENGTH = 400
 GROUP = 16_384
+#: Contexts of small groups that are merged in one go.
+TOGETHER = 4096
 SHARD = 2048
 #: No byte of UTF-8: stands where a context is cut by the start or the end of its text, and equals nothing.
 PAD = 0xFF
@@ -193,7 +195,7 @@ def _contexts(keyed: DataFrame, probes: DataFrame, length: int) -> DataFrame:
     lists = probes.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "anchor")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             rows = []
             for k1, k2, text, wanted in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
@@ -228,7 +230,7 @@ def _merged(contexts: DataFrame, length: int, group: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "first", "lead", "anchor", "bytes")), strict=True):
-                if len(held) >= group and held[-1][4] != row[4]:
+                if len(held) >= min(group, TOGETHER) and held[-1][4] != row[4]:
                     yield flush(held)
                     held = []
                 held.append(row)
@@ -258,20 +260,22 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return strings.join(twice, ["anchor", "h"]).select("k1", "k2", "first", (F.col("first") + length).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """docs with one more column, dedup: struct<kept binary, spans array<struct<first, end>>> (byte places)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, whole: bool = False) -> DataFrame:
+    """row (a struct of docs' columns but text), n_bytes, kept (the bytes left) and spans (array<struct<first, end>> of
+    byte places). whole: spans shrink to whole characters, and kept is their text."""
     spark = docs.sparkSession
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
-    text = F.col("text").cast("string")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *([F.col("doc_id")] if "doc_id" in docs.columns else [F.lit(0).alias("doc_id")]))
-    keyed = packed.select(F.xxhash64(F.col("doc_id").cast("string")).alias("k1"), F.xxhash64("text").alias("k2"), "text", "row")
+    names = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*names).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row"), F.col("text").cast("string").alias("text"))
+    own = F.col("row.doc_id").cast("string") if "doc_id" in names else F.lit("")
+    keyed = packed.select(F.xxhash64(own).alias("k1"), F.xxhash64("text").alias("k2"), "text", "row")
     anchors = written(_anchors(keyed, length), "anchors")
     classes = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     totals = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1").drop("total")
-    wanted = classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes")
+    wanted = written(classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes"), "classes")
     copies = anchors.join(wanted.where("n > 1").select("anchor", "context"), ["anchor", "context"]).where(F.col("last") - F.col("first") >= length).select("k1", "k2", "first", F.col("last").alias("end"))
-    probes = written(wanted.where("classes > 1").select("one.*", "anchor", "classes"), "probes")
+    probes = wanted.where("classes > 1").select("one.*", "anchor", "classes")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartition(n, "k1", "k2")  # the text is shuffled once and read for the contexts and for the result
     spans = _merged(_contexts(dealt, probes.where(F.col("classes") <= group), length), length, group)
@@ -280,24 +284,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
         spans = spans.unionByName(_counted(written(_contexts(keyed, hot, length), "hot"), length))
     marks = spans.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     pieces = dealt.join(marks, ["k1", "k2"], "left")
-    schema = "row " + docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString() + ", kept binary, spans array<struct<first: int, end: int>>"
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<first: int, end: int>>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            kept, out = [], []
+            sizes, kept, out = [], [], []
             for raw, found in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 own = joined((s["first"], s["end"]) for s in found or ())
+                if whole:
+                    own = [x for s in own for x in [within_characters(raw, *s)] if x[0] < x[1]]
                 cuts = [0, *(x for s in own for x in s), len(raw)]
+                sizes.append(len(raw))
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 out.append([{"first": a, "end": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(out, kind)], ["row", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(out, kind)], ["row", "n_bytes", "kept", "spans"])
 
     return pieces.select("k1", "k2", "row", "text", "spans").mapInArrow(run, schema)
 
 
+def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:
+    """The span without the characters that it cuts."""
+    while first < end and raw[first] & 0xC0 == 0x80:
+        first += 1
+    while end > first and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return first, end
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["first"]))
-    n = F.coalesce(F.octet_length(F.col("row.text").cast("string")), F.lit(0)).cast("long")
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), n.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
