@@ -239,23 +239,62 @@ def _merged(contexts: DataFrame, length: int, group: int) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
+#: Bytes by which the reach of a context is narrowed at a time.
+STEP = 24
+
+
+def _reach(contexts: DataFrame, length: int) -> DataFrame:
+    """contexts with left and right: how far, in whole steps from the seed, the text is found again around its anchor."""
+    seed = seed_size(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in small_batches(batches, "bytes", 1 << 19):
+            rows, far, hashes = [], [], []
+            for i, (lead, raw) in enumerate(zip(batch.column("lead").to_pylist(), as_bytes(batch.column("bytes")), strict=True)):
+                at = length - seed - lead
+                reach = [(-j, raw[at - j : at + seed]) for j in range(STEP, at + 1, STEP)] + [(j, raw[at : at + seed + j]) for j in range(STEP, len(raw) - at - seed + 1, STEP)]
+                rows += [i] * len(reach)
+                far += [j for j, _ in reach]
+                hashes += [xxhash.xxh3_64_intdigest(x, j & 0xFFFF) for j, x in reach]
+            take = pa.array(rows, pa.int64())
+            out = [*(batch.column(c).take(take) for c in KEY), pa.array(far, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, [*KEY, "far", "h"])
+
+    parts = contexts.mapInArrow(run, "k1 long, k2 long, anchor long, first int, lead int, far int, h long")
+    twice = parts.groupBy("anchor", "far", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    known = parts.join(twice, ["anchor", "far", "h"]).groupBy(*KEY).agg(F.coalesce(-F.min(F.when(F.col("far") < 0, F.col("far"))), F.lit(0)).alias("left"), F.coalesce(F.max(F.when(F.col("far") > 0, F.col("far"))), F.lit(0)).alias("right"))
+    return contexts.join(known, list(KEY), "left").fillna(0, ["left", "right"])
+
+
+KEY = ("k1", "k2", "anchor", "first", "lead")
+
+
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of any size: every string of their contexts is hashed, counted and joined back by its hash."""
+    """The same for anchors of any size. First each context is narrowed to what is found again to the left and to the right
+    of its anchor; every string within that is hashed, counted and joined back by its hash."""
+    seed = seed_size(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "bytes", 1 << 19):
             rows, hashes, firsts = [], [], []
-            for i, (first, raw) in enumerate(zip(batch.column("first").to_pylist(), as_bytes(batch.column("bytes")), strict=True)):
-                if len(raw) >= length:
-                    h = rolling(np.frombuffer(raw, np.uint8), length)
+            columns = (batch.column(c).to_pylist() for c in ("first", "lead", "left", "right"))
+            for i, (first, lead, left, right, raw) in enumerate(zip(*columns, as_bytes(batch.column("bytes")), strict=True)):
+                at = length - seed - lead
+                # a string that begins l bytes before the anchor reaches length - seed - l bytes beyond the seed
+                a = max(0, at - left - STEP + 1)
+                b = min(len(raw) - length, at - (length - seed - right - STEP + 1))
+                if a <= b:
+                    h = rolling(np.frombuffer(raw, np.uint8)[a : b + length], length)
                     rows.append(np.full(len(h), i))
                     hashes.append(h.view(np.int64))
-                    firsts.append(first + np.arange(len(h)))
+                    firsts.append(first + a + np.arange(len(h)))
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             out = [*(batch.column(c).take(take) for c in ("k1", "k2", "anchor")), pa.array(np.concatenate(firsts).astype(np.int32) if rows else [], pa.int32()), pa.array(np.concatenate(hashes) if rows else [], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, ["k1", "k2", "anchor", "first", "h"])
 
-    strings = contexts.mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
+    strings = written(_reach(contexts, length), "reach").mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
     twice = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return strings.join(twice, ["anchor", "h"]).select("k1", "k2", "first", (F.col("first") + length).alias("end"))
 
