@@ -16,8 +16,8 @@ from turnwise.operators.segment import places_of, split_clauses, split_coordinat
 
 COUNT = r"(?i)^(.*?) (?:(twice)|(thrice)|([a-z]+|[0-9]{1,4}) times?)[.!]*$"
 DO_COUNT = r"(?i)^do ([a-z]+|[0-9]{1,4}) ([a-z]+)\b.*$"
-FETCH = r"(?i)^((?:please )?)(?:fetch|bring|get|retrieve) (.+?) (?:for|to) (me|us|him|her|them|the user|user)[.!?]*$"
-FETCH_FRONT = r"(?i)^((?:please )?)(?:fetch|bring|get|retrieve) (me|us|him|her|them) ((?:the|a|an|my|your|this|that|some) .+?)[.!?]*$"
+FETCH = r"(?i)^((?:please |can you |could you |would you |will you )?)(?:fetch|bring|get|retrieve) (.+?) (?:for|to) (me|us|him|her|them|the user|user)[.!?]*$"
+FETCH_FRONT = r"(?i)^((?:please |can you |could you |would you |will you )?)(?:fetch|bring|get|retrieve) (me|us|him|her|them) ((?:the|a|an|my|your|this|that|some) .+?)[.!?]*$"
 
 
 def counted(piece: Column) -> tuple[Column, Column]:
@@ -142,7 +142,7 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     cut = pieces(usable.repartition(n, "turn_id"), surfaces, *keep)
 
     # candidates
-    direct = match.contiguous(cut, registry).unionByName(match.separated(cut, registry)).unionByName(match.narrated(cut, registry, known))
+    direct = match.contiguous(cut, registry).unionByName(match.separated(cut, registry)).unionByName(match.narrated(cut, registry, known)).unionByName(match.gerunds(cut, registry))
     told = match.not_determined(direct, cut)
     mentions = match.inflected(cut, registry).join(cut.select("turn_id", "clause_no", "clause"), ["turn_id", "clause_no"])
     hits = match.best(told.unionByName(mentions))
@@ -165,7 +165,7 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
     payload = F.when(F.col("particle_at") >= 0, F.concat(F.substring("lower", F.col("verb_end") + 1, F.col("particle_at") - F.col("verb_end")), F.substring("lower", F.col("particle_at") + F.col("particle_length") + 1, F.length("lower")))).otherwise(suffix)
     d = d.withColumn("suffix", suffix).withColumn("payload", X.strip_edges(payload))
     why_not = X.has_any_word(F.col("prefix"), ["why don't you", "why not"])
-    d = d.withColumn("why_not", F.coalesce(why_not, F.lit(False))).withColumn("asks", F.col("question") & ~F.col("why_not"))
+    d = d.withColumn("why_not", F.coalesce(why_not | (F.col("how") == "gerund"), F.lit(False))).withColumn("asks", F.col("question") & ~F.col("why_not"))
     tokens = X.tokenize(F.col("prefix"))
     modal = (C.inverted_modal(tokens) >= 0) | X.has_any_word(F.col("prefix"), ["you can", "you could", "you would", "you will", "you may"])
     d = d.withColumn("addressed", F.coalesce(F.col("asks") & (F.col("target_mode") == "required") & modal & ~generic_plural(F.col("suffix")), F.lit(False)))

@@ -74,6 +74,17 @@ def narrated(clauses: DataFrame, registry: DataFrame, known: DataFrame) -> DataF
     return verb.join(small(surfaces(single)), "surface").select("turn_id", "clause_no", "surface", (F.col("end") - F.length("verb")).alias("first"), "end", "actions", "alias_ord", F.lit(-1).alias("particle_at"), F.lit(0).alias("particle_length"), F.lit("narration").alias("how"))
 
 
+def gerunds(clauses: DataFrame, registry: DataFrame) -> DataFrame:
+    """An -ing form that asks: at the head of its part of the clause, after "mind", or after how or what about."""
+    single = registry.where(~F.col("surface").contains(" "))
+    words = ngrams(clauses, 1).where(F.col("surface").endswith("ing")).withColumnRenamed("surface", "word")
+    words = words.withColumn("surface", F.explode(F.array(M.lemma(F.col("word")), F.concat(M.lemma(F.col("word")), F.lit("e")))))
+    found = words.join(small(surfaces(single)), "surface").join(clauses.select("turn_id", "clause_no", "clause"), ["turn_id", "clause_no"])
+    lead = imperative_prefix(X.strip_edges(F.substring(F.lower("clause"), F.lit(1), F.col("first"))))
+    found = found.where((lead == "") | lead.endswith("mind") | lead.isin("how about", "what about"))
+    return found.select("turn_id", "clause_no", "surface", "first", "end", "actions", "alias_ord", F.lit(-1).alias("particle_at"), F.lit(0).alias("particle_length"), F.lit("gerund").alias("how"))
+
+
 def inflected(clauses: DataFrame, registry: DataFrame) -> DataFrame:
     """One-word surfaces in any inflected form, by a join on all forms that a surface can take."""
     forms = registry.where(~F.col("surface").contains(" ")).select("surface", "alias_ord").distinct().select("surface", "alias_ord", F.explode(M.forms_of(F.col("surface"))).alias("form"))
