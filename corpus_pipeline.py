@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import bpe, decontaminate, quality, simhash, suffix_dedup
-from turnwise.llm.common import scratch, table
+from turnwise.llm.common import scratch, small, table, written
 from turnwise.plans.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,6 +55,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = small(written(found, "leaks"))
     return docs.select(*COLUMNS).join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 

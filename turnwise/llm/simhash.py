@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import UPPER, as_bytes, map_texts, written
+from turnwise.llm.common import UPPER, as_bytes, map_texts, small, written
 from turnwise.llm.components import components
 
 SHINGLE = 4
@@ -174,7 +174,7 @@ SEGMENT_RADIUS = 1
 SIEVE = 24
 FEW = 40
 #: Documents of a cluster that are compared in one task; larger clusters are compared block by block.
-CLUSTER = 2048
+CLUSTER = 4096
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -226,7 +226,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     # every two blocks of a cluster meet in one task; a cluster of one block meets itself
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("a"), F.greatest("own", b).alias("b")))
     met = placed.select("node", "component", F.explode(F.when(F.col("blocks") > 1, F.filter(pair, lambda p: (p["a"] != p["b"]))).otherwise(pair)).alias("p"))
-    texts = keyed.select("key", "text").join(candidates.select(F.col("node").alias("key")), "key").dropDuplicates(["key"])
+    texts = keyed.select("key", "text").join(small(candidates.select(F.col("node").alias("key"))), "key").dropDuplicates(["key"])
     sets = _shingle_sets(texts, shingle)
     prints = found.select(F.col("key").alias("node"), "fp")
     exact = _verified(met.join(prints, "node").join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "fp", "shingles"), similarity)
@@ -238,15 +238,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """32 bits of each hash: two sets of a thousand then share a shingle by chance once in four thousand times."""
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in as_bytes(batch.column("text"))]
+            sets = [np.unique((shingle_hashes(t, shingle)[1] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column("text"))]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))], ["key", "shingles"])
 
         return step
 
-    return map_texts(texts, make, "key long, shingles array<long>")
+    return map_texts(texts, make, "key long, shingles array<int>")
 
 
 def _verified(met: DataFrame, similarity: float) -> DataFrame:

@@ -272,31 +272,49 @@ KEY = ("k1", "k2", "anchor", "first", "lead")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of any size. First each context is narrowed to what is found again to the left and to the right
-    of its anchor; every string within that is hashed, counted and joined back by its hash."""
+    """The same for anchors of any size. Each context is narrowed to what is found again to the left and to the right of
+    its anchor. If that stretch as a whole is found again, all strings in it are; the strings left to decide, which reach
+    less than a step beyond it, or all in reach where it is not, are hashed, counted and joined back by their hash."""
     seed = seed_size(length)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in small_batches(batches, "bytes", 1 << 19):
+            columns = (batch.column(c).to_pylist() for c in ("lead", "left", "right"))
+            h = [xxhash.xxh3_64_intdigest(raw[length - seed - lead - left : length - lead + right]) for lead, left, right, raw in zip(*columns, as_bytes(batch.column("bytes")), strict=True)]
+            yield batch.append_column("h", pa.array(np.array(h, np.uint64).view(np.int64)))
+
+    reached = _reach(contexts, length)
+    reached = written(reached.mapInArrow(whole, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reached.schema) + ", h long"), "reach")
+    twice = reached.where(F.col("left") + F.col("right") + seed >= length).groupBy("anchor", "left", "right", "h").agg(F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("one")).where("n > 1").select("anchor", "left", "right", "h", "one")
+    # one context of each such stretch still gives all its strings, for those that share only a part of it
+    reached = reached.join(twice, ["anchor", "left", "right", "h"], "left").withColumn("whole", F.col("one").isNotNull()).withColumn("known", F.col("whole") & (F.struct(*KEY) != F.col("one"))).drop("h", "one")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "bytes", 1 << 19):
             rows, hashes, firsts = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("first", "lead", "left", "right"))
-            for i, (first, lead, left, right, raw) in enumerate(zip(*columns, as_bytes(batch.column("bytes")), strict=True)):
+            columns = (batch.column(c).to_pylist() for c in ("first", "lead", "left", "right", "known"))
+            for i, (first, lead, left, right, known, raw) in enumerate(zip(*columns, as_bytes(batch.column("bytes")), strict=True)):
                 at = length - seed - lead
                 # a string that begins l bytes before the anchor reaches length - seed - l bytes beyond the seed
-                a = max(0, at - left - STEP + 1)
-                b = min(len(raw) - length, at - (length - seed - right - STEP + 1))
-                if a <= b:
-                    h = rolling(np.frombuffer(raw, np.uint8)[a : b + length], length)
-                    rows.append(np.full(len(h), i))
-                    hashes.append(h.view(np.int64))
-                    firsts.append(first + a + np.arange(len(h)))
+                a, b = max(0, at - left - STEP + 1), min(len(raw) - length, at + seed + right + STEP - 1 - length)
+                inner = (at - left, at + seed + right - length + 1) if known else (b + 1, b + 1)
+                for x, y in ((a, min(b + 1, inner[0])), (max(a, inner[1]), b + 1)):
+                    if x < y:
+                        h = rolling(np.frombuffer(raw, np.uint8)[x : y - 1 + length], length)
+                        rows.append(np.full(len(h), i))
+                        hashes.append(h.view(np.int64))
+                        firsts.append(first + x + np.arange(len(h)))
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             out = [*(batch.column(c).take(take) for c in ("k1", "k2", "anchor")), pa.array(np.concatenate(firsts).astype(np.int32) if rows else [], pa.int32()), pa.array(np.concatenate(hashes) if rows else [], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, ["k1", "k2", "anchor", "first", "h"])
 
-    strings = written(_reach(contexts, length), "reach").mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
-    twice = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(twice, ["anchor", "h"]).select("k1", "k2", "first", (F.col("first") + length).alias("end"))
+    strings = reached.mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
+    again = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    single = strings.join(again, ["anchor", "h"]).select("k1", "k2", "first", (F.col("first") + length).alias("end"))
+    place = F.col("first") + (length - seed) - F.col("lead")
+    return single.unionByName(reached.where("whole").select("k1", "k2", (place - F.col("left")).alias("first"), (place + seed + F.col("right")).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, whole: bool = False) -> DataFrame:
