@@ -75,20 +75,43 @@ def head_tokens(clause: Column) -> Column:
     return F.when(F.size(rest) > 0, rest).otherwise(F.slice(whole, -1, 1))
 
 
-def speech_act(clause: Column, tokens: Column, verbs=L.VERBS) -> Column:
-    """fragment, statement, request or question; the first rule that holds decides."""
-    lower = X.strip_edges(F.lower(clause))
-    plain = F.filter(tokens, lambda t: ~t.isin(*L.DISCOURSE))
-    imperative = M.is_base_verb(at(plain, 0), verbs)
-    permission = at(tokens, 0).isin("can", "could", "may") & at(tokens, 1).isin("i", "we") & M.is_verb(at(tokens, 2), verbs)
+def prepared(clauses, verbs=L.VERBS):
+    """clauses with what the rules below look at, each as a column of its own: lower, tokens, lemmas, is_verb (an entry a
+    token), head (tokens from the first that counts), head_lemmas, head_verbs, plain (place of the first token that is no
+    discourse marker)."""
+    c = clauses.withColumn("lower", X.strip_edges(F.lower("clause"))).withColumn("tokens", X.tokenize(F.col("clause"))).withColumn("head", head_tokens(F.col("clause")))
+    for tokens, lemmas, flags in (("tokens", "lemmas", "is_verb"), ("head", "head_lemmas", "head_verbs")):
+        c = c.withColumn(lemmas, F.transform(tokens, lambda t: M.lemma(t)))
+        known = F.array(*map(F.lit, verbs)).cast("array<string>")
+        c = c.withColumn(flags, F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(lemmas).alias("l")), lambda x: F.array_contains(known, x["t"]) | F.array_contains(known, x["l"]) | ((x["l"] != x["t"]) & F.array_contains(known, F.concat(x["l"], F.lit("e"))))))
+    return c.withColumn("plain", first_index(F.col("tokens"), lambda t, i: ~t.isin(*L.DISCOURSE)))
+
+
+def _flag(flags: str, i) -> Column:
+    return F.coalesce(F.get(F.col(flags), i if isinstance(i, Column) else F.lit(i)), F.lit(False))
+
+
+def _base(tokens: str, lemmas: str, flags: str, i) -> Column:
+    """The token at a place is a verb's base form and no modal or auxiliary."""
+    t = at(F.col(tokens), i)
+    return _flag(flags, i) & (t == at(F.col(lemmas), i)) & ~t.isin(*L.MODALS, "be", "do", "have")
+
+
+OBJECTS = (*L.DETERMINERS, "it", "them", "me", "us", "him")
+
+
+def speech_act(verbs=L.VERBS) -> Column:
+    """fragment, statement, request or question of a prepared clause; the first rule that holds decides."""
+    tokens, lower, head = F.col("tokens"), F.col("lower"), F.col("head")
+    permission = at(tokens, 0).isin("can", "could", "may") & at(tokens, 1).isin("i", "we") & _flag("is_verb", 2)
     asked = at(tokens, 0).isin(*L.AUXILIARIES) & at(tokens, 1).isin(*L.SUBJECTS, "u")
-    turned = inverted_modal(tokens, initial=True) >= 0
-    head = head_tokens(clause)
-    first, second = at(head, 0), at(head, 1)
-    subject = F.regexp_extract(first, "^([^']*)", 1)
+    turned = at(tokens, 0).isin(*L.MODALS) & at(tokens, 1).isin(*L.SECOND_PERSON)
+    imperative = (F.col("plain") >= 0) & _base("tokens", "lemmas", "is_verb", F.col("plain"))
+    subject = F.regexp_extract(at(head, 0), "^([^']*)", 1)
     declarative = subject.isin(*L.DECLARATIVE)
-    unknown = second.isin(*L.DETERMINERS, "it", "them", "me", "us", "him") & ~declarative & (first_index(F.slice(head, 3, 2000), lambda t, i: M.is_verb(t, verbs) & ~at(head, i + 1).isin(*L.DETERMINERS, "it", "them", "me", "us", "him")) < 0)
-    adverb = M.is_base_verb(second, verbs) & ~declarative & ~first.contains("'")
+    later = F.exists(F.sequence(F.lit(2), F.greatest(F.size(head) - 1, F.lit(2))), lambda i: _flag("head_verbs", i) & ~at(head, i - 1).isin(*OBJECTS))
+    unknown = at(head, 1).isin(*OBJECTS) & ~declarative & ~later
+    adverb = _base("head", "head_lemmas", "head_verbs", 1) & ~declarative & ~at(head, 0).contains("'")
     return (
         F.when(F.size(tokens) == 0, "fragment")
         .when(lower.startswith("*"), "statement")
@@ -97,59 +120,83 @@ def speech_act(clause: Column, tokens: Column, verbs=L.VERBS) -> Column:
         .when(asked, "question")
         .when(turned | X.starts_any(lower, L.REQUEST_OPENERS), "request")
         .when(subject.isin(*L.WH_WORDS), "question")
-        .when(F.lit(bool(verbs)) & ~M.is_verb(first, verbs), F.when(unknown | adverb, "request").otherwise("statement"))
-        .when(~declarative & (first == M.lemma(first)), "request")
+        .when(F.lit(bool(verbs)) & ~_flag("head_verbs", 0), F.when(unknown | adverb, "request").otherwise("statement"))
+        .when(~declarative & (at(head, 0) == at(F.col("head_lemmas"), 0)), "request")
         .otherwise("statement")
     )
 
 
-def predicate_index(clause: Column, tokens: Column, act: Column, verbs=L.VERBS) -> Column:
-    """Place of the clause's verb: the first that is no noun, marker or auxiliary of a later verb; in a request without
-    one, the word in front of its object; -1 if there is none."""
-    lower = X.strip_edges(F.lower(clause))
-    turned = inverted_modal(tokens, initial=True)
+def with_predicate(c, act: str = "speech_act"):
+    """c with predicate: the place of the clause's verb, the first that is no noun, marker or auxiliary of a later verb; in
+    a request without one, the word in front of its object; -1 if there is none."""
+    tokens, lower = F.col("tokens"), F.col("lower")
     begin = (
-        F.when(turned >= 0, turned)
+        F.when(at(tokens, 0).isin(*L.MODALS) & at(tokens, 1).isin(*L.SECOND_PERSON), 2)
         .when(at(tokens, 0).isin("can", "could", "may") & at(tokens, 1).isin("i", "we"), 2)
         .when(lower.startswith("please "), 1)
-        .when(X.starts_any(lower, [o for o in L.REQUEST_OPENERS if o.endswith(" to ")]), first_index(tokens, lambda t, i: t == "to") + 1)
+        .when(X.starts_any(lower, [o for o in L.REQUEST_OPENERS if o.endswith(" to ")]), F.array_position("tokens", "to").cast("int"))
         .when(lower.startswith("go ahead and "), 3)
         .otherwise(0)
     )
-    auxiliary = lambda t: t.isin(*L.MODALS) | t.endswith("n't") | M.lemma(t).isin("be", "do", "have")
-    stop = lambda t: M.is_verb(t, verbs) | t.isin(*L.DETERMINERS)
+    c = c.withColumn("begin", begin)
+    determined = lambda i: at(tokens, i).isin(*L.DETERMINERS)
+    helper = lambda i: at(tokens, i).isin(*L.MODALS) | at(tokens, i).endswith("n't") | at(F.col("lemmas"), i).isin("be", "do", "have")
 
     def governs(i: Column) -> Column:
         """A verb stands among the next three tokens before any determiner."""
-        after = F.slice(tokens, i + 2, 3)
-        near = F.get(F.filter(after, stop), F.lit(0))
-        return F.coalesce(M.is_verb(near, verbs) & ~near.isin(*L.DETERMINERS), F.lit(False))
-
-    found = first_index(tokens, lambda t, i: (i >= begin) & ~((i > 0) & at(tokens, i - 1).isin(*L.DETERMINERS)) & ~t.isin(*L.DISCOURSE) & M.is_verb(t, verbs) & ~(auxiliary(t) & governs(i)))
-    objects = (*L.DETERMINERS, "it", "them", "me", "us", "him", "her")
-    plain = first_index(tokens, lambda t, i: (i >= begin) & ~t.isin(*L.DISCOURSE))
-    closed = at(tokens, plain).isin(*L.DETERMINERS, *L.SUBJECTS, "u", "not", "never", *L.WH_WORDS, "there", "here", "let's") | at(tokens, plain).contains("'")
-    return F.when(found >= 0, found).when((act == "request") & (plain >= 0) & ~closed & at(tokens, plain + 1).isin(*objects), plain).otherwise(-1)
-
-
-def roles(tokens: Column, predicate: Column, verbs=L.VERBS) -> dict[str, Column]:
-    """Predicate, object, place and recipient of a clause; empty where there is no predicate."""
-    length = M.verb_unit(tokens, predicate, verbs)
-    surface = F.array_join(F.slice(tokens, predicate + 1, length), " ")
-    payload = F.array_join(F.slice(tokens, predicate + length + 1, 2000), " ")
-    to = F.regexp_extract(payload, "^(.*?) to (.*)$", 1)
-    has_to = payload.rlike(".* to ")
-    trimmed = X.trim_target(payload)
-    left, who = X.split_recipient(trimmed)
-    given = (who != "") & (X.strip_edges(left) != "")
-    thing = F.when(has_to, X.trim_target(to)).when(given, left).otherwise(trimmed)
-    recipient = F.when(has_to, X.trim_target(F.regexp_extract(payload, "^(.*?) to (.*)$", 2))).when(given, who).otherwise("")
-    target, place, _ = X.split_place(thing)
-    some = predicate >= 0
-    return {
-        "predicate_lemma": F.when(some, F.when(length > 1, surface).otherwise(M.lemma(at(tokens, predicate)))).otherwise(""),
-        "predicate_surface": F.when(some, surface).otherwise(""),
-        "object": F.when(some, target).otherwise(""),
-        "destination": F.when(some, place).otherwise(""),
-        "recipient_or_direction": F.when(some, recipient).otherwise(""),
-    }
+        out = F.lit(False)
+        for k in (3, 2, 1):
+            out = F.when(determined(i + k), False).when(_flag("is_verb", i + k), True).otherwise(out)
+        return out
+
+    verb = first_index(tokens, lambda t, i: (i >= F.col("begin")) & _flag("is_verb", i) & ~((i > 0) & determined(i - 1)) & ~t.isin(*L.DISCOURSE) & ~(helper(i) & governs(i)))
+    c = c.withColumn("verb_at", verb).withColumn("open_at", first_index(tokens, lambda t, i: (i >= F.col("begin")) & ~t.isin(*L.DISCOURSE)))
+    word = at(tokens, F.col("open_at"))
+    closed = word.isin(*L.DETERMINERS, *L.SUBJECTS, "u", "not", "never", *L.WH_WORDS, "there", "here", "let's") | word.contains("'")
+    unknown = (F.col(act) == "request") & (F.col("open_at") >= 0) & ~closed & at(tokens, F.col("open_at") + 1).isin(*OBJECTS, "her")
+    return c.withColumn("predicate", F.when(F.col("verb_at") >= 0, F.col("verb_at")).when(unknown, F.col("open_at")).otherwise(-1)).drop("begin", "verb_at", "open_at")
+
+
+def with_unit(c, verbs=L.VERBS):
+    """c with unit: how many tokens from the predicate on form one verb."""
+    tokens, p = F.col("tokens"), F.col("predicate")
+    long = [v for v in verbs if "_" in v]
+    head = F.when(at(F.col("lemmas"), p).isin(*verbs), at(F.col("lemmas"), p)).otherwise(at(tokens, p))
+    c = c.withColumn("unit_head", head)
+    best = F.lit(1)
+    for n in (2, 3, 4):
+        joined = F.concat_ws("_", "unit_head", F.slice(tokens, F.greatest(p, F.lit(0)) + 2, n - 1))
+        best = F.when((F.size(tokens) >= p + n) & joined.isin(*long), n).otherwise(best)
+    return c.withColumn("unit", F.when(at(tokens, p + 1).isin(*L.VERB_BLOCKERS), 1).otherwise(best)).drop("unit_head")
+
+
+def with_target(c, text: str, target: str = "target", recipient: str = "recipient"):
+    """c with the target and recipient of a column's text: a recipient in front or behind is taken off first."""
+    c = c.withColumn("__s", F.regexp_replace(text, X.SPAN_TAIL, ""))
+    rest, who = X.split_recipient(F.col("__s"))
+    c = c.withColumn("__rest", rest).withColumn("__who", who)
+    given = (F.col("__who") != "") & (X.strip_edges(F.col("__rest")) != "")
+    c = c.withColumn("__t", F.when(given, F.col("__rest")).otherwise(F.col(text))).withColumn(recipient, F.when(given, F.col("__who")).otherwise(""))
+    return c.withColumn(target, F.coalesce(X.trim_target(F.col("__t")), F.lit(""))).drop("__s", "__rest", "__who", "__t")
+
+
+def with_place(c, target: str = "target"):
+    """c with target, place and preposition taken apart."""
+    thing, place, preposition = X.split_place(F.col(target))
+    return c.withColumn("place", place).withColumn("preposition", preposition).withColumn(target, thing)
+
+
+def with_roles(c, verbs=L.VERBS):
+    """c (prepared, with speech_act) with predicate, predicate_lemma, predicate_surface, object, destination and
+    recipient_or_direction; empty where there is no predicate."""
+    c = with_unit(with_predicate(c), verbs)
+    some, tokens = F.col("predicate") >= 0, F.col("tokens")
+    first = F.greatest("predicate", F.lit(0)) + 1
+    c = c.withColumn("predicate_surface", F.when(some, F.array_join(F.slice(tokens, first, F.col("unit")), " ")).otherwise(""))
+    c = c.withColumn("predicate_lemma", F.when(some, F.when(F.col("unit") > 1, F.col("predicate_surface")).otherwise(at(F.col("lemmas"), F.col("predicate")))).otherwise(""))
+    c = c.withColumn("payload", F.when(some, F.array_join(F.slice(tokens, first + F.col("unit"), 2000), " ")).otherwise(""))
+    to = r"^(.*?) to (.*)$"
+    c = c.withColumn("__to", F.col("payload").rlike(to)).withColumn("__thing", F.when(F.col("__to"), F.regexp_extract("payload", to, 1)).otherwise(F.col("payload"))).withColumn("__whom", F.regexp_extract("payload", to, 2))
+    c = with_target(c, "__thing", "object", "__recipient")
+    c = c.withColumn("recipient_or_direction", F.when(F.col("__to"), X.trim_target(F.col("__whom"))).otherwise(F.col("__recipient")))
+    return with_place(c, "object").withColumnRenamed("place", "destination").drop("__to", "__thing", "__whom", "__recipient", "payload", "unit", "preposition")

@@ -141,13 +141,8 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     usable = turns.where((F.length("text") <= L.MAX_CHARS) & (F.size(X.tokenize(F.col("text"))) <= L.MAX_TOKENS))
     cut = pieces(usable.repartition(n, "turn_id"), surfaces, *keep)
 
-    # candidates
-    direct = match.contiguous(cut, registry).unionByName(match.separated(cut, registry)).unionByName(match.narrated(cut, registry, known)).unionByName(match.gerunds(cut, registry))
-    told = match.not_determined(direct, cut)
-    mentions = match.inflected(cut, registry).join(cut.select("turn_id", "clause_no", "clause"), ["turn_id", "clause_no"])
-    hits = match.best(told.unionByName(mentions))
-    one = cut.join(hits, ["turn_id", "clause_no"], "left")
-    return _turn_level(_guards(one, surfaces, deeds, names, known), cut, keep)
+    one = match.chosen(cut, registry, known)
+    return _turn_level(_guards(one, surfaces, deeds, names, known), keep)
 
 
 def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFrame:
@@ -166,17 +161,17 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
     d = d.withColumn("suffix", suffix).withColumn("payload", X.strip_edges(payload))
     why_not = X.has_any_word(F.col("prefix"), ["why don't you", "why not"])
     d = d.withColumn("why_not", F.coalesce(why_not | (F.col("how") == "gerund"), F.lit(False))).withColumn("asks", F.col("question") & ~F.col("why_not"))
-    tokens = X.tokenize(F.col("prefix"))
+    d = d.withColumn("prefix_tokens", X.tokenize(F.col("prefix"))).withColumn("after", X.tokenize(F.col("suffix")))
+    tokens = F.col("prefix_tokens")
     modal = (C.inverted_modal(tokens) >= 0) | X.has_any_word(F.col("prefix"), ["you can", "you could", "you would", "you will", "you may"])
     d = d.withColumn("addressed", F.coalesce(F.col("asks") & (F.col("target_mode") == "required") & modal & ~generic_plural(F.col("suffix")), F.lit(False)))
     likely = X.has_any_word(F.col("prefix"), ["will probably", "will likely", "will perhaps", "will maybe", "will most likely"])
     told = X.has_any_word(F.col("prefix"), ["you should", "you must", "you can", "you could", "you would"]) | (X.has_any_word(F.col("prefix"), ["you will"]) & ~likely) | (C.inverted_modal(tokens) >= 0)
     boundary = F.col("prefix").rlike("[—;:]$")
     ordered = (F.size(X.tokenize(F.col("lead"))) <= 1) | boundary | F.col("lead").isin("go", "come", "please go", "please come")
-    adverb = F.size(X.tokenize(F.col("lead"))) == 1
     request = X.has_any_word(F.col("prefix"), ["please"]) | told | contains_any(F.col("lower"), INDIRECT_REQUEST) | F.col("why_not") | ordered | (F.col("how") == "narration")
     d = d.withColumn("request", F.coalesce(request, F.lit(False)))
-    after = X.tokenize(F.col("suffix"))
+    after = F.col("after")
     subject = F.size(after).cast("int") >= 3
     bare = ~C.at(after, 0).isin(*L.DETERMINERS, "it", "them", "me", "us", "all", "every") & ~C.at(after, 1).isin(*L.VERB_BLOCKERS, "and", "or", "then", "now", "please") & C.at(after, 2).isin(*L.DETERMINERS, "it", "them", "me", "us", "him") & C.at(after, 1).isin(*L.VERBS)
     noun_phrase = F.coalesce(subject & bare & ~told & ~F.col("why_not") & (F.col("how") != "narration"), F.lit(False))
@@ -215,12 +210,10 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
     d = d.withColumns({"guard": guard, "outcome": kind, "query_kind": query, "surface_kind": F.when(quoted, "quotation").when(code, "code").otherwise("")})
     # target, place and recipient
     resultative = r"^(it|them|this|that|him|her) ([^ ]*ed)[.!?]*$"
-    rest, who = X.split_recipient(F.regexp_replace(F.col("payload"), X.SPAN_TAIL, ""))
-    demoted = (who != "") & (X.strip_edges(rest) != "")
-    target = F.when(F.col("payload").rlike(resultative) & M.is_verb(F.regexp_extract("payload", resultative, 2)), F.regexp_extract("payload", resultative, 1)).when(demoted, X.trim_target(rest)).otherwise(X.trim_target(F.col("payload")))
-    d = d.withColumn("whole_target", F.coalesce(target, F.lit(""))).withColumn("recipient", F.coalesce(F.when(demoted, who), F.lit("")))
-    thing, place, preposition = X.split_place(F.col("whole_target"))
-    d = d.withColumns({"target": thing, "place": place, "preposition": preposition})
+    d = C.with_target(d, "payload", "whole_target", "recipient")
+    held = F.col("payload").rlike(resultative) & M.is_verb(F.regexp_extract("payload", resultative, 2))
+    d = d.withColumn("whole_target", F.coalesce(F.when(held, F.regexp_extract("payload", resultative, 1)), F.col("whole_target"))).withColumn("recipient", F.when(held, "").otherwise(F.coalesce("recipient", F.lit(""))))
+    d = C.with_place(d.withColumn("target", F.col("whole_target")))
     d = d.withColumn("complement", F.coalesce(F.col("payload").rlike("^(?:if|whether) "), F.lit(False)))
     d = d.withColumn("target", F.when(F.col("complement"), "").otherwise(F.col("target"))).withColumn("place", F.when(F.col("complement"), "").otherwise(F.col("place")))
     if "insert" in names:
@@ -235,21 +228,22 @@ def _missing(target: Column, mode: Column) -> Column:
     return (mode == "required") & ((target == "") | target.isin(*L.PRONOUN_TARGETS, "the other", "other") | target.contains("...") | ~X.has_word(target) | target.rlike("[—-]$"))
 
 
-def _turn_level(d: DataFrame, cut: DataFrame, keep) -> DataFrame:
+def _turn_level(d: DataFrame, keep) -> DataFrame:
     # the fold: pronouns take the only target of the frame before, or what that clause was about
-    fields = ["clause_no", "outcome", "guard", "action", "target", "target_mode", "how", "complement", "topic", "question_topic", "question", "deixis"]
-    rows = d.groupBy("turn_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    item = "array<struct<clause_no:int,target:string,reference:string,coreference:string>>"
+    names = [c for c in d.columns if c not in ("turn_id", "clause_no")]
+    rows = d.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("clause_no", F.struct(*names).alias("r")))).alias("rows"))
+    item = "array<struct<target:string,reference:string,coreference:string>>"
     start = F.struct(F.lit("").alias("target"), F.lit("").alias("topic"), F.lit("").alias("asked"), F.array().cast(item).alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
+        r = x["r"]
         pronoun = r["target"].isin(*L.PRONOUN_TARGETS) & (r["outcome"] == "execute")
         near = F.when(s["target"] != "", s["target"]).when(s["topic"] != "", s["topic"]).otherwise(s["asked"])
         why = F.when(s["target"] != "", "coreference:unique_previous_target").when(s["topic"] != "", "coreference:previous_clause_subject").otherwise("coreference:previous_question_topic")
         taken = (pronoun & (near != "")) | (r["complement"] & (s["target"] != ""))
         target = F.when(pronoun & (near != ""), near).when(r["complement"] & (s["target"] != ""), s["target"]).otherwise(r["target"])
         lasting = (r["outcome"] == "execute") & ~_missing(target, r["target_mode"]) & (target != "")
-        note = F.struct(r["clause_no"].cast("int").alias("clause_no"), target.alias("target"), F.when(pronoun & taken, r["target"]).otherwise("").alias("reference"), F.when(taken & pronoun, why).when(taken, "coreference:clause_complement_previous_target").otherwise("").alias("coreference"))
+        note = F.struct(target.alias("target"), F.when(pronoun & taken, r["target"]).otherwise("").alias("reference"), F.when(taken & pronoun, why).when(taken, "coreference:clause_complement_previous_target").otherwise("").alias("coreference"))
         return F.struct(
             F.when(lasting, target).otherwise("").alias("target"),
             F.when(r["outcome"] == "conversation", F.coalesce(r["topic"], F.lit(""))).otherwise("").alias("topic"),
@@ -257,8 +251,9 @@ def _turn_level(d: DataFrame, cut: DataFrame, keep) -> DataFrame:
             F.concat(s["out"], F.array(note)).alias("out"),
         )
 
-    solved = rows.select("turn_id", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("s")).select("turn_id", "s.clause_no", F.col("s.target").alias("solved"), "s.reference", "s.coreference")
-    d = d.join(solved, ["turn_id", "clause_no"])
+    notes = rows.withColumn("notes", F.aggregate("rows", start, step, lambda s: s["out"]))
+    each = notes.select("turn_id", F.explode(F.arrays_zip("rows", "notes")).alias("z"))
+    d = each.select("turn_id", "z.rows.clause_no", "z.rows.r.*", F.col("z.notes.target").alias("solved"), F.col("z.notes.reference").alias("reference"), F.col("z.notes.coreference").alias("coreference"))
     run = d["outcome"] == "execute"
     narrated = run & (F.col("how") == "narration")
     state = run & ~narrated & F.col("solved").isin("free", "loose", "shut", "closed", "open", "apart")

@@ -73,10 +73,7 @@ def unit_at(hits: DataFrame, units: DataFrame) -> DataFrame:
 
 def requests(clauses: DataFrame, graph: DataFrame, registry: DataFrame) -> DataFrame:
     """One row a clause: the longest entry at its predicate, or its unknown verb; act and what keeps it from being done."""
-    tokens = X.tokenize(F.col("clause"))
-    c = clauses.withColumn("tokens", tokens).withColumn("act", C.speech_act(F.col("clause"), F.col("tokens")))
-    c = c.withColumn("predicate", C.predicate_index(F.col("clause"), F.col("tokens"), F.col("act")))
-    c = c.withColumns({k: v for k, v in C.roles(F.col("tokens"), F.col("predicate")).items() if k in ("predicate_lemma", "object")})
+    c = C.with_roles(C.prepared(clauses).withColumn("speech_act", C.speech_act())).withColumnRenamed("speech_act", "act")
     # the place of the predicate: that of its word's first whole standing
     word = C.at(F.col("tokens"), F.col("predicate"))
     c = c.withColumn("predicate_at", F.when(F.col("predicate") >= 0, F.regexp_instr(F.lower("clause"), F.concat(F.lit(f"(?<![{L.WORD_CLASS}])\\Q"), word, F.lit(f"\\E(?![{L.WORD_CLASS}])"))) - 1).otherwise(-1))

@@ -104,19 +104,75 @@ def imperative_prefix(prefix: Column) -> Column:
     return X.without_discourse(X.local_prefix(prefix))
 
 
+def bases_of(word: Column) -> Column:
+    """Base forms that a word may be an inflection of by rule; the word itself is not one."""
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    single = lambda c: F.regexp_replace(c, r"(.)\1$", "$1")
+    none = F.array().cast("array<string>")
+    every = F.concat(
+        F.array(M.lemma(word)),
+        F.when(word.endswith("ed"), F.array(cut(2), single(cut(2)), cut(1))).otherwise(none),
+        F.when(word.endswith("ing"), F.array(cut(3), single(cut(3)), F.concat(cut(3), F.lit("e")))).otherwise(none),
+        F.when(word.endswith("s"), F.array(cut(1), cut(2))).otherwise(none),
+        F.when(word.rlike("(?:ied|ies)$"), F.array(F.concat(cut(3), F.lit("y")))).otherwise(none),
+    )
+    return F.filter(F.array_distinct(every), lambda b: b != word)
+
+
+def chosen(pieces: DataFrame, registry: DataFrame, known: DataFrame, longest: int = 3, gap: int = 4) -> DataFrame:
+    """pieces (turn_id, clause_no, clause and more) with hit, the best candidate of each or null.
+
+    All that could be a surface (runs of words, split particles, told and asked inflections, mentions) is laid out in the
+    row and exploded once, joined once, and the best taken where the rows already are: the pieces must be partitioned by
+    turn_id, then nothing is shuffled."""
+    deeds = known.where(~F.col("family").isin("perception", "perceptioncognition", "metaactions", "information")).select("action").distinct().withColumn("deed", F.lit(True))
+    table = registry.join(small(deeds), "action", "left").groupBy("surface").agg(F.sort_array(F.collect_set("action")).alias("actions"), F.min("alias_ord").alias("alias_ord"), F.sort_array(F.collect_set(F.when(F.col("deed"), F.col("action")))).alias("deeds"))
+    d = pieces.withColumn("low", F.lower("clause")).withColumn("w", words_of(F.col("clause")))
+    item = lambda surface, first, end, how, at=F.lit(-1), n=F.lit(0): F.struct(surface.alias("surface"), first.cast("int").alias("first"), end.cast("int").alias("end"), F.lit(how).alias("how"), at.cast("int").alias("particle_at"), n.cast("int").alias("particle_length"))
+    low, w = F.col("low"), F.col("w")
+
+    def run(n: int) -> Column:
+        whole = lambda x, i: item(F.substring(low, x["first"] + 1, F.get(w, i + (n - 1))["end"] - x["first"]), x["first"], F.get(w, i + (n - 1))["end"], "direct")
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), whole)
+
+    def apart(head: Column, i: Column) -> Column:
+        near = F.filter(F.slice(w, i + 3, gap), lambda p: p["word"].isin(*L.PARTICLES))
+        between = lambda p: F.substring(low, head["end"] + 1, p["first"] - head["end"])
+        closed = lambda p: F.substring(low, p["end"] + 1, F.length(low)).rlike("^(?:[.,!?;]|$| (?:please|now|again|for|and|then|to)(?: |$|[.,!?]))")
+        kept = F.filter(near, lambda p: ~between(p).contains(",") & ~between(p).contains(" and ") & closed(p))
+        return F.transform(kept, lambda p: item(F.concat_ws(" ", head["word"], p["word"]), head["first"], head["end"], "separated", p["first"], F.length(p["word"])))
+
+    told = F.regexp_extract(low, NARRATION, 1)
+    d = d.withColumn("told", told).withColumn("told_end", F.length(F.regexp_extract(low, NARRATION, 0)))
+    told_bases = F.array_distinct(F.array(M.lemma(F.col("told")), F.concat(M.lemma(F.col("told")), F.lit("e")), F.col("told")))
+    narration = F.when(F.col("told") != "", F.transform(told_bases, lambda b: item(b, F.col("told_end") - F.length("told"), F.col("told_end"), "narration"))).otherwise(F.array())
+    mention = F.flatten(F.transform(w, lambda x: F.transform(bases_of(x["word"]), lambda b: item(b, x["first"], x["end"], "mention"))))
+    asked = F.flatten(F.transform(F.filter(w, lambda x: x["word"].endswith("ing")), lambda x: F.transform(F.array(M.lemma(x["word"]), F.concat(M.lemma(x["word"]), F.lit("e"))), lambda b: item(b, x["first"], x["end"], "gerund"))))
+    d = d.withColumn("all", F.concat(*(run(n) for n in range(1, longest + 1)), F.flatten(F.transform(w, apart)), F.coalesce(narration.cast("array<struct<surface:string,first:int,end:int,how:string,particle_at:int,particle_length:int>>"), F.array()), asked, mention))
+    d = d.drop("w", "told", "told_end").withColumn("c", F.explode_outer("all")).drop("all")
+    d = d.withColumn("surface", F.col("c.surface")).join(small(table), "surface", "left")
+    before = F.substring("low", F.lit(1), F.col("c.first"))
+    d = d.withColumn("prefix", X.strip_edges(before)).withColumn("noun", before.rlike(f"(?:^|[^{L.LEXICAL_CLASS}])(?:{L.any_of(L.DETERMINERS[:-1])}) +$"))
+    d = d.withColumn("lead", imperative_prefix(F.col("prefix")))
+    how = F.col("c.how")
+    single = ~F.col("surface").contains(" ")
+    fits = F.when(how == "narration", single & (F.size("deeds") > 0)).when(how == "gerund", single & ((F.col("lead") == "") | F.col("lead").endswith("mind") | F.col("lead").isin("how about", "what about"))).when(how == "mention", single).otherwise(True)
+    usable = F.col("actions").isNotNull() & fits & (~F.col("noun") | (how == "mention"))
+    score = F.when(C.addressed_modal(X.tokenize(F.col("prefix"))), 10_000).otherwise(0) + F.when(X.has_any_word(F.col("prefix"), ["please"]), 1000).otherwise(0) + F.when(F.col("lead").isin("go", "come"), 500).otherwise(0)
+    imperative = (F.size(X.tokenize(F.col("lead"))) <= 1) & how.isin("direct", "separated")
+    acts = F.when(how == "narration", F.col("deeds")).otherwise(F.col("actions"))
+    hit = F.struct("surface", F.col("c.first").alias("first"), F.col("c.end").alias("end"), acts.alias("actions"), F.col("c.particle_at").alias("particle_at"), F.col("c.particle_length").alias("particle_length"), how.alias("how"), "prefix", "lead")
+    d = d.withColumn("hit", F.when(usable, hit)).withColumn("key", F.when(usable, F.struct(how != "mention", score, imperative, -F.col("c.first"), F.length("surface"), -F.col("alias_ord"))))
+    rest = [c for c in pieces.columns if c not in ("turn_id", "clause_no")]
+    return d.groupBy("turn_id", "clause_no").agg(*(F.first(c).alias(c) for c in rest), F.max_by("hit", "key").alias("hit"))
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
     """score, imperative and rank key of candidates that carry their clause: politeness and modals in front first, then
     a direct order, a whole or told action before a mention, the place from the left, the longer surface, the order
     of the registry."""
     prefix = X.strip_edges(F.substring(F.lower("clause"), F.lit(1), F.col("first")))
-    lead = imperative_prefix(prefix)
-    score = F.when(C.addressed_modal(X.tokenize(prefix)), 10_000).otherwise(0) + F.when(X.has_any_word(prefix, ["please"]), 1000).otherwise(0) + F.when(lead.isin("go", "come"), 500).otherwise(0)
-    out = candidates.withColumn("prefix", prefix).withColumn("lead", lead).withColumn("score", score)
-    out = out.withColumn("imperative", (F.size(X.tokenize(F.col("lead"))) <= 1) & F.col("how").isin("direct", "separated"))
+    out = candidates.withColumn("prefix", prefix).withColumn("lead", imperative_prefix(F.col("prefix")))
+    score = F.when(C.addressed_modal(X.tokenize(F.col("prefix"))), 10_000).otherwise(0) + F.when(X.has_any_word(F.col("prefix"), ["please"]), 1000).otherwise(0) + F.when(F.col("lead").isin("go", "come"), 500).otherwise(0)
+    out = out.withColumn("score", score).withColumn("imperative", (F.size(X.tokenize(F.col("lead"))) <= 1) & F.col("how").isin("direct", "separated"))
     return out.withColumn("key", F.struct(F.col("how") != "mention", "score", "imperative", -F.col("first"), F.length("surface"), -F.col("alias_ord")))
-
-
-def best(candidates: DataFrame) -> DataFrame:
-    """The candidate of each clause, as a struct."""
-    fields = F.struct("surface", "first", "end", "actions", "particle_at", "particle_length", "how", "score", "imperative", "prefix", "lead")
-    return ranked(candidates).groupBy("turn_id", "clause_no").agg(F.max_by(fields, "key").alias("hit"))

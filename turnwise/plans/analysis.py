@@ -22,9 +22,9 @@ def limits(turns: DataFrame) -> DataFrame:
 
 def features(turns: DataFrame, *keep: str) -> DataFrame:
     """One row a clause with its tokens and features."""
-    c = clauses(turns, *keep).withColumn("tokens", X.tokenize(F.col("clause")))
+    c = C.prepared(clauses(turns, *keep)).withColumn("speech_act", C.speech_act())
     t = F.col("tokens")
-    c = c.withColumns({"speech_act": C.speech_act(F.col("clause"), t), "question": F.col("clause").endswith("?"), "negated": C.negated(t), "conditional": F.arrays_overlap(t, F.array(F.lit("if"), F.lit("would"))), "condition_kind": C.condition_kind(t), "modal": C.modal(t), "references": C.references(t)})
+    c = c.withColumns({"question": F.col("clause").endswith("?"), "negated": C.negated(t), "conditional": F.arrays_overlap(t, F.array(F.lit("if"), F.lit("would"))), "condition_kind": C.condition_kind(t), "modal": C.modal(t), "references": C.references(t)})
     return c
 
 

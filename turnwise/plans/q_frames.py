@@ -170,7 +170,7 @@ on_turns("b19_contrastive", " OR ".join(f"contains({low}, '{p}')" for p in frame
 on_turns("b28_deixis", f"regexp_replace(regexp_extract({low}, '^(?:put|throw|hand|give|wait|open|close) (.*)$', 1), '(?:[.!?,\\s]| please| now)+$', '') IN {O.members(frames.DEIXIS)} AS here", here=lambda: F.regexp_replace(F.regexp_extract(LOW(), "^(?:put|throw|hand|give|wait|open|close) (.*)$", 1), r"(?:[.!?,\s]| please| now)+$", "").isin(*frames.DEIXIS))
 on_turns("b32_indefinite", f"regexp_matches({low}, '^[a-z]+ (?:(?:me|us|him|her|them) )*(?:a|an|some|any|another) ') AS indefinite", indefinite=lambda: LOW().rlike("^[a-z]+ (?:(?:me|us|him|her|them) )*(?:a|an|some|any|another) "))
 on_turns("g05_count_value", f"CASE WHEN regexp_matches(text, '(?i) twice[.!]*$') THEN 2 WHEN regexp_matches(text, '(?i) thrice[.!]*$') THEN 3 WHEN regexp_matches(text, '(?i) [0-9]+ times?[.!]*$') THEN greatest(CAST(regexp_extract(text, '(?i) ([0-9]+) times?[.!]*$', 1) AS BIGINT), 1) ELSE 1 END AS n", n=lambda: long(frames.counted(X.normalize(T()))[1]))
-on_turns("g06_do_count", "CASE WHEN regexp_matches('do 2 ' || lower(split_part(text, ' ', 1)) || 's', '^do 2 (open|close|jump|push|wave|wait|sit|read|drop|give|hand|pass|put|place|lift|throw|break|leave|clean|press|raise|grab|take|shut|equip|insert|toss|smash|destroy|wipe|repair|fix|examine|inspect|remember|hop|follow)s$') THEN 2 ELSE 0 END AS n", n=lambda: long(frames.do_counted(F.concat(F.lit("do 2 "), F.lower(F.split("text", " ")[0]), F.lit("s")), [a for a, _ in L.ALIASES])[1]))
+on_turns("g06_do_count", "CASE WHEN regexp_matches('do 2 ' || lower(regexp_extract(text, '^([A-Za-z]+)', 1)) || 's', '^do 2 (open|close|jump|push|wave|wait|sit|read|drop|give|hand|pass|put|place|lift|throw|break|leave|clean|press|raise|grab|take|shut|equip|insert|toss|smash|destroy|wipe|repair|fix|examine|inspect|remember|hop|follow)s$') THEN 2 ELSE 0 END AS n", n=lambda: long(frames.do_counted(F.concat(F.lit("do 2 "), F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)), F.lit("s")), [a for a, _ in L.ALIASES])[1]))
 on_turns("k02_retraction_formula", f"regexp_matches({low}, '(?:^|[.!?] )(?:{O.one_of(L.RETRACTIONS)})(?:[^{O.X}]|$)') AS takes_back", takes_back=lambda: LOW().rlike(f"(?:^|[.!?] )(?:{L.any_of(L.RETRACTIONS)})(?:[^{L.LEXICAL_CLASS}]|$)"))
 
 # Joins
@@ -190,7 +190,7 @@ query("j08_direct_semi", O.T_CLAUSES + _hit + " SELECT turn_id, clause_no FROM c
 _key = f"CASE WHEN regexp_matches(p, '(^|[^{O.X}])please([^{O.X}]|$)') THEN 1000 ELSE 0 END"
 
 
-@query("r01_alias_rank", O.T_CLAUSES + _hit + f", k AS (SELECT *, {O.strip('substr(lower(clause), 1, first)')} AS p FROM hit), s AS (SELECT *, CASE WHEN {' OR '.join(f'''regexp_matches(p, '(^|[^{O.X}])({m}) ({y})([^{O.X}]|$)')''' for m, y in ((O.one_of(L.MODALS), O.one_of(L.SECOND_PERSON)), (O.one_of(L.SECOND_PERSON), O.one_of(L.MODALS))))} THEN 10000 ELSE 0 END + {_key} AS score FROM k) SELECT turn_id, clause_no, arg_max(surface, score * 1000000 - first * 1000 + length(surface)) AS surface FROM s GROUP BY ALL")
+@query("r01_alias_rank", O.T_CLAUSES + _hit + f", k AS (SELECT *, {O.strip('substr(lower(clause), 1, first)')} AS p FROM hit), s AS (SELECT *, CASE WHEN {' OR '.join(f'''regexp_matches(p, '(^|[^{O.X}])({m}) ({y})([^{O.X}]|$)')''' for m, y in ((O.one_of(L.MODALS), O.one_of(L.SECOND_PERSON)), (O.one_of(L.SECOND_PERSON), O.one_of(L.MODALS))))} THEN 10000 ELSE 0 END + {_key} AS score FROM k) SELECT turn_id, clause_no, arg_max(surface, score::BIGINT * 1000000 - first * 1000 + length(surface)) AS surface FROM s GROUP BY ALL")
 def _rank(s, d):
     """By score, place and length: the made turns have one clause-initial order each, so no other rule decides."""
     c = S.clauses(turns(s, d))

@@ -205,15 +205,15 @@ act AS (SELECT turn_id, clause_no, clause, t, CASE
     WHEN subj NOT IN {O.members(L.DECLARATIVE)} AND ((w2 IN {_objs} AND len(list_filter(range(3, len(hd) + 1), lambda i: {O.verb("hd[i]")} AND hd[i - 1] NOT IN {_objs})) = 0) OR ({_base("w2")} AND NOT contains(w1, ''''))) THEN 'request' ELSE 'statement' END
   WHEN subj NOT IN {O.members(L.DECLARATIVE)} AND w1 = ({O.lemma("w1")}) THEN 'request'
   ELSE 'statement' END AS speech_act FROM f)"""
-query("c09_speech_act", O.ON_CLAUSES + _act + " SELECT turn_id, clause_no, speech_act FROM act")(lambda s, d: S.clauses(utterances(s, d)).select("turn_id", long(F.col("clause_no")).alias("clause_no"), C.speech_act(CL(), X.tokenize(CL())).alias("speech_act")))
+query("c09_speech_act", O.ON_CLAUSES + _act + " SELECT turn_id, clause_no, speech_act FROM act")(lambda s, d: analysis.features(utterances(s, d)).select("turn_id", long(F.col("clause_no")).alias("clause_no"), "speech_act"))
 query("c11_segment_surface", O.ON_CLAUSES + _act + " SELECT turn_id, CASE WHEN bool_or(speech_act = 'request') THEN 'request' WHEN bool_or(speech_act = 'question') THEN 'question' ELSE 'statement' END AS surface FROM act GROUP BY turn_id")(lambda s, d: analysis.features(utterances(s, d)).groupBy("turn_id").agg(F.when(F.bool_or(F.col("speech_act") == "request"), "request").when(F.bool_or(F.col("speech_act") == "question"), "question").otherwise("statement").alias("surface")))
 query("a01_request_count", O.ON_CLAUSES + _act + " SELECT turn_id, count(*) FILTER (speech_act = 'request') AS requests, count(*) AS clauses FROM act GROUP BY turn_id")(lambda s, d: analysis.features(utterances(s, d)).groupBy("turn_id").agg(F.count_if(F.col("speech_act") == "request").alias("requests"), F.count("*").alias("clauses")))
 
 
 @query("c10_clause_roles", "")
 def _roles(s, d):
-    c = S.clauses(turns(s, d)).withColumn("t", X.tokenize(CL())).withColumn("act", C.speech_act(CL(), TK())).withColumn("p", C.predicate_index(CL(), TK(), F.col("act")))
-    return c.select("turn_id", "clause_no", "p", *(v.alias(k) for k, v in C.roles(TK(), F.col("p")).items()))
+    c = C.with_roles(analysis.features(turns(s, d)))
+    return c.select("turn_id", long(F.col("clause_no")).alias("clause_no"), long(F.col("predicate")).alias("predicate"), "predicate_lemma", "predicate_surface", "object", "destination", "recipient_or_direction")
 
 
 del ORACLE["c10_clause_roles"]  # its search over tokens has no SQL; tests hold it against a truth table
