@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnwise.plans import q_frames, q_text
+from turnwise.plans import q_frames, q_graph, q_text
 
-QUERIES = {**q_text.QUERIES, **q_frames.QUERIES}
-ORACLE = {**q_text.ORACLE, **q_frames.ORACLE}
+QUERIES = {**q_text.QUERIES, **q_frames.QUERIES, **q_graph.QUERIES}
+ORACLE = {**q_text.ORACLE, **q_frames.ORACLE, **q_graph.ORACLE}
