@@ -2,8 +2,8 @@
 
 A byte is removed if a string of LENGTH bytes that covers it also starts anywhere else, in the same document or another.
 
-1. Anchors. Every LENGTH-byte string holds a SEED-byte string whose hash is the least in it, at a place that its bytes
-   alone decide. Equal strings thus have equal anchors at equal places, so only strings around equal anchors are compared.
+1. Anchors. Every LENGTH-byte string holds a seed (a shorter string) whose hash is the least in it, at a place that its
+   bytes alone decide. Equal strings thus have equal anchors at equal places, so only strings around equal anchors are compared.
    The text around an anchor that such strings can reach, LENGTH bytes less the seed on the left and LENGTH bytes from the
    anchor on, is its context.
 2. Copies. Contexts are grouped by anchor and hash; where a context occurs twice all of it is repeated and nothing else is
@@ -81,18 +81,44 @@ def slide(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(now[: len(now) - rest], now[rest:]) if rest else now
 
 
-def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and their hashes."""
-    seed = seed_size(length)
+def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Places of the anchors, their hashes, and spans of the text that are repeated within it a short way on.
+
+    Where a string holds its least hash several times, its anchor is the first or the last of these, whichever lies
+    farther from the string's own end: in text with a period, strings that reach beyond it then share one anchor at its
+    edge. Strings inside it equal those a period on; they are known to be repeated, and only one of each kind keeps its
+    anchor."""
+    seed, none = seed_size(length), (np.zeros(0, np.int64), np.zeros(0, np.uint64), [])
     if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = rolling(np.frombuffer(text, np.uint8), seed)
+        return none
+    data = np.frombuffer(text, np.uint8)
+    h = rolling(data, seed)
     width = length - seed + 1
     least = slide(h, width, np.minimum)
     # a place is an anchor if the minimum of some string that holds it is its own hash
     edge = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    return at, h[at]
+    order = np.argsort(h[at], kind="stable")
+    gaps = np.diff(at[order])[h[at][order][1:] == h[at][order][:-1]]
+    gaps = np.unique(gaps[gaps < width])
+    if not len(gaps):
+        return at, h[at], []
+    needed, spans = np.ones(len(least), bool), []
+    kinds = np.zeros(len(least), bool)
+    for q in gaps.tolist():
+        for a, b in runs(data[:-q] == data[q:]):
+            if b - a >= length:  # the text from a to b + q has the period q
+                needed[a : b + q - length + 1] = False
+                kinds[a : a + q] = True
+                spans.append((a, b + q))
+    place = np.arange(len(h))
+    rank = np.unique(h, return_inverse=True)[1].astype(np.int64) << 32
+    low = (1 << 32) - 1
+    first, last = slide(rank | place, width, np.minimum) & low, len(h) - (slide(rank | (len(h) - place), width, np.minimum) & low)
+    start = np.arange(len(least))
+    chosen = np.where(first - start < start + width - 1 - last, last, first)
+    at = np.unique(chosen[needed | kinds])
+    return at, h[at], joined(spans)
 
 
 def context_of(place: int, size: int, length: int) -> tuple[int, int]:
@@ -109,7 +135,7 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, places, firsts, lasts, hashes, contexts = [], [], [], [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
-                at, h = anchors_of(text, length)
+                at, h, spans = anchors_of(text, length)
                 view = memoryview(text)
                 rows += [i] * len(at)
                 for p in at.tolist():
@@ -119,6 +145,13 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
                     lasts.append(b)
                     contexts.append(xxhash.xxh3_64_intdigest(view[a:b], p - a))
                 hashes.append(h)
+                for a, b in spans:  # known already: no anchor
+                    rows.append(i)
+                    places.append(-1)
+                    firsts.append(a)
+                    lasts.append(b)
+                    contexts.append(0)
+                hashes.append(np.zeros(len(spans), np.uint64))
             take = pa.array(rows, pa.int64())
             h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             out = [batch.column("k1").take(take), batch.column("k2").take(take), *(pa.array(x, pa.int32()) for x in (places, firsts, lasts)), pa.array(h.view(np.int64)), pa.array(np.array(contexts, np.uint64).view(np.int64))]
@@ -311,7 +344,9 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["k1", "k2", "anchor", "first", "h"])
 
     strings = reached.mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
-    again = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # two contexts of one text may hold the same string at the same place: places are counted, not rows
+    at = F.struct("k1", "k2", "first")
+    again = strings.groupBy("anchor", "h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("anchor", "h")
     single = strings.join(again, ["anchor", "h"]).select("k1", "k2", "first", (F.col("first") + length).alias("end"))
     place = F.col("first") + (length - seed) - F.col("lead")
     return single.unionByName(reached.where("whole").select("k1", "k2", (place - F.col("left")).alias("first"), (place + seed + F.col("right")).alias("end")))
@@ -327,7 +362,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, wh
     packed = docs.select(F.struct(*names).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row"), F.col("text").cast("string").alias("text"))
     own = F.col("row.doc_id").cast("string") if "doc_id" in names else F.lit("")
     keyed = packed.select(F.xxhash64(own).alias("k1"), F.xxhash64("text").alias("k2"), "text", "row")
-    anchors = written(_anchors(keyed, length), "anchors")
+    found = written(_anchors(keyed, length), "anchors")
+    local, anchors = found.where("place < 0").select("k1", "k2", "first", F.col("last").alias("end")), found.where("place >= 0")
     classes = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     totals = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1").drop("total")
     wanted = written(classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes"), "classes")
@@ -339,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, wh
     hot = probes.where(F.col("classes") > group)
     if hot.limit(1).count():
         spans = spans.unionByName(_counted(written(_contexts(keyed, hot, length), "hot"), length))
-    marks = spans.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    marks = spans.unionByName(copies).unionByName(local).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     pieces = dealt.join(marks, ["k1", "k2"], "left")
     schema = f"row {packed.schema['row'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<first: int, end: int>>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
