@@ -34,7 +34,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 LOOSE = frozenset("p li dd dt td th tr tbody thead tfoot hr caption h1 h2 h3 h4 h5 h6 html body figcaption legend summary".split())
 
 NAMES = "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription social share sharing related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments respond replies disqus promo promotion sponsor sponsored widget copyright legal login signup search toolbar skip masthead site-header page-header top-header global-header"
-BAD_NAME = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|user|reader|post|article)[-_])?(?:{'|'.join(sorted(NAMES.split(), key=len, reverse=True))})(?:[-_](?:box|list|area|section|container|wrapper|bar|block|inner|links|menu|item|form|text|policy|body|content|thread|slot|unit|\d+))*", re.I)
+_NAME = "|".join(sorted(NAMES.split(), key=len, reverse=True))
+BAD_NAME = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|user|reader|post|article)[-_])?(?:{_NAME})(?:[-_](?:{_NAME}|box|list|area|section|container|wrapper|bar|block|inner|links|item|form|text|policy|body|content|thread|slot|unit|\d+))*", re.I)
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 
 #: Common words of the languages served.
