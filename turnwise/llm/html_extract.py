@@ -164,10 +164,8 @@ def second_pass(blocks: list[Block]) -> None:
         for i in order:
             b = blocks[i]
             out[i] = last.get(b.home)
-            if decided[i]:
-                last[0] = i
-                if b.home and not b.out:
-                    last[b.home] = i
+            if decided[i] and not b.out:  # what is out by its place says nothing of what stands beside it
+                last[0] = last[b.home] = i
         return out
 
     before, after = neighbours(range(len(blocks))), neighbours(range(len(blocks) - 1, -1, -1))
