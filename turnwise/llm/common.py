@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a Python worker holds at once are bounded by bytes, not by count: a batch is cut when it passes this.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -79,6 +81,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused from stage to stage, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over bounded batches; a task gives its memory back at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(whole, schema)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow with a per-task setup: make() runs once in each task, what it returns runs on byte-bounded batches."""
 
@@ -89,8 +109,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             yield step(batch)
             pa.default_memory_pool().release_unused()
 
-    bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def lower_ascii(column):

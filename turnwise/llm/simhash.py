@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import UPPER, as_bytes, map_texts, small, written
+from turnwise.llm.common import UPPER, as_bytes, map_batches, map_texts, small, written
 from turnwise.llm.components import components
 
 SHINGLE = 4
@@ -147,7 +147,7 @@ def in_buckets(dealt: DataFrame, near) -> DataFrame:
                 found += [(int(rows[2, a + i]), int(rows[2, a + j])) for i, j in near(rows[:, a:b])]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    return dealt.repartition(n, "key", "t").sortWithinPartitions("key", "t").mapInArrow(run, "u long, v long")
+    return map_batches(dealt.repartition(n, "key", "t").sortWithinPartitions("key", "t"), run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
@@ -297,4 +297,4 @@ def _verified(met: DataFrame, similarity: float) -> DataFrame:
         found = edges(nodes, fps, sets)
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    return met.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return map_batches(met.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b"), run, "u long, v long").distinct()

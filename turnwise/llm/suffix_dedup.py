@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import as_bytes, map_texts, small_batches, written
+from turnwise.llm.common import as_bytes, map_batches, map_texts, small_batches, written
 
 LENGTH = 400
 GROUP = 16_384
@@ -237,7 +237,7 @@ def _contexts(keyed: DataFrame, probes: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["k1", "k2", "first", "lead", "anchor", "bytes"])
 
-    return keyed.join(lists, ["k1", "k2"]).mapInArrow(run, CONTEXTS)
+    return map_batches(keyed.join(lists, ["k1", "k2"]), run, CONTEXTS)
 
 
 def _merged(contexts: DataFrame, length: int, group: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _merged(contexts: DataFrame, length: int, group: int) -> DataFrame:
                 held.append(row)
         yield flush(held)
 
-    return dealt.mapInArrow(run, SPANS)
+    return map_batches(dealt, run, SPANS)
 
 
 #: Bytes by which the reach of a context is narrowed at a time.
@@ -295,7 +295,7 @@ def _reach(contexts: DataFrame, length: int) -> DataFrame:
             out = [*(batch.column(c).take(take) for c in KEY), pa.array(far, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(out, [*KEY, "far", "h"])
 
-    parts = contexts.mapInArrow(run, "k1 long, k2 long, anchor long, first int, lead int, far int, h long")
+    parts = map_batches(contexts, run, "k1 long, k2 long, anchor long, first int, lead int, far int, h long")
     twice = parts.groupBy("anchor", "far", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     known = parts.join(twice, ["anchor", "far", "h"]).groupBy(*KEY).agg(F.coalesce(-F.min(F.when(F.col("far") < 0, F.col("far"))), F.lit(0)).alias("left"), F.coalesce(F.max(F.when(F.col("far") > 0, F.col("far"))), F.lit(0)).alias("right"))
     return contexts.join(known, list(KEY), "left").fillna(0, ["left", "right"])
@@ -319,7 +319,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             yield batch.append_column("h", pa.array(np.array(h, np.uint64).view(np.int64)))
 
     reached = _reach(contexts, length)
-    reached = written(reached.mapInArrow(whole, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reached.schema) + ", h long"), "reach")
+    reached = written(map_batches(reached, whole, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reached.schema) + ", h long"), "reach")
     twice = reached.where(F.col("left") + F.col("right") + seed >= length).groupBy("anchor", "left", "right", "h").agg(F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("one")).where("n > 1").select("anchor", "left", "right", "h", "one")
     # one context of each such stretch still gives all its strings, for those that share only a part of it
     reached = reached.join(twice, ["anchor", "left", "right", "h"], "left").withColumn("whole", F.col("one").isNotNull()).withColumn("known", F.col("whole") & (F.struct(*KEY) != F.col("one"))).drop("h", "one")
@@ -343,7 +343,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             out = [*(batch.column(c).take(take) for c in ("k1", "k2", "anchor")), pa.array(np.concatenate(firsts).astype(np.int32) if rows else [], pa.int32()), pa.array(np.concatenate(hashes) if rows else [], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, ["k1", "k2", "anchor", "first", "h"])
 
-    strings = reached.mapInArrow(run, "k1 long, k2 long, anchor long, first int, h long")
+    strings = map_batches(reached, run, "k1 long, k2 long, anchor long, first int, h long")
     # two contexts of one text may hold the same string at the same place: places are counted, not rows
     at = F.struct("k1", "k2", "first")
     again = strings.groupBy("anchor", "h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("anchor", "h")
@@ -393,7 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, wh
                 out.append([{"first": a, "end": b} for a, b in own])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(out, kind)], ["row", "n_bytes", "kept", "spans"])
 
-    return pieces.select("k1", "k2", "row", "text", "spans").mapInArrow(run, schema)
+    return map_batches(pieces.select("k1", "k2", "row", "text", "spans"), run, schema)
 
 
 def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import as_bytes, small_batches
+from turnwise.llm.common import map_batches, small_batches
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 64 << 20
@@ -140,7 +140,7 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, revisit_byte
         roll.close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roll.files, strict=True) if roll.files else ([],) * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "bytes", "records", "sha256"])
 
-    ranged.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{uri}/manifest")
+    map_batches(ranged, run, MANIFEST).write.mode("overwrite").parquet(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
@@ -207,4 +207,4 @@ def read(manifest: DataFrame, uri: str, payloads: bool = True) -> DataFrame:
                 yield batch_of(rows)
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("file").repartition(n, "file").mapInArrow(run, READ if payloads else READ.rpartition(",")[0])
+    return map_batches(manifest.select("file").repartition(n, "file"), run, READ if payloads else READ.rpartition(",")[0])
