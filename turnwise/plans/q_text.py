@@ -156,10 +156,10 @@ query(
 )(lambda s, d: S.clauses(utterances(s, d)).select("turn_id", long(F.col("clause_no")).alias("clause_no"), long(F.col("start_index")).alias("start_index"), long(F.col("end_index")).alias("end_index")))
 
 
-@query("g03_predicate_units", O.ON_CLAUSES + ", u AS (SELECT turn_id, clause_no, list_filter(list_transform(string_split_regex(clause, '(?i) and '), lambda p: " + O.strip("p") + "), lambda p: p <> '') AS u FROM clauses) SELECT turn_id, clause_no, unnest(u) AS unit, generate_subscripts(u, 1) AS unit_no, CASE WHEN generate_subscripts(u, 1) > 1 THEN generate_subscripts(u, 1) - 1 END AS depends_on FROM u")
+@query("g03_predicate_units", O.ON_CLAUSES + ", u AS (SELECT turn_id, clause_no, list_filter(list_transform(string_split_regex(clause, '(?i) and '), lambda p: " + O.strip("p") + "), lambda p: p <> '') AS u FROM clauses) SELECT turn_id, clause_no, unnest(u) AS unit, generate_subscripts(u, 1) AS unit_no, CASE WHEN generate_subscripts(u, 1) > 1 THEN generate_subscripts(u, 1) - 1 ELSE 0 END AS depends_on FROM u")
 def _units(s, d):
     c = S.clauses(utterances(s, d)).select("turn_id", "clause_no", F.posexplode(S.units_of(CL())).alias("i", "unit"))
-    return c.select("turn_id", long(F.col("clause_no")).alias("clause_no"), "unit", long(F.col("i") + 1).alias("unit_no"), long(F.when(F.col("i") > 0, F.col("i"))).alias("depends_on"))
+    return c.select("turn_id", long(F.col("clause_no")).alias("clause_no"), "unit", long(F.col("i") + 1).alias("unit_no"), long(F.col("i")).alias("depends_on"))
 
 
 @query("g04_unit_tokens", O.ON_CLAUSES + ", u AS (SELECT turn_id, clause_no, unnest(list_filter(list_transform(string_split_regex(clause, '(?i) and '), lambda p: " + O.strip("p") + f"), lambda p: p <> '')) AS unit FROM clauses) SELECT turn_id, clause_no, unit, len({O.tokens('unit')}) AS n_tokens FROM u")
