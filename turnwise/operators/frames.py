@@ -292,6 +292,9 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
         .when(F.col("frame_type").isin("state_query", "inventory_query", "emotion_signal"), "question")
         .when(F.col("guard").isin("prohibition", "no_alias") & F.col("question"), "question").otherwise("statement")
     )
+    # what stands behind "and" and a verb's base form is another deed: the span ends before it
+    more = F.regexp_instr(F.lower("raw"), F.lit(f" and (?:{L.any_of([v for v in L.VERBS if '_' not in v])})(?![{L.LEXICAL_CLASS}])")) - 1
+    d = d.withColumn("end_index", F.when(more >= 0, F.least("end_index", F.col("start_index") + more)).otherwise(F.col("end_index")).cast("int"))
     empty = F.lit("")
     return d.select(
         "turn_id", *keep, "frame_no", "frame_type", "query_kind", act.alias("speech_act"),
