@@ -5,7 +5,7 @@ the last, which returns the tokens. Every document that is dropped or cut is nam
 
 * quality: documents that fail the base rules or that the trees reject go; a document without text goes.
 * near duplicates: documents are linked whose sets of five-word shingles have a similarity of 0.8 or more; of each group
-  the document with the smallest doc_id stays, of rows with one doc_id one.
+  the document with the smallest doc_id stays, of its repeated rows one.
 * suffix dedup: bytes under a string of PASSAGE bytes that starts twice or more go, characters stay whole; a document
   of which nothing but white space is left goes.
 * decontamination: documents that hold a benchmark item go.
@@ -37,14 +37,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.similar_documents(docs.select("doc_id", "text"))
-    # one document of each group stays: the one that names it, or the only one without an id
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.select(*COLUMNS).withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    kept = kept.join(stays.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")), "__key", "left_semi")
-    first = F.min_by(F.struct(*COLUMNS), F.struct(F.length(text), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))).alias("d")
-    return kept.groupBy("__key").agg(first).select("d.*")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # no id has letters
+    stays = simhash.similar_documents(docs.select("doc_id", "text")).where("stays").select(name.alias("__id"), F.col("key").alias("__key")).distinct()
+    keyed = docs.select(*COLUMNS).withColumn("__id", name).withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # rows that repeat the one that stays are its copies: one of them is kept
+    first = F.min_by(F.struct(*COLUMNS), F.xxhash64("lang", "source", "n_chars")).alias("d")
+    return keyed.join(stays, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(first).select("d.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

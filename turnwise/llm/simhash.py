@@ -200,8 +200,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of each document: components of the links between documents whose sets of shingles have
-    a Jaccard similarity of similarity or more. Texts without a word are linked to each other."""
+    """doc_id, component_id, key (the text's hash) and stays of each document: components of the links between documents
+    whose sets of shingles have a Jaccard similarity of similarity or more. Texts without a word are linked to each
+    other. In each component the row with the smallest doc_id, then key, stays, with its repeats; rows without an id stay
+    only where there is no other."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     found = written(sketches(keyed.select("key", "text"), shingle), "sketches").dropDuplicates(["key"])
     # similar sets have sizes within a factor of similarity, so they share one of two neighbouring size classes
@@ -232,9 +234,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     exact = _verified(met.join(prints, "node").join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "fp", "shingles"), similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
-    named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("component", "key").alias("component"))
+    named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
     named = written(named, "named")
-    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    one = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("one"))
+    return named.join(one, "component").select("doc_id", "component_id", "key", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))).alias("stays"))
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
