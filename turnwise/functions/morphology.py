@@ -9,7 +9,14 @@ from turnwise.functions import lexicon as L
 
 
 def _map(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    """A literal map, as one SQL expression: building it call by call costs more than running it."""
+    put = lambda v: str(v) if isinstance(v, int) else L.quoted(v)
+    return F.expr("map(" + ", ".join(f"{put(k)}, {put(v)}" for k, v in values.items()) + ")")
+
+
+def words(values) -> Column:
+    """A literal array of words."""
+    return F.expr("array(" + ", ".join(map(L.quoted, values)) + ")" if values else "cast(array() as array<string>)")
 
 
 def lemma(c: Column, irregular: dict[str, str] = L.IRREGULAR) -> Column:

@@ -82,7 +82,7 @@ def prepared(clauses, verbs=L.VERBS):
     c = clauses.withColumn("lower", X.strip_edges(F.lower("clause"))).withColumn("tokens", X.tokenize(F.col("clause"))).withColumn("head", head_tokens(F.col("clause")))
     for tokens, lemmas, flags in (("tokens", "lemmas", "is_verb"), ("head", "head_lemmas", "head_verbs")):
         c = c.withColumn(lemmas, F.transform(tokens, lambda t: M.lemma(t)))
-        known = F.array(*map(F.lit, verbs)).cast("array<string>")
+        known = M.words(verbs)
         c = c.withColumn(flags, F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(lemmas).alias("l")), lambda x: F.array_contains(known, x["t"]) | F.array_contains(known, x["l"]) | ((x["l"] != x["t"]) & F.array_contains(known, F.concat(x["l"], F.lit("e"))))))
     return c.withColumn("plain", first_index(F.col("tokens"), lambda t, i: ~t.isin(*L.DISCOURSE)))
 
