@@ -140,7 +140,7 @@ on_frames("b10_canonical_name", "action", "kind = 'canonical'")
 on_frames("b23_target_and_recipient", "object, recipient", "recipient <> ''")
 on_frames("b24_containment", "action, object, destination", "destination <> object")
 on_frames("b26_coreference", "object", "kind IN ('comma', 'topic', 'three') AND frame_no > 1")
-on_frames("k05_dependencies", "CAST(coalesce(depends_on, 0) AS BIGINT) AS depends_on")
+on_frames("k05_dependencies", "CAST(CASE WHEN depends_on IS NULL THEN 0 ELSE depends_on END AS BIGINT) AS depends_on")
 on_frames("g05_counted_suffix", "count_index, count_total, object", "count_total IS NOT NULL")
 on_frames("g07_fetch", "action, object, recipient", "kind IN ('fetch', 'bring')")
 on_frames("g02_coordination", "action, object", "kind IN ('coordination', 'comma', 'shared', 'nouns')")
