@@ -298,6 +298,24 @@ def test_similar_documents(docs_of, monkeypatch, cluster):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter(zip((i for i, _ in rows), want, strict=True))
 
 
+@pytest.mark.parametrize("cluster", [4096, 20])
+def test_similar_documents_with_repeats(docs_of, monkeypatch, cluster):
+    """What is repeated in one copy and stands once in the other counts once."""
+    monkeypatch.setattr(simhash, "CLUSTER", cluster)
+    random.seed(13)
+    rows = []
+    for i in range(30):
+        words = [f"w{random.randint(0, 5000)}" for _ in range(400)]
+        phrase = [[". "], ["- = "], ["all rights are reserved here "]][i % 3][0].split()
+        rows.append((2 * i, " ".join(words[:200] + phrase * 3 + words[200:])))
+        rows.append((2 * i + 1, " ".join(words[:200] + phrase * (400 if i % 2 else 40) + words[200:])))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)[1].tolist()) for _, t in rows]
+    want = _components([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert want == [i // 2 * 2 for i, _ in rows]
+    got = simhash.similar_documents(docs_of(rows)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter(zip((i for i, _ in rows), want, strict=True))
+
+
 def test_components(spark):
     random.seed(9)
     edges = [(random.randint(0, 80), random.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)]

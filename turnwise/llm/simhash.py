@@ -164,39 +164,36 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...]
 # Documents of a given similarity. Shingle sets that share four fifths differ in about ten of 64 fingerprint bits, which
 # no covering family of bearable size reaches. So fingerprints are also taken of SEGMENTS short segments of each text,
 # those that start at its least shingle hashes and so are the same in copies; in unedited segments they are equal or
-# nearly so. Covering tables over segment fingerprints find the candidates, whole fingerprints and sizes sieve them, and
-# shingle sets decide.
+# nearly so. Covering tables over segment fingerprints find the candidates, sizes sieve them, and shingle sets decide:
+# of two similar sets, each one's rarest shingles include one that both have, so only sets that share such a one are
+# compared. Fingerprints of whole texts decide nothing here: repeated words outvote the rest of a text in them.
 
 SEGMENTS = 8
 SEGMENT_WORDS = 8
 SEGMENT_RADIUS = 1
-#: Bits in which whole fingerprints of similar documents may differ; shorter ones than FEW shingles aren't sieved by bits.
-SIEVE = 24
-FEW = 40
 #: Documents of a cluster that are compared in one task; larger clusters are compared block by block.
 CLUSTER = 4096
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row a distinct text: key, fp, size (distinct shingles), segments (fingerprints)."""
+    """One row a distinct text: key, size (distinct shingles), segments (fingerprints)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sizes, segments = [], [], []
+            sizes, segments = [], []
             for text in as_bytes(batch.column("text")):
                 words, h = shingle_hashes(text, shingle)
                 distinct = np.unique(h)
                 least = distinct[:SEGMENTS] if len(distinct) else distinct
                 first = np.flatnonzero(np.isin(h, least))
                 span = max(1, SEGMENT_WORDS - shingle + 1)
-                fps.append(signed(majority(h)))
                 sizes.append(len(distinct))
                 segments.append(sorted({signed(majority(h[a : a + span])) for a in first.tolist()}))
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["key", "fp", "size", "segments"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["key", "size", "segments"])
 
         return step
 
-    return map_texts(docs, make, "key long, fp long, size long, segments array<long>")
+    return map_texts(docs, make, "key long, size long, segments array<long>")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -209,19 +206,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     # similar sets have sizes within a factor of similarity, so they share one of two neighbouring size classes
     step = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity)).cast("long")
     dealt = found.withColumn("class", F.explode(F.array(step, step + 1))).withColumn("segment", F.explode("segments"))
-    dealt = dealt.select("key", "fp", "size", "class", F.explode(tables(F.col("segment"), SEGMENT_RADIUS)).alias("b"))
-    dealt = dealt.select(F.col("b.t").alias("t"), F.xxhash64("b.key", "class").alias("bucket"), F.col("key").alias("node"), "fp", "size").withColumnRenamed("bucket", "key").distinct()
+    dealt = dealt.select("key", "size", "class", F.explode(tables(F.col("segment"), SEGMENT_RADIUS)).alias("b"))
+    dealt = dealt.select(F.col("b.t").alias("t"), F.xxhash64("b.key", "class").alias("bucket"), F.col("key").alias("node"), "size").withColumnRenamed("bucket", "key").distinct()
 
     def near(rows: np.ndarray) -> list[tuple[int, int]]:
-        fps, sizes = rows[3].view(np.uint64), rows[4]
+        sizes = rows[3]
+        return cluster(len(sizes), lambda left, at: np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]))
 
-        def test(left: np.ndarray, at: int) -> np.ndarray:
-            small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
-            return (small >= similarity * large) & ((large < FEW) | (np.bitwise_count(fps[left] ^ fps[at]) <= SIEVE))
-
-        return cluster(rows.shape[1], test)
-
-    candidates = components(in_buckets(dealt.select("t", "key", "node", "fp", "size"), near))
+    candidates = components(in_buckets(dealt.select("t", "key", "node", "size"), near))
     candidates = written(candidates, "candidates")
     blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER).alias("blocks"))
     placed = candidates.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -230,8 +222,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     met = placed.select("node", "component", F.explode(F.when(F.col("blocks") > 1, F.filter(pair, lambda p: (p["a"] != p["b"]))).otherwise(pair)).alias("p"))
     texts = keyed.select("key", "text").join(small(candidates.select(F.col("node").alias("key"))), "key").dropDuplicates(["key"])
     sets = _shingle_sets(texts, shingle)
-    prints = found.select(F.col("key").alias("node"), "fp")
-    exact = _verified(met.join(prints, "node").join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "fp", "shingles"), similarity)
+    exact = _verified(met.join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "shingles"), similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
     named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
@@ -258,47 +249,65 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 def _verified(met: DataFrame, similarity: float) -> DataFrame:
     n = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def edges(nodes: list[int], fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if len(nodes) < 2:
             return []
-        sizes, prints = np.array([len(x) for x in sets], np.int64), np.array(fps, np.int64).view(np.uint64)
+        sizes = np.array([len(x) for x in sets], np.int64)
         ends = np.cumsum(sizes)
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-        mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        # shingles by number, the rarest first; each set in that order
+        _, flat, n_of = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(n_of), np.int32)
+        rank[np.argsort(n_of, kind="stable")] = np.arange(len(n_of), dtype=np.int32)
+        flat = rank[flat]
+        for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            flat[a:b].sort()
+        mark = np.zeros(len(rank), bool)
+        # similar sets share similarity of the larger one's shingles, so one at least of the first of each
+        first = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+        rare = np.concatenate([flat[e - n : e - n + k] for e, n, k in zip(ends.tolist(), sizes.tolist(), first.tolist(), strict=True)])
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), first)[np.argsort(rare, kind="stable")]
+        until = np.cumsum(np.bincount(rare, minlength=len(rank)))
+        having = np.diff(until, prepend=0)
+        shares = np.zeros(len(sets), bool)
 
         def test(left: np.ndarray, at: int) -> np.ndarray:
-            """Shared shingles of one document with all that pass the sieve, a bounded number at a time."""
-            mark[flat[ends[at] - sizes[at] : ends[at]]] = True
-            large = np.maximum(sizes[left], sizes[at])
-            hit = (np.minimum(sizes[left], sizes[at]) >= similarity * large) & (sizes[left] > 0) & ((large < FEW) | (np.bitwise_count(prints[left] ^ prints[at]) <= SIEVE))
+            """Shared shingles of one document with all that may be similar, a bounded number at a time."""
+            own = flat[ends[at] - sizes[at] : ends[at]]
+            hit = (np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at])) & (sizes[left] > 0)
+            lead = own[: first[at]]
+            if having[lead].sum() < sizes[left[hit]].sum():  # else it is less work to compare all
+                for x in lead.tolist():
+                    shares[owners[until[x] - having[x] : until[x]]] = True
+                hit &= shares[left]
+                shares[:] = False
+            mark[own] = True
             places = np.flatnonzero(hit)
             for part in np.array_split(places, max(1, int(sizes[left[places]].sum()) >> 18)) if len(places) else ():
-                n_of = sizes[left[part]]
-                first = np.cumsum(n_of) - n_of
-                place = np.arange(n_of.sum()) + np.repeat(ends[left[part]] - n_of - first, n_of)
-                shared = np.add.reduceat(mark[flat[place]], first, dtype=np.int64)
-                hit[part] = shared >= similarity * (n_of + sizes[at] - shared) - 1e-9
-            mark[flat[ends[at] - sizes[at] : ends[at]]] = False
+                n = sizes[left[part]]
+                start = np.cumsum(n) - n
+                place = np.arange(n.sum()) + np.repeat(ends[left[part]] - n - start, n)
+                shared = np.add.reduceat(mark[flat[place]], start, dtype=np.int64)
+                hit[part] = shared >= similarity * (n + sizes[at] - shared) - 1e-9
+            mark[own] = False
             return hit
 
         return [(nodes[i], nodes[j]) for i, j in cluster(len(nodes), test)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, fps, sets = None, [], [], []
+        now, nodes, sets = None, [], []
         for batch in batches:
             found = []
             shingles = batch.column("shingles")
-            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "node", "fp")), strict=True)
-            for i, (component, a, b, node, fp) in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "node")), strict=True)
+            for i, (component, a, b, node) in enumerate(keys):
                 if now != (component, a, b):
-                    found += edges(nodes, fps, sets)
-                    now, nodes, fps, sets = (component, a, b), [], [], []
+                    found += edges(nodes, sets)
+                    now, nodes, sets = (component, a, b), [], []
                 nodes.append(node)
-                fps.append(fp)
                 sets.append(shingles[i].values.to_numpy(zero_copy_only=False).copy())
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
             pa.default_memory_pool().release_unused()
-        found = edges(nodes, fps, sets)
+        found = edges(nodes, sets)
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     return map_batches(met.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b"), run, "u long, v long").distinct()
