@@ -357,6 +357,23 @@ def test_decontaminate(spark, docs_of):
     assert decontaminate.leaks(docs_of(rows), benchmark.where("false")).count() == 0
 
 
+def test_chunks_change_nothing(spark, docs_of, monkeypatch):
+    random.seed(14)
+    text = lambda n: " ".join(f"t{min(random.randint(0, 400), random.randint(0, 400))}" for _ in range(n))
+    items = [(i, f"{text(random.randint(8, 25))}. {text(random.randint(3, 15))}.") for i in range(41)] + [(41, text(120)), (42, ""), (None, text(20))]
+    rows = list(ODD)
+    for i in range(60):
+        found = random.choice(items[:41])[1].split()
+        cut = found[: random.randint(len(found) // 2, len(found))]
+        rows.append((100 + i, f"{text(random.randint(0, 200))} {' '.join(cut)} {text(random.randint(0, 200))}"))
+    docs, benchmark = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for n in (20_000, 20, 1):
+        monkeypatch.setattr(decontaminate, "INDEX_ITEMS", n)
+        got.append(Counter(map(tuple, decontaminate.leaks(docs, benchmark).collect())))
+    assert len(got[0]) > 5 and got[0] == got[1] == got[2]
+
+
 def test_index_misses_nothing():
     random.seed(11)
     items = [decontaminate.parted(i, " ".join(f"t{random.randint(0, 60)}" for _ in range(25))) for i in range(40)]

@@ -9,7 +9,8 @@ Opened blocks are scored in full, and items above the threshold verified: five-w
 last sentence) and answer (the last sentence) must be found in the passage.
 
 The index is closed over by tasks only in chunks of at most INDEX_ITEMS items and INDEX_WORDS words; a larger benchmark
-takes one pass for each chunk.
+takes one pass for each chunk. Counts of items and words, mean and greatest length are those of the whole benchmark in
+every chunk, so scores and matches do not depend on where it is cut.
 
 Defined results: null and empty texts, and items without a word, match nothing; a null doc_id or item_id is carried;
 rows that repeat give one row a pair.
@@ -75,13 +76,39 @@ def overlap(wanted: list[bytes], passage: list[bytes], have: set[tuple[bytes, ..
     return len(own & have) / len(own)
 
 
+@dataclass
+class Totals:
+    """What scores take from the whole benchmark: its items, words and longest item, and the items that hold a word."""
+
+    items: int
+    words: int
+    longest: int
+    holding: Counter
+
+    def of(self, items: list[Item]) -> Totals:
+        """The same totals with the words of these items only."""
+        return Totals(self.items, self.words, self.longest, Counter({w: self.holding[w] for x in items for w in x.words}))
+
+
+def totals(chunks: list[list[Item]]) -> Totals:
+    found = Totals(0, 0, 1, Counter())
+    for x in (x for items in chunks for x in items if x.words):
+        found.items += 1
+        found.words += len(x.words)
+        found.longest = max(found.longest, len(x.words))
+        found.holding.update(set(x.words))
+    return found
+
+
 class Index:
-    def __init__(self, items: list[Item], threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK) -> None:
+    """An index of items, which are all of the benchmark or, with the totals of all, a chunk of it."""
+
+    def __init__(self, items: list[Item], threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK, whole: Totals | None = None) -> None:
         self.items = [x for x in items if x.words]
         self.threshold, self.slack, self.block = threshold, slack, block
-        df = Counter(w for x in self.items for w in set(x.words))
-        n, mean = len(self.items), sum(len(x.words) for x in self.items) / max(len(self.items), 1)
-        self.span = max((len(x.words) for x in self.items), default=1)
+        whole = whole or totals([self.items])
+        df, n, mean = whole.holding, whole.items, whole.words / max(whole.items, 1)
+        self.span = whole.longest
         self.impact: list[dict[bytes, float]] = []
         blocks: dict[bytes, dict[int, float]] = {}
         for i, x in enumerate(self.items):
@@ -97,7 +124,7 @@ class Index:
                     at[i // block] = max(at.get(i // block, 0.0), v)
         self.terms = {w: k for k, w in enumerate(blocks)}
         lists = [sorted(b.items()) for b in blocks.values()]
-        self.n_blocks = (n + block - 1) // block
+        self.n_blocks = (len(self.items) + block - 1) // block
         self.length = np.array([len(x) for x in lists], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.of_block = np.array([b for x in lists for b, _ in x], np.int64)
@@ -124,7 +151,7 @@ class Index:
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[term], n)
         key, back = np.unique(np.repeat(home, n) * self.n_blocks + self.of_block[place], return_inverse=True)
         bound = np.bincount(back, self.maxima[place], len(key))
-        key = key[bound + self.slack >= self.threshold]
+        key = key[bound + self.slack >= self.threshold - 1e-9]  # sums of another order differ in their last bits
         home = key // self.n_blocks
         return list(zip((home // width).tolist(), (home % width - 1).tolist(), (key % self.n_blocks).tolist(), strict=True))
 
@@ -170,10 +197,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlaps: float = OVERLAP) -> D
     """One row for each document and item found in it, with the best passage's score and overlaps."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for items in chunks(benchmark):
+    cut = chunks(benchmark)
+    whole = totals(cut)
+    for items in cut:
 
-        def make(items=items):
-            index = Index(items)
+        def make(items=items, own=whole.of(items)):
+            index = Index(items, whole=own)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids = batch.column("doc_id").to_pylist()
