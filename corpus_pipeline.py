@@ -8,7 +8,7 @@ the last, which returns the tokens. Every document that is dropped or cut is nam
   the document with the smallest doc_id stays, of its repeated rows one.
 * suffix dedup: bytes under a string of PASSAGE bytes that starts twice or more go, characters stay whole; a document
   of which nothing but white space is left goes.
-* decontamination: documents that hold a benchmark item go.
+* decontamination: documents that hold a benchmark item go; the text alone tells, so others of the same or no doc_id stay.
 * tokens: ids of the rest, with the digest of their round trip.
 
 Nulls: a null text counts as empty; lang, source and n_chars may be null and are carried. Repeated rows are duplicates
@@ -52,9 +52,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    # documents may share an id or have none, so leaks are named by the text's hash
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = decontaminate.leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
     found = small(written(found, "leaks"))
-    return docs.select(*COLUMNS).join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    return keyed.join(found, "__key", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_planted(spark, made):
     assert tokens.where("not round_trip").count() == 0 and tokens.count() == clean.count()
 
 
+def test_leaks_without_an_id(spark, made):
+    """A leak takes no document with it that shares its doc_id, or that has none either."""
+    d, rows, _ = made
+    leak = rows[204]
+    docs = [(None, leak), (None, rows[1]), (None, rows[2]), (None, None), (7, leak), (7, rows[3]), (8, leak), (9, rows[4])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminated(spark, df, d).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(i, t) for i, t in docs if t != leak} and len(got) == 5
+
+
 def test_empty(spark, made):
     d = made[0]
     assert [df.count() for df in stages(spark, d, spark.read.parquet(f"{d}/documents.parquet").where("false"))] == [0] * 5
