@@ -422,6 +422,19 @@ PAGES = {
 }
 
 
+PAGES |= {
+    f"<script>for(i=0;i<n;i++){{x(i)}}</script><p>{PARA}</p>": PARA,
+    f"<SCRIPT>if(a<b&&c){{f()}}</Script ><p>{PARA}</p><style>a<b</style><p>{PARA}</p>": f"{PARA}\n\n{PARA}",
+    f"<title>a<b</title><textarea><!-- <b 'x </textarea><p>{PARA}</p>": PARA,
+    f"<script>s='</scripts><p>{PARA}</p>'</script><noscript><img alt='</noscript><p>{PARA}</p>": PARA,
+    f"<svg><style>a<b</style><title>t</svg><p>{PARA}</p>": PARA,
+    f"<button><script>i<n;'</button>'</script>{PARA}</button><p>{PARA}</p>": PARA,
+    f"<datalist id=d><option value=a><option value=b></datalist><p>{PARA}</p>": PARA,
+    f"<datalist><option><b>{PARA}</b> {PARA}<optgroup><option>x</optgroup></datalist><p>{PARA}</p>": PARA,
+    f"<div><option>{PARA}<p>{PARA}</p></div><p>{PARA}</p>": PARA,
+}
+
+
 @pytest.mark.parametrize(("page", "text"), PAGES.items())
 def test_html(page, text):
     assert html_extract.main_text(page) == text

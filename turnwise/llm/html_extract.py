@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,6 +27,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg math object select button option canvas video audio title".split())
+#: Those of them whose content is no markup: it ends at the first end tag of that name, whatever stands before it. Inside
+#: svg and math only scripts and styles are read so.
+PLAIN = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in "script style noscript textarea iframe title".split()}
 #: Elements that are never main text.
 OUT = frozenset("nav footer aside form menu dialog head".split())
 #: Elements that start and end a block.
@@ -89,9 +93,26 @@ def blocks_of(page: str) -> list[Block]:
             blocks.append(Block(text, linked, out_here or bool(stack and stack[-1][1]), stack[-1][2] if stack else 0, heading))
         parts, linked, out_here = [], 0, False
 
-    skip = ""
-    for m in TOKEN.finditer(page):
+    skip, at = "", 0
+    inside: Counter[str] = Counter()  # elements opened in an option and not closed in it
+    unclosed: set[str] = set()
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         name = (m[2] or "").lower()
+        if name in PLAIN and not m[1] and not m[3].endswith("/") and (name in ("script", "style") or skip not in ("svg", "math")):
+            end = None if name in unclosed else PLAIN[name].search(page, at)
+            if end:
+                at = end.start()
+            elif not skip:
+                at = len(page)
+            else:
+                unclosed.add(name)
+        if skip == "option" and name != skip:  # its end tag may be left out: it ends with its parent, or at an optgroup
+            if name == "optgroup" or name and m[1] and not inside[name]:
+                skip = ""
+            elif name:
+                inside[name] += -1 if m[1] else 1
         if skip:
             if name == skip and m[1]:
                 skip = ""
@@ -105,6 +126,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW:
             parts.append(" ")
             skip = name if opens and not m[3].endswith("/") else ""
+            inside.clear()
         elif name == "a":
             link = opens
         elif name == "br":
@@ -127,9 +149,9 @@ def blocks_of(page: str) -> list[Block]:
                         home = homes
                     stack.append((name, bad or own, home))
             elif name not in LOOSE:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at is not None:
-                    del stack[at:]
+                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if place is not None:
+                    del stack[place:]
     close()
     return blocks
 
