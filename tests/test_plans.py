@@ -25,6 +25,22 @@ def test_scans_read_what_they_need(spark):
     assert "p_brand" not in plan and "p_retailprice" not in plan
 
 
+def test_json_of_every_utterance(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from turnwise.functions import text as X
+    from turnwise.plans.turns import utterances
+
+    want = {r["turn_id"]: r["n"] for r in utterances(spark, str(DATA)).select("turn_id", X.normalize(F.col("text")).alias("n")).collect()}
+    rows = entry.queries()["t27_json_text"](spark, str(DATA)).collect()
+    assert len(rows) == len(want) and any('"' in n for n in want.values())
+    assert all(r["json"] == json.dumps([want[r["turn_id"]]], ensure_ascii=False) for r in rows)
+    odd = 'a "b" \\ c\n\t/ é'
+    assert spark.range(1).select(F.to_json(F.array(F.lit(odd))).alias("json")).first()["json"] == json.dumps([odd], ensure_ascii=False)
+
+
 @pytest.mark.parametrize("name", ["t05_find_word", "t12_trim_target", "t13_split_place", "g01_split_clauses", "c04_negated", "j01_phrase_join", "s03_short_paths", "a12_percentile", "io11_json_update"])
 def test_oracle(spark, name):
     import duckdb
