@@ -41,6 +41,16 @@ def test_json_of_every_utterance(spark):
     assert spark.range(1).select(F.to_json(F.array(F.lit(odd))).alias("json")).first()["json"] == json.dumps([odd], ensure_ascii=False)
 
 
+def test_all_parts_are_ordered(spark):
+    parts = spark.read.parquet(f"{DATA}/part.parquet").select("p_brand", "p_size", "p_partkey").collect()
+    want, last = set(), {}
+    for r in sorted(parts):
+        last[r["p_brand"]] = last.get(r["p_brand"], 0) + 1
+        want.add((r["p_brand"], r["p_partkey"], last[r["p_brand"]]))
+    got = [tuple(r) for r in entry.queries()["r11_stable_ordinals"](spark, str(DATA)).collect()]
+    assert len(got) == len(parts) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("name", ["t05_find_word", "t12_trim_target", "t13_split_place", "g01_split_clauses", "c04_negated", "j01_phrase_join", "s03_short_paths", "a12_percentile", "io11_json_update"])
 def test_oracle(spark, name):
     import duckdb

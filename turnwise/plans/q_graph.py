@@ -179,6 +179,7 @@ query("a10_branch_counts", f"SELECT dst AS parent, count(*) AS n FROM {EDGES} WH
 query("r08_first_senses", f"SELECT noun, category FROM (SELECT *, row_number() OVER (PARTITION BY noun ORDER BY sense_rank, depth DESC, category) AS n FROM {_named}) WHERE n <= 3")(lambda s, d: s.createDataFrame(list(NAMED), "noun string, sense_rank int, depth int, category string").withColumn("n", F.row_number().over(Window.partitionBy("noun").orderBy("sense_rank", F.desc("depth"), "category"))).where("n <= 3").select("noun", "category"))
 query("r09_top_names", f"SELECT noun, n FROM {_top}")(lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("noun")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "noun").limit(20))
 query("r11_stable_order", "SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_size, p_partkey) AS parts FROM part WHERE p_size <= 2 GROUP BY p_brand")(lambda s, d: s.read.parquet(f"{d}/part.parquet").where("p_size <= 2").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_size", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("parts")))
+query("r11_stable_ordinals", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS ordinal FROM part")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", long(F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))).alias("ordinal")))
 _bad = ((0, 0, "open", "EQUIVALENT", 90), (1, 0, "", "EQUIVALENT", 90), (1, 1, "close", "SAME", 50), (2, 0, "jump", "ENABLES", 150))
 query("v02_graph_errors", "SELECT unnest(['candidate_action:1:0', 'candidate_relation:1:1', 'candidate_confidence:2:0', 'entry_surface:2']) AS error")(lambda s, d: contract.validate_graph(s.createDataFrame([(0, "open"), (1, "close"), (2, " ")], "i int, surface string"), s.createDataFrame(list(_bad), "i int, j int, action string, relation string, confidence int").withColumn("confidence", F.col("confidence") / 100)))
 query("v04_input_checks", f"SELECT action FROM {values(ANCHORS, 'action, off')} WHERE action NOT IN (SELECT action FROM {values([(a,) for a, _, _ in L.ACTIONS], 'action')})")(lambda s, d: _anchors(s).join(s.createDataFrame([(a,) for a, _, _ in L.ACTIONS], "action string"), "action", "left_anti").select("action"))
