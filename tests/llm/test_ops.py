@@ -104,6 +104,15 @@ def test_license_fuzzy():
     assert n == 6 and [(f[1], f[2]) for f in found] == [(3, 5)]
 
 
+def test_license_misread_beside_a_better_copy():
+    scan = license_scan.Scanner(license_scan.notices())
+    spans = lambda t: [(f[1], f[2], f[3]) for f in scan.scan(t)[1] if scan.wanted[f[0]].label == "lgpl"]
+    bad, good = b"gnu lessor generel public license", b"gnu lesser general public license"
+    assert spans(bad + b" " + good) == [(0, 4, 2), (5, 9, 0)]
+    assert spans(good + b" " + bad) == [(0, 4, 0), (5, 9, 2)]
+    assert spans(b" ".join([bad, b"gnu lesser generel public license", good, bad])) == [(0, 4, 2), (5, 9, 1), (10, 14, 0), (15, 19, 2)]
+
+
 # 4
 def test_language(spark, docs_of):
     random.seed(2)

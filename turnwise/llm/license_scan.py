@@ -99,13 +99,24 @@ class Scanner:
                 continue
             past = -1
             for a, b in merged([(max(0, a - n.edits), min(len(line), b + n.edits)) for a, b in places]):
-                for m in self.fuzzy[k].finditer(line, a, b):
+                for m in self.matches(k, line, a, b):
                     a0, b0 = m.start() + len(m[0]) - len(m[0].lstrip()), m.end() - len(m[0]) + len(m[0].rstrip())
                     if a0 >= past and b0 > a0:
                         found.append((k, word_at(a0), word_at(b0 - 1), sum(m.fuzzy_counts), m[0].strip()))
                         past = b0
         return len(words), sorted(f for f in found if not any(self.beats(g, f) for g in found))
 
+    def matches(self, k: int, line: str, a: int, b: int) -> list:
+        """Matches of a notice in a part of the line, in order: the best one, then those of what is before and after it."""
+        out, parts, least = [], [(a, b)], len(self.wanted[k].phrase) - self.wanted[k].edits
+        while parts:
+            a, b = parts.pop()
+            m = self.fuzzy[k].search(line, a, b) if b - a >= least else None
+            if m:
+                out.append(m)
+                parts += [(a, m.start()), (m.end(), b)]
+        return sorted(out, key=lambda m: m.start())
+
     def beats(self, a, b) -> bool:
         """b has edits and overlaps a, which has fewer and another label: b is a's notice misread."""
         return a[3] < b[3] and a[1] <= b[2] and b[1] <= a[2] and self.wanted[a[0]].label != self.wanted[b[0]].label
