@@ -96,3 +96,10 @@ def test_stream_equals_fold(spark, talk, tmp_path):
     done = dialogue.stream(source).writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     done.awaitTermination(300)
     assert {r["turn_id"]: (r["resolved"], r["frame_type"], r["object"]) for r in spark.table("answers").collect()} == WANT
+
+
+def test_late_surfaces_split(spark, monkeypatch):
+    """However many surfaces there are, none is left out of the splitting of coordinations."""
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 3)
+    turns = spark.createDataFrame([(1, "Open the gate and wave.")], "turn_id long, text string")
+    assert [r["action"] for r in analysis.compiled(spark, turns).sort("frame_no").collect()] == ["open", "wave"]

@@ -131,7 +131,7 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     object, destination, recipient, candidates, references, evidence, guard, depends_on, count_index, count_total,
     start_index, end_index, raw. A turn over the limits, or empty, has no frame."""
     spark = turns.sparkSession
-    surfaces = [r[0] for r in match.surfaces(registry).select("surface").sort("surface").limit(match.BROADCAST_ROWS).collect()]
+    surfaces = [r[0] for r in match.surfaces(registry).select("surface").sort("surface").collect()]
     thought = {r[0] for r in known.where(F.col("family").isin(*THOUGHT)).select("action").collect()}
     first = registry.groupBy("surface").agg(F.min_by("action", "alias_ord").alias("a")).collect()
     deeds = sorted(r["surface"] for r in first if r["a"] not in thought)
