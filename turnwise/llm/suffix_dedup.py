@@ -406,6 +406,7 @@ def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text, the bytes left as a string; characters that
+    a cut has split come out as U+FFFD there."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["first"]))
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
