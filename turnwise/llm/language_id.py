@@ -31,7 +31,16 @@ FOREIGN = -60.0
 #: A language uses a script that at least this share of its letters is in.
 USED = 0.01
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """A class of letters: word characters but the underscore, digits, and the numbers that are none (½, ², ①, Ⅳ)."""
+    numbers = "".join(c for c in map(chr, range(0x80, 0x32000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return rf"[^\W\d_{numbers}]"
+
+
+LETTER = _letters()
+WORD = re.compile(LETTER + "+")
 
 #: First code point of each range and its script; a range ends where the next begins.
 RANGES = (
