@@ -443,6 +443,13 @@ PAGES |= {
     f"<datalist id=d><option value=a><option value=b></datalist><p>{PARA}</p>": PARA,
     f"<datalist><option><b>{PARA}</b> {PARA}<optgroup><option>x</optgroup></datalist><p>{PARA}</p>": PARA,
     f"<div><option>{PARA}<p>{PARA}</p></div><p>{PARA}</p>": PARA,
+    f"<script>if(a<b){{x=1}}</script><p>{PARA}</p>": PARA,
+    f'<script>var s="<!--";</script><p>{PARA}</p>': PARA,
+    f'<script src="/a.js"/>var q=1;</script><p>{PARA}</p>': PARA,
+    f"<script src=/a/>var q=1;</script><p>{PARA}</p><style/>p</style>": PARA,
+    f"<video src='a.mp4'/><p>{PARA}</p><svg width='1'/><p>{PARA}</p>": f"{PARA}\n\n{PARA}",
+    f"<video src='a.mp4'/>{PARA}</video><p>{PARA}</p>": PARA,
+    f"<p>{PARA} It is <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation encoding='x'>\\a</annotation></math>.</p>": f"{PARA} It is a+1.",
 }
 
 
@@ -451,6 +458,33 @@ def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_random():
+    """Pages put together from a known article and known noise around and inside it."""
+    random.seed(10)
+    common = "the of and to in a is that for it as was with be by on not he".split()
+    word = lambda: random.choice(common) if random.random() < 0.45 else "".join(random.choice("abcdeghilmnorstu") for _ in range(random.randint(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda: "<ul>" + "".join(f"<li><a href='/{i}'>{word()}</a>" for i in range(random.randint(2, 9))) + "</ul>"
+    noise = (
+        lambda: f"<nav>{links()}</nav>", lambda: f"<div class='menu main'>{links()}</div>", lambda: f"<aside><p>{prose(40)}</p></aside>", lambda: f"<div class=\"sidebar\"><h3>{word()}</h3><p>{prose(50)}</p></div>",
+        lambda: f"<div id=cookie-banner><p>{prose(30)}</p><button>OK</button></div>", lambda: f"<div class='ads'>{prose(35)}</div>", lambda: f"<form action='/s'><label>{prose(30)}</label><input></form>", lambda: f"<script>if(a<b){{ '{prose(9)}' }}</script>",
+        lambda: f"<style>p>a{{}}</style><!-- <p>{prose(60)}</p> -->", lambda: f"<section id='comments'><p>{prose(60)}</p><p>{prose(4)}</p></section>", lambda: f"<div style='display: none'>{prose(50)}</div>", lambda: f"<svg><text>{word()}</text></svg>",
+    )
+    for _ in range(300):
+        blocks, page = [], [f"<!DOCTYPE html><html><head><title>{prose(5)}</title></head><body><header><h2>{word()}</h2>{links()}</header>", *(random.choice(noise)() for _ in range(random.randint(0, 3)))]
+        page.append(random.choice(("<article>", "<main>", "<div role='main'><article class='post'>")))
+        for k in range(random.randint(1, 8)):
+            text = prose(random.randint(3, 8) if not k else random.randint(2, 90))
+            tag = random.choice(("h1", "h2") if not k else ("p", "p", "p", "li", "blockquote", "pre"))
+            shown = text.replace(" ", random.choice((" ", "  ", "\n ", "&#32;")), 1).replace(" the ", random.choice((" the ", " <b>the</b> ", " <a href='x'>the</a> ")))
+            page.append(f"<{tag}>{shown}" + (f"</{tag}>" if random.random() < 0.8 or tag not in ("p", "li") else ""))
+            blocks.append(text)
+            if random.random() < 0.3:
+                page.append(random.choice(noise)())
+        page += ["</article></main>", *(random.choice(noise)() for _ in range(random.randint(0, 3))), f"<footer>&copy; {prose(20)}</footer></body></html>"]
+        assert html_extract.main_text("".join(page)) == "\n\n".join(blocks), "".join(page)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, f"<p>{PARA}</p>"), (2, None, f"<p>{PARA}</p>"), (None, "u", "<" * 5000 + "<div>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit(5))
     got = html_extract.extract_pages(pages).collect()

@@ -4,8 +4,13 @@ Pass one cuts the page into blocks and judges each by where it stands (menus, fo
 length, its link density and its density of stop words. Pass two gives short and undecided blocks the label of the
 nearest decided neighbour. Blocks inside an article or main element take their neighbours from that element.
 
+What is no text of the page: scripts, styles, templates, titles, frames, drawings (svg, canvas), controls (button, select,
+option, textarea), what stands in for a player or plug-in (object, video, audio) or for scripts (noscript), and the source
+notation of formulas (annotation). A formula (math) is text. Scripts and the like end at their first end tag, whatever
+stands before it; "/" at the end of a tag closes a drawing, or another such element only if no end tag follows.
+
 Defined results: a null or empty page, and one without text, gives the empty string; a page cut off inside a tag, comment
-or script loses that part only; repeated rows each give their own row.
+or script loses that part only; further columns of pages are not read; repeated rows each give their own row.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^'
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea iframe svg math object select button option canvas video audio title".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml object select button option canvas video audio title".split())
 #: Those of them whose content is no markup: it ends at the first end tag of that name, whatever stands before it. Inside
-#: svg and math only scripts and styles are read so.
+#: svg only scripts and styles are read so.
 PLAIN = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in "script style noscript textarea iframe title".split()}
+#: Those of them that are seen, and so stand between words.
+SPACED = frozenset("button select option textarea iframe object canvas video audio".split())
 #: Elements that are never main text.
 OUT = frozenset("nav footer aside form menu dialog head".split())
 #: Elements that start and end a block.
@@ -96,11 +103,18 @@ def blocks_of(page: str) -> list[Block]:
     skip, at = "", 0
     inside: Counter[str] = Counter()  # elements opened in an option and not closed in it
     unclosed: set[str] = set()
+
+    def ends(name: str) -> bool:
+        """Does an end tag of this name follow?"""
+        if name not in unclosed and not re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at):
+            unclosed.add(name)
+        return name not in unclosed
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
         name = (m[2] or "").lower()
-        if name in PLAIN and not m[1] and not m[3].endswith("/") and (name in ("script", "style") or skip not in ("svg", "math")):
+        if name in PLAIN and not m[1] and (skip != "svg" or name in ("script", "style") and not m[3].endswith("/")):
             end = None if name in unclosed else PLAIN[name].search(page, at)
             if end:
                 at = end.start()
@@ -124,8 +138,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         opens = not m[1]
         if name in RAW:
-            parts.append(" ")
-            skip = name if opens and not m[3].endswith("/") else ""
+            if name in SPACED:
+                parts.append(" ")
+            empty = m[3].endswith("/") and (name == "svg" or name not in PLAIN and not ends(name))
+            skip = name if opens and not empty else ""
             inside.clear()
         elif name == "a":
             link = opens
