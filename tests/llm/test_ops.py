@@ -4,6 +4,7 @@ empty and long texts, ties, repeated rows, empty tables, clashing names."""
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,46 @@ def test_license_fuzzy():
     assert n == 6 and [(f[1], f[2]) for f in found] == [(3, 5)]
 
 
+def _least_edits(phrase, text):
+    """The fewest edits that turn the phrase into some part of the text, by the table of all prefixes."""
+    row = list(range(len(phrase) + 1))
+    least = row[-1]
+    for c in text:
+        last, row[0] = row[0], 0
+        for i, p in enumerate(phrase, 1):
+            last, row[i] = row[i], min(last + (p != c), row[i] + 1, row[i - 1] + 1)
+        least = min(least, row[-1])
+    return least
+
+
+@pytest.mark.parametrize("notice", [n for n in license_scan.notices() if not n.base and len(n.phrase) < 60], ids=lambda n: n.phrase)
+def test_license_edits(notice):
+    """A notice is found just where as few edits as it may have lead to it, and the best match has that many."""
+    random.seed(notice.phrase)
+    scan = license_scan.Scanner([notice])
+    for _ in range(150):
+        words = [random.choice("some text about software and the rights of free use".split()) for _ in range(random.randint(0, 6))]
+        for _ in range(random.randint(1, 2)):
+            copy = list(notice.phrase)
+            for _ in range(random.randint(0, notice.edits + 2)):
+                i = random.randrange(len(copy))
+                copy[i : i + random.randint(0, 1)] = random.choice(["", "x", "e", " "])
+            words.insert(random.randint(0, len(words)), "".join(copy))
+        line = " ".join(" ".join(words).split())
+        found = scan.scan(line.encode())[1]
+        least = _least_edits(notice.phrase, line)
+        assert bool(found) == (least <= notice.edits), line
+        assert not found or min(f[3] for f in found) == least, line
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_license_many_matches():
+    scan = license_scan.Scanner(license_scan.notices())
+    start = time.time()
+    found = scan.scan(b"gnu lessor generel public license all right reserved " * 20_000)[1]
+    assert len(found) == 40_000 and time.time() - start < 60
+
+
 def test_license_misread_beside_a_better_copy():
     scan = license_scan.Scanner(license_scan.notices())
     spans = lambda t: [(f[1], f[2], f[3]) for f in scan.scan(t)[1] if scan.wanted[f[0]].label == "lgpl"]

@@ -2,10 +2,13 @@
 
 A notice that may differ by k edits is cut into k + 1 pieces; by the pigeonhole principle one piece stands unchanged
 in every match. One Aho-Corasick pass finds all pieces, the regex library's bounded-error matching then verifies the
-window around each and gives the span and the number of edits. Base phrases are notices with k = 0.
+window around each seed, which is no longer than the notice and its edits, and gives the span and the number of edits. Of
+matches of one notice that overlap, the one with the fewest edits stays, then the first. A match is dropped where a match
+of another label with fewer edits overlaps it. Base phrases are notices with k = 0.
 
 Defined results: a null or empty text has no words and no labels, its first_word, last_word are null and its score 0;
-repeated rows each give their own row.
+a text of any length is scanned whole, in time that grows with its length and the seeds found in it; further columns of
+docs are not read; repeated rows each give their own row.
 """
 
 from __future__ import annotations
@@ -97,39 +100,45 @@ class Scanner:
             if n.base:
                 found += [(k, word_at(a), word_at(b - 1), 0, n.phrase) for a, b in places if (a == 0 or line[a - 1] == " ") and (b == len(line) or line[b] == " ")]
                 continue
-            past = -1
-            for a, b in merged([(max(0, a - n.edits), min(len(line), b + n.edits)) for a, b in places]):
-                for m in self.matches(k, line, a, b):
-                    a0, b0 = m.start() + len(m[0]) - len(m[0].lstrip()), m.end() - len(m[0]) + len(m[0].rstrip())
-                    if a0 >= past and b0 > a0:
-                        found.append((k, word_at(a0), word_at(b0 - 1), sum(m.fuzzy_counts), m[0].strip()))
-                        past = b0
-        return len(words), sorted(f for f in found if not any(self.beats(g, f) for g in found))
-
-    def matches(self, k: int, line: str, a: int, b: int) -> list:
-        """Matches of a notice in a part of the line, in order: the best one, then those of what is before and after it."""
-        out, parts, least = [], [(a, b)], len(self.wanted[k].phrase) - self.wanted[k].edits
-        while parts:
-            a, b = parts.pop()
-            m = self.fuzzy[k].search(line, a, b) if b - a >= least else None
-            if m:
-                out.append(m)
-                parts += [(a, m.start()), (m.end(), b)]
-        return sorted(out, key=lambda m: m.start())
+            near: dict[tuple[int, int], int] = {}
+            for a in sorted({a for a, _ in places}):
+                m = self.fuzzy[k].search(line, max(0, a - n.edits), min(len(line), a + len(n.phrase) + n.edits))
+                if m and m[0].strip():
+                    first = m.start() + len(m[0]) - len(m[0].lstrip())
+                    near[first, first + len(m[0].strip())] = sum(m.fuzzy_counts)
+            found += [(k, word_at(a), word_at(b - 1), edits, line[a:b]) for a, b, edits in apart(near)]
+        return len(words), sorted(self.unbeaten(found))
+
+    def unbeaten(self, found: list[tuple]) -> list[tuple]:
+        """Matches that no other beats, in one sweep: matches of one notice do not overlap, so at any word no more are open
+        than there are notices, but for those that share a word at their ends."""
+        beaten, alive = set(), []
+        order = sorted(range(len(found)), key=lambda i: found[i][1])
+        for i in order:
+            alive = [j for j in alive if found[j][2] >= found[i][1]]
+            for j in alive:
+                if self.beats(found[j], found[i]):
+                    beaten.add(i)
+                elif self.beats(found[i], found[j]):
+                    beaten.add(j)
+            alive.append(i)
+        return [f for i, f in enumerate(found) if i not in beaten]
 
     def beats(self, a, b) -> bool:
         """b has edits and overlaps a, which has fewer and another label: b is a's notice misread."""
         return a[3] < b[3] and a[1] <= b[2] and b[1] <= a[2] and self.wanted[a[0]].label != self.wanted[b[0]].label
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def apart(near: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+    """(first, end, edits) of spans that do not overlap, those with the fewest edits before others, then the first."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    for (a, b), edits in sorted(near.items(), key=lambda x: (x[1], x[0])):
+        i = bisect.bisect_left(starts, a)
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or kept[i][0] >= b):
+            starts.insert(i, a)
+            kept.insert(i, (a, b, edits))
+    return kept
 
 
 SCHEMA = (
