@@ -1,8 +1,8 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams of host and path.
 
 Defined results: a url that is null or has no "://" has an empty host and path; no rule fits it and the model judges the
-empty string. Repeated rows each give their own row. The model is fitted on the driver from LABELLED, a fixed small
-table, and never sees the corpus.
+empty string. Repeated rows each give their own row; further columns of pages are not read. The model is fitted from
+LABELLED, a fixed small table, once in each task, and never sees the corpus.
 """
 
 from __future__ import annotations
@@ -19,47 +19,71 @@ from turnwise.llm.common import lower_ascii, map_texts
 #: (verdict, host and path). A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: (host and path, 1 to block).
+#: (host and path, 1 to block): what the words of a url say about it in general. Written by hand; no url is taken from any
+#: corpus, and accuracy is measured on other urls (tests/llm).
 LABELLED = (
-    ("spam-farm.example.org/en/1", 1),
-    ("spam-links.example.org/de/77", 1),
-    ("www.spam-farm.example.org/buy-now", 1),
-    ("link-farm.example.org/es/503.html", 1),
-    ("cheap-pills.example.org/fr/12", 1),
-    ("www.cheap-pills.example.org/en/450", 1),
-    ("cheap-watches.example.net/de/9/", 1),
-    ("buy-cheap-pills.example.net/en/3", 1),
-    ("casino-bonus.example.org/en/88", 1),
-    ("best-casino.example.net/de/101.html", 1),
-    ("free-money-casino.example.org/", 1),
-    ("win-free-prizes.example.net/en/5", 1),
-    ("adult-xxx.example.org/en/6", 1),
-    ("xxx-videos.example.net/es/31", 1),
-    ("payday-loans.example.org/en/2", 1),
-    ("replica-watches.example.net/fr/44", 1),
-    ("torrent-crack.example.org/en/9", 1),
-    ("get-rich-quick.example.net/en/71", 1),
-    ("blog.example.org/en/853/", 0),
-    ("www.example.org/en/471", 0),
-    ("m.example.org/de/25", 0),
-    ("news.example.org/fr/414", 0),
-    ("docs.example.net/en/manual.html", 0),
-    ("library.example.net/de/612", 0),
-    ("history-museum.example.org/en/38", 0),
-    ("university.example.net/en/research/7", 0),
-    ("city-council.example.org/es/978", 0),
-    ("garden.example.org/en/148.html", 0),
-    ("recipes.example.net/de/176/", 0),
-    ("weather.example.org/fr/65.html", 0),
-    ("health.example.org/en/advice/12", 0),
-    ("science.example.net/en/728", 0),
-    ("music.example.org/de/450", 0),
-    ("photos.example.net/en/9", 0),
-    ("travel.example.org/en/533/", 0),
-    ("blog.therout.example.net/de/960", 0),
-    ("ththan.example.org/en/369", 0),
-    ("www.thering.example.net/en/328/", 0),
-    ("m.ononti.example.org/es/797", 0),
+    ("best-online-casino.bet/bonus/free-spins", 1),
+    ("royalcasino777.win/play/slots", 1),
+    ("poker-bonus.club/en/jackpot", 1),
+    ("www.bet-and-win.info/betting/odds", 1),
+    ("cheap-viagra.biz/buy/pills.html", 1),
+    ("discountpills.shop/cialis/order-now", 1),
+    ("weight-loss-miracle.top/buy-now", 1),
+    ("xxx-tube.porn/videos/hot", 1),
+    ("adultcams.sex/live/girls", 1),
+    ("free-porn-movies.xyz/hd/77", 1),
+    ("hotgirls-dating.click/adult/chat", 1),
+    ("escorts-city.vip/nude", 1),
+    ("payday-loans-fast.loan/apply", 1),
+    ("instant-cash-loan.biz/bad-credit", 1),
+    ("get-rich-quick.pro/make-money-fast", 1),
+    ("bitcoin-doubler.cc/invest/profit", 1),
+    ("free-prize.winner.click/claim/gift-card", 1),
+    ("you-won.top/claim-prize/iphone", 1),
+    ("replica-watches.store/rolex/cheap", 1),
+    ("cheap-handbags-outlet.ru/sale/replica", 1),
+    ("warez-download.to/crack/keygen.exe", 1),
+    ("torrents-free.se/movies/crack-serial", 1),
+    ("cracked-software.net/serial-keys/download", 1),
+    ("spam-links.info/directory/link-farm", 1),
+    ("seo-backlinks.biz/buy-links", 1),
+    ("linkfarm.top/page/9081", 1),
+    ("track.adserver.click/banner/popunder", 1),
+    ("clickbait-ads.xyz/offer?id", 1),
+    ("malware-cleaner.download/setup.exe", 1),
+    ("secure-login-verify.account-update.tk/paypal/signin.php", 1),
+    ("fake-id-cards.cc/order", 1),
+    ("sexy-singles.date/meet-tonight", 1),
+    ("www.cityherald.com/news/2021/local/council-votes", 0),
+    ("news.dailyrecord.org/world/article-8812.html", 0),
+    ("blog.gardeners.org/2019/05/growing-tomatoes", 0),
+    ("en.encyclopedia.org/wiki/River", 0),
+    ("www.university.edu/physics/research/papers", 0),
+    ("library.school.edu/catalogue/books/412", 0),
+    ("docs.softwareproject.io/manual/install.html", 0),
+    ("developer.framework.dev/api/reference/classes", 0),
+    ("forum.cyclists.org/thread/20931", 0),
+    ("questions.programmers.net/questions/5512/sort-a-list", 0),
+    ("www.ministry.gov/policy/health/report.pdf", 0),
+    ("data.statistics.gov/population/2020", 0),
+    ("www.museum.org/exhibitions/bronze-age", 0),
+    ("recipes.homecooking.com/soup/leek-and-potato", 0),
+    ("www.hospital.org/patients/advice/diabetes", 0),
+    ("weather.service.gov/forecast/coast", 0),
+    ("www.railway.co.uk/timetable/stations", 0),
+    ("shop.bookstore.com/history/medieval-europe", 0),
+    ("travel.guides.com/italy/rome/walks", 0),
+    ("music.radio.fr/emissions/jazz", 0),
+    ("www.zeitung.de/politik/artikel-1123.html", 0),
+    ("www.periodico.es/cultura/noticias/libros", 0),
+    ("www.lejournal.fr/sciences/climat", 0),
+    ("sport.tageblatt.de/fussball/ergebnisse", 0),
+    ("photos.nature.org/birds/heron", 0),
+    ("www.bakery.com/about", 0),
+    ("community.photographers.net/gallery/landscape/18", 0),
+    ("m.localnews.org/en/story/331", 0),
+    ("archive.journals.org/volume/12/issue/3", 0),
+    ("www.theatre.org/programme/autumn", 0),
     ("", 0),
 )
 
