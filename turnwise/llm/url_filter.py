@@ -54,6 +54,14 @@ LABELLED = (
     ("secure-login-verify.account-update.tk/paypal/signin.php", 1),
     ("fake-id-cards.cc/order", 1),
     ("sexy-singles.date/meet-tonight", 1),
+    ("spamsite.com/page/3", 1),
+    ("spam.blogfarm.net/post/3", 1),
+    ("ads.tracking-pixel.net/click", 1),
+    ("ad-tracker.org/banner/300", 1),
+    ("best-casino.com/slots", 1),
+    ("free-porn.net/video", 1),
+    ("cheap-pills.org/buy", 1),
+    ("payday-loan.com/apply", 1),
     ("www.cityherald.com/news/2021/local/council-votes", 0),
     ("news.dailyrecord.org/world/article-8812.html", 0),
     ("blog.gardeners.org/2019/05/growing-tomatoes", 0),
