@@ -62,6 +62,12 @@ LABELLED = (
     ("free-porn.net/video", 1),
     ("cheap-pills.org/buy", 1),
     ("payday-loan.com/apply", 1),
+    ("spam-mail.org/en/33", 1),
+    ("www.casino-spiele.net/de/12", 1),
+    ("porno-videos.com/es/5", 1),
+    ("ads-network.net/fr/7.html", 1),
+    ("m.credit-loans.org/en/19", 1),
+    ("tracking-ads.com/de/4/", 1),
     ("www.cityherald.com/news/2021/local/council-votes", 0),
     ("news.dailyrecord.org/world/article-8812.html", 0),
     ("blog.gardeners.org/2019/05/growing-tomatoes", 0),
@@ -92,6 +98,24 @@ LABELLED = (
     ("m.localnews.org/en/story/331", 0),
     ("archive.journals.org/volume/12/issue/3", 0),
     ("www.theatre.org/programme/autumn", 0),
+    ("www.kastelholm.net/fr/actualites/31", 0),
+    ("m.brindlewood.org/de/artikel/44", 0),
+    ("blog.marlowe.com/en/901", 0),
+    ("www.ostrava.net/es/17.html", 0),
+    ("thornbury.org/en/page/5", 0),
+    ("m.delmarva.net/es/noticias/212/", 0),
+    ("blog.tarrant.org/fr/63", 0),
+    ("wenlock.com/de/8.html", 0),
+    ("www.aldersgate.org/en/1204/", 0),
+    ("haldane.net/de/77/", 0),
+    ("m.quimper.com/fr/article/9", 0),
+    ("blog.northolt.net/en/story/330.html", 0),
+    ("www.rostrevor.com/news/56", 0),
+    ("penrhyn.org/fr/405", 0),
+    ("m.terrassa.org/es/18", 0),
+    ("www.grantham.net/de/650", 0),
+    ("blog.ellesmere.com/2018/notes", 0),
+    ("hinterland.net/en/99.html", 0),
     ("", 0),
 )
 
