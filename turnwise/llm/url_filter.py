@@ -2,7 +2,7 @@
 
 Defined results: a url that is null or has no "://" has an empty host and path; no rule fits it and the model judges the
 empty string. Repeated rows each give their own row; further columns of pages are not read. The model is fitted from
-LABELLED, a fixed small table, once in each task, and never sees the corpus.
+LABELLED, a fixed small table, on the driver, and never sees the corpus.
 """
 
 from __future__ import annotations
@@ -147,17 +147,20 @@ def grams(text: str) -> np.ndarray:
 
 
 class UrlModel:
-    def __init__(self, labelled=LABELLED, steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> None:
+    def __init__(self, labelled=LABELLED, steps: int = 1500, rate: float = 0.5, l2: float = 1e-3) -> None:
         rows = [grams(u) for u, _ in labelled]
-        x = np.zeros((len(rows), BUCKETS))
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]))
+        x = np.zeros((len(rows), len(used)))
         for i, g in enumerate(rows):
-            x[i, g] = 1 / np.sqrt(max(len(g), 1))
+            x[i, np.searchsorted(used, g)] = 1 / np.sqrt(max(len(g), 1))
         y = np.array([v for _, v in labelled], float)
-        self.w, self.b = np.zeros(BUCKETS), 0.0
-        for _ in range(steps):
-            d = 1 / (1 + np.exp(-(x @ self.w + self.b))) - y
-            self.w -= rate * (x.T @ d / len(y) * 10 + l2 * self.w)
+        w, self.b = np.zeros(len(used)), 0.0
+        for _ in range(steps if len(y) else 0):
+            d = 1 / (1 + np.exp(-(x @ w + self.b))) - y
+            w -= rate * (x.T @ d / len(y) * 10 + l2 * w)
             self.b -= rate * d.mean()
+        self.w = np.zeros(BUCKETS)
+        self.w[used] = w
 
     def score(self, text: str) -> float:
         """Probability that the url is to be blocked."""
@@ -172,9 +175,9 @@ def judge_urls(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: floa
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = named.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
 
-    def make():
-        model = UrlModel(labelled)
+    model = UrlModel(labelled)
 
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ruled, texts = batch.column("ruled").to_pylist(), batch.column("text").to_pylist()
             scores = [None if r else model.score(t or "") for r, t in zip(ruled, texts, strict=True)]
