@@ -7,14 +7,37 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import written
 
+#: Keys that a spread join broadcasts, at most; rows of one key that it lets meet in one task, at least.
+HOT, MEET = 250_000, 1000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def spread_parts(rows: DataFrame, side: DataFrame, key: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """rows joined with side on key, in two parts. side has one row a key, with n, the rows of that key; total is the number
+    of rows.
+
+    Keys with more than MEET rows, or their share of total if that is more, are joined where the rows are: there are HOT
+    of them at most, since each has more than total / HOT rows. All others are joined by a shuffle, in which no key is hot."""
+    limit = max(MEET, -(-total // HOT))
+    if total <= limit:
+        return rows.limit(0).join(side.drop("n"), key), rows.join(side.drop("n"), key)
+    hot, cold = side.where(F.col("n") > limit).drop("n"), side.where(F.col("n") <= limit).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key), rest.join(cold, key)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """Both parts."""
+    hot, rest = spread_parts(rows, side, key, total)
+    return hot.unionByName(rest) if total > MEET else rest
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Large star: every larger neighbour of u is joined to the smallest node around u. Small star: u and its smaller
-    neighbours are. Only minima are grouped; the join back is by u, which Spark may split where u is hot."""
+    neighbours are. total: the number of edges, or more."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    near = spread_join(sides, least, "u", 2 * total)
     if large:
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
@@ -24,16 +47,20 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     """edges: u, v (any order, no nulls). Returns (node, component), the component being its smallest node; nodes
     without an edge are not in it. Every step writes its edges to the shared folder."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    # the sum of hashes names the edge set; equal before and after means that all are stars
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(steps if before[0] else 0):
-        now = written(_star(_star(now, True), False), "edges")
-        after = mark(now)
-        if after == before:
+    for _ in range(steps):
+        total, open_ = _state(now)
+        if not open_:
             break
-        before = after
+        now = written(_star(_star(now, True, total), False, total), "edges")
     else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes keep them from being stars around their smallest nodes: a larger end
+    of several edges, or of one and the smaller end of another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    nodes = ends.groupBy("node").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
+    found = nodes.agg(F.sum("a").alias("total"), F.count_if(F.expr("a > 1 or a > 0 and b > 0")).alias("open")).first()
+    return found["total"] or 0, found["open"]

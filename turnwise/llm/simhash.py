@@ -7,10 +7,12 @@ out, and the pair has equal masked fingerprints in that table. No pair within th
 
 Documents are reduced to distinct fingerprints first, so copies cost one row. Within a bucket no pairs are emitted:
 a search from each unreached fingerprint over the bucket's array finds its clusters and gives one edge for each further
-member, in time linear in the bucket if it is one dense cluster.
+member, in time linear in the bucket if it is one dense cluster; a bucket of many fingerprints is first dealt again by
+other masks, which cover its pairs too.
 
 Defined results: a null text, an empty one or one of white space has fingerprint zero, linked like any other; a null
-doc_id is never a component's name unless a component has no other; repeated rows each give their own row.
+doc_id is never a component's name unless a component has no other; further columns are read only if asked for; repeated
+rows each give their own row.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import UPPER, as_bytes, map_batches, map_texts, small, written
-from turnwise.llm.components import components
+from turnwise.llm.common import UPPER, as_bytes, map_batches, map_texts, written
+from turnwise.llm.components import components, spread_join, spread_parts
 
 SHINGLE = 4
 SEED = 42
@@ -102,13 +104,31 @@ def cluster(n: int, near) -> list[tuple[int, int]]:
     return edges
 
 
+#: Fingerprints of a bucket that are searched at once; more are dealt again, LEVELS times at most.
+SEARCHED, LEVELS = 2048, 2
+
+
+def near_fingerprints(fps: np.ndarray, radius: int, level: int = 1) -> list[tuple[int, int]]:
+    """Edges that connect all fingerprints within the radius."""
+    if len(fps) <= SEARCHED or level > LEVELS:
+        return cluster(len(fps), lambda left, at: np.bitwise_count(fps[left] ^ fps[at]) <= radius)
+    edges: set[tuple[int, int]] = set()
+    for m in masks(radius, seed=level):
+        key = fps & np.uint64(m)
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for part in np.split(order, cuts):
+            if len(part) > 1:
+                edges.update((int(part[i]), int(part[j])) for i, j in near_fingerprints(fps[part], radius, level + 1))
+    return sorted(edges)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: distinct fp. Edges (u, v) whose connected components are those of all links within the radius."""
     dealt = nodes.select("fp", F.explode(tables(F.col("fp"), radius)).alias("b")).select("b.t", "b.key", F.col("fp").alias("node"))
 
     def near(rows: np.ndarray) -> list[tuple[int, int]]:
-        fps = rows[2].view(np.uint64)
-        return cluster(len(fps), lambda left, at: np.bitwise_count(fps[left] ^ fps[at]) <= radius)
+        return near_fingerprints(np.ascontiguousarray(rows[2]).view(np.uint64), radius)
 
     return in_buckets(dealt, near).distinct()
 
@@ -153,30 +173,36 @@ def in_buckets(dealt: DataFrame, near) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fingerprint, component_id, and the kept columns."""
     prints = written(fingerprints(docs, keep, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     groups = components(links(nodes.select("fp"), radius))
     # the smallest document of each component of fingerprints, then back to fingerprints and documents
-    member = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = written(member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    member = written(nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component")), "member")
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = written(spread_join(member, least, "component", member.count()).select("fp", "component_id", F.col("rows").alias("n")), "components")
+    return spread_join(prints, named, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
 # Documents of a given similarity. Shingle sets that share four fifths differ in about ten of 64 fingerprint bits, which
 # no covering family of bearable size reaches. So fingerprints are also taken of SEGMENTS short segments of each text,
 # those that start at its least shingle hashes and so are the same in copies; in unedited segments they are equal or
-# nearly so. Covering tables over segment fingerprints find the candidates, sizes sieve them, and shingle sets decide:
-# of two similar sets, each one's rarest shingles include one that both have, so only sets that share such a one are
-# compared. Fingerprints of whole texts decide nothing here: repeated words outvote the rest of a text in them.
+# nearly so. Covering tables over segment fingerprints find the candidates, and shingle sets, of whole 64-bit hashes,
+# decide. Fingerprints of whole texts decide nothing here: repeated words outvote the rest of a text in them.
+#
+# Candidates that hang together are compared in one task if they are few. Of more, those that share most buckets with a
+# bucket's centre are first compared in blocks around it, which joins families of copies; then only documents of
+# different families matter. Similar sets share one at least of each one's rarest shingles (as many as they may differ in,
+# and one more), so documents without such a one in common part company; what still hangs together is compared block by
+# block, but for the blocks of its largest family among themselves. Every step keeps all links between families.
 
 SEGMENTS = 8
 SEGMENT_WORDS = 8
 SEGMENT_RADIUS = 1
-#: Documents of a cluster that are compared in one task; larger clusters are compared block by block.
-CLUSTER = 4096
+#: Documents, and shingles of documents, that are compared in one task.
+CLUSTER, WEIGHT = 4096, 1 << 20
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row a distinct text: key, size (distinct shingles), segments (fingerprints)."""
+    """doc_id, key, size (distinct shingles) and segments (fingerprints) of each text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,11 +215,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 span = max(1, SEGMENT_WORDS - shingle + 1)
                 sizes.append(len(distinct))
                 segments.append(sorted({signed(majority(h[a : a + span])) for a in first.tolist()}))
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["key", "size", "segments"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["doc_id", "key", "size", "segments"])
 
         return step
 
-    return map_texts(docs, make, "key long, size long, segments array<long>")
+    return map_texts(docs, make, "doc_id long, key long, size long, segments array<long>")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -202,48 +228,113 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     other. In each component the row with the smallest doc_id, then key, stays, with its repeats; rows without an id stay
     only where there is no other."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    found = written(sketches(keyed.select("key", "text"), shingle), "sketches").dropDuplicates(["key"])
-    # similar sets have sizes within a factor of similarity, so they share one of two neighbouring size classes
-    step = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity)).cast("long")
-    dealt = found.withColumn("class", F.explode(F.array(step, step + 1))).withColumn("segment", F.explode("segments"))
-    dealt = dealt.select("key", "size", "class", F.explode(tables(F.col("segment"), SEGMENT_RADIUS)).alias("b"))
-    dealt = dealt.select(F.col("b.t").alias("t"), F.xxhash64("b.key", "class").alias("bucket"), F.col("key").alias("node"), "size").withColumnRenamed("bucket", "key").distinct()
-
-    def near(rows: np.ndarray) -> list[tuple[int, int]]:
-        sizes = rows[3]
-        return cluster(len(sizes), lambda left, at: np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]))
-
-    candidates = components(in_buckets(dealt.select("t", "key", "node", "size"), near))
-    candidates = written(candidates, "candidates")
-    blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER).alias("blocks"))
-    placed = candidates.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # every two blocks of a cluster meet in one task; a cluster of one block meets itself
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("a"), F.greatest("own", b).alias("b")))
-    met = placed.select("node", "component", F.explode(F.when(F.col("blocks") > 1, F.filter(pair, lambda p: (p["a"] != p["b"]))).otherwise(pair)).alias("p"))
-    texts = keyed.select("key", "text").join(small(candidates.select(F.col("node").alias("key"))), "key").dropDuplicates(["key"])
-    sets = _shingle_sets(texts, shingle)
-    exact = _verified(met.join(sets, F.col("node") == sets["key"]).select("component", "p.a", "p.b", "node", "shingles"), similarity)
+    every = written(sketches(keyed, shingle), "sketches")
+    found = written(every.groupBy("key").agg(F.first("size").alias("size"), F.first("segments").alias("segments"), F.count("*").alias("n")), "texts")
+    edges = written(_candidates(found, similarity), "candidates")
+    near = written(components(edges).join(found.select(F.col("key").alias("node"), "size", F.col("n").alias("copies")), "node"), "near")
+    # one row of each text that is to be compared
+    wanted = near.select(F.col("node").alias("key"), F.col("copies").alias("n"))
+    hot, rest = (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", every.count()))
+    sets = written(_shingle_sets(hot.unionByName(rest), shingle).withColumnRenamed("key", "node"), "sets")
+    exact = _links(near, sets, edges, similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
-    named = keyed.select("doc_id", "key").join(groups, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
-    named = written(named, "named")
+    of = found.select("key", "n").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
+    named = written(spread_join(every.select("doc_id", "key"), of, "key", every.count()), "named")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    one = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("one"))
-    return named.join(one, "component").select("doc_id", "component_id", "key", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))).alias("stays"))
+    one = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("one"), F.count("*").alias("n"))
+    return spread_join(named, one, "component", named.count()).select("doc_id", "component_id", "key", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))).alias("stays"))
+
+
+def _candidates(found: DataFrame, similarity: float) -> DataFrame:
+    """u, v, votes: texts v that share a bucket with its smallest text u, and how many such buckets. Similar sets have sizes
+    within a factor of similarity, so they share one of two neighbouring size classes, and only those share a bucket."""
+    step = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity)).cast("long")
+    dealt = found.withColumn("class", F.explode(F.array(step, step + 1))).withColumn("segment", F.explode("segments"))
+    dealt = dealt.select("key", "class", F.explode(tables(F.col("segment"), SEGMENT_RADIUS)).alias("b"))
+    dealt = dealt.select(F.xxhash64("b.t", "b.key", "class").alias("bucket"), F.col("key").alias("v"))
+    least = dealt.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(dealt, least, "bucket", 6 * SEGMENTS * found.count()).where("u != v").groupBy("u", "v").agg(F.count("*").alias("votes"))
+
+
+def _links(near: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links whose components are those of all similar texts. near: node, component (of candidates), size."""
+    total = near.count()
+    sizes = near.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).withColumn("few", (F.col("n") <= CLUSTER) & (F.col("weight") <= WEIGHT))
+    near = written(spread_join(near.select("node", "component", "size"), sizes.select("component", "n", "few"), "component", total), "sized")
+    compare = lambda met: _verified(met.join(sets, "node").select("component", "a", "b", "node", "shingles"), similarity)
+    zero = F.lit(0).cast("long")
+    out = compare(near.where("few").select("node", "component", zero.alias("a"), zero.alias("b")))
+    many = near.where("not few").select("node", "component", "size")
+    if not many.limit(1).count():
+        return out
+    own = written(compare(_around(many, edges, total)), "own")
+    family = components(own).select("node", F.col("component").alias("family"))
+    many = many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family"))
+    kinds = many.groupBy("component").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("component", "n")
+    mixed = written(spread_join(many, kinds, "component", total), "mixed")
+    parts = components(_sharing(mixed, sets, similarity)).select("node", F.col("component").alias("part"))
+    left = written(mixed.join(parts, "node").select("node", F.col("part").alias("component"), "size", "family"), "left")
+    return out.unionByName(own).unionByName(compare(_blocks(left, total)))
+
+
+def _around(many: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """node, component, a, b: each text beside the centre that it shares most buckets with, in blocks; the centre is in
+    all blocks around it."""
+    best = edges.join(many.select(F.col("node").alias("v"), "size"), "v").groupBy("v").agg(F.max_by("u", F.struct("votes", "u")).alias("u"), F.first("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("size") / WEIGHT)).cast("long")
+    centres = best.groupBy("u").agg(F.count("*").alias("n"), blocks.alias("blocks"))
+    zero = F.lit(0).cast("long")
+    members = spread_join(best, centres, "u", total).select(F.col("v").alias("node"), F.col("u").alias("component"), F.pmod(F.xxhash64("v"), F.col("blocks")).alias("a"), zero.alias("b"))
+    return members.unionByName(centres.select(F.col("u").alias("node"), F.col("u").alias("component"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("a"), zero.alias("b")))
+
+
+def _sharing(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: edges that connect texts of one component that share one of their rarest shingles, where texts of different
+    families do. How rare a shingle is, is counted in its component."""
+    held = mixed.join(sets, "node").select("node", "family", "size", "component", F.explode("shingles").alias("s")).select("node", "family", "size", F.xxhash64("component", "s").alias("g"))
+    held = written(held, "held")
+    counts = held.groupBy("g").agg(F.count("*").alias("n"))
+    some = spread_join(held, counts.withColumn("rows", F.col("n")), "g", held.count())
+    first = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
+    rare = some.groupBy("node").agg(F.first("family").alias("family"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("rows", "g"))).alias("all"))
+    rare = rare.select("node", "family", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.rows > 1").select("node", "family", "x.g")
+    rare = written(rare, "rare")
+    groups = rare.groupBy("g").agg(F.min("node").alias("u"), F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("g", "u", "n")
+    return spread_join(rare, groups, "g", rare.count()).select("u", F.col("node").alias("v"))
+
+
+def _blocks(left: DataFrame, total: int) -> DataFrame:
+    """node, component, a, b: blocks of texts that meet. All texts of a component meet, but for the blocks of its largest
+    family, which need not meet each other: its texts are linked already."""
+    families = left.groupBy("component", "family").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    whole = families.groupBy("component").agg(F.max_by("family", F.struct("w", "family")).alias("main"), F.max(F.struct("w", "family", "n")).alias("m"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / CLUSTER), F.ceil(w / WEIGHT)).cast("long")
+    whole = whole.withColumn("few", (F.col("n") <= CLUSTER) & (F.col("w") <= WEIGHT)).withColumn("mains", blocks(F.col("m.n"), F.col("m.w"))).withColumn("rests", blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")))
+    d = spread_join(left.select("node", "component", "family"), whole.select("component", "n", "main", "few", "mains", "rests"), "component", total)
+    zero = F.lit(0).cast("long")
+    is_main = F.col("family") == F.col("main")
+    d = d.withColumn("own", F.when(is_main, F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "rests")))
+    rests, mains = F.sequence(F.col("mains"), F.col("mains") + F.col("rests") - 1), F.sequence(zero, F.col("mains") - 1)
+    rests = F.when(F.col("rests") > 0, rests).otherwise(F.array().cast("array<bigint>"))
+    meet = F.when(is_main, rests).otherwise(F.concat(mains, F.filter(rests, lambda b: (b != F.col("own")) | (F.col("rests") == 1))))
+    meet = F.when(F.col("few"), F.array(zero)).otherwise(meet)
+    own = F.when(F.col("few"), zero).otherwise(F.col("own"))
+    return d.withColumn("b", F.explode(meet)).withColumn("own", own).select("node", "component", F.least("own", "b").alias("a"), F.greatest("own", "b").alias("b"))
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """32 bits of each hash: two sets of a thousand then share a shingle by chance once in four thousand times."""
+    """key and shingles, the distinct 64-bit hashes."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique((shingle_hashes(t, shingle)[1] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column("text"))]
+            sets = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in as_bytes(batch.column("text"))]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))], ["key", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
 
         return step
 
-    return map_texts(texts, make, "key long, shingles array<int>")
+    return map_texts(texts, make, "key long, shingles array<long>")
 
 
 def _verified(met: DataFrame, similarity: float) -> DataFrame:
