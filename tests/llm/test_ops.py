@@ -333,9 +333,11 @@ def test_simhash(docs_of):
     assert simhash.near_duplicates(docs_of(rows).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("cluster", [4096, 20])
-def test_similar_documents(docs_of, monkeypatch, cluster):
+@pytest.mark.parametrize(("cluster", "weight", "meet"), [(4096, 1 << 20, 1000), (20, 1 << 20, 2), (7, 900, 1000)])
+def test_similar_documents(docs_of, monkeypatch, cluster, weight, meet):
     monkeypatch.setattr(simhash, "CLUSTER", cluster)
+    monkeypatch.setattr(simhash, "WEIGHT", weight)
+    monkeypatch.setattr(components, "MEET", meet)
     random.seed(8)
     long = [[f"w{random.randint(0, 900)}" for _ in range(120)] for _ in range(5)]
     rows = [r for r in ODD if r[0] is not None]
@@ -420,24 +422,33 @@ def test_chunks_change_nothing(spark, docs_of, monkeypatch):
         rows.append((100 + i, f"{text(random.randint(0, 200))} {' '.join(cut)} {text(random.randint(0, 200))}"))
     docs, benchmark = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
     got = []
-    for n in (20_000, 20, 1):
+    for n in (20_000, 20, 9):
         monkeypatch.setattr(decontaminate, "INDEX_ITEMS", n)
         got.append(Counter(map(tuple, decontaminate.leaks(docs, benchmark).collect())))
     assert len(got[0]) > 5 and got[0] == got[1] == got[2]
 
 
-def test_index_misses_nothing():
+@pytest.mark.parametrize(("size", "block"), [(16, 4), (3, 2), (1000, 1)])
+def test_index_misses_nothing(size, block):
+    """Every item at or above the threshold in a passage is found, with its score, and no other."""
     random.seed(11)
-    items = [decontaminate.parted(i, " ".join(f"t{random.randint(0, 60)}" for _ in range(25))) for i in range(40)]
-    index = decontaminate.Index(items, threshold=0.6)
-    for _ in range(30):
-        words = [f"t{random.randint(0, 60)}".encode() for _ in range(random.randint(0, 160))]
-        got = {(p, b) for _, p, b in index.candidates([words])}
-        for p in range(0, max(1, (len(words) - 1) // index.span + 1)):
-            own = set(words[p * index.span : (p + 2) * index.span])
-            for i, impact in enumerate(index.impact):
-                if sum(v for w, v in impact.items() if w in own) >= 0.6 + 1e-9:
-                    assert (p, i // index.block) in got
+    items = [decontaminate.parted(i, " ".join(f"t{min(random.randint(0, 90), random.randint(0, 90))}" for _ in range(random.choice([3, 9, 20, 45])))) for i in range(60)]
+    index = decontaminate.Index(items, size=size, block=block)
+    found = 0
+    for _ in range(40):
+        texts = [[f"t{min(random.randint(0, 90), random.randint(0, 90))}".encode() for _ in range(random.randint(0, 200))] for _ in range(3)]
+        want = []
+        for t, words in enumerate(texts):
+            for i, x in enumerate(items):
+                span = decontaminate.span_of(len(x.words))
+                for p in range(len(words) // span + 1):
+                    own = set(words[p * span : (p + 2) * span])
+                    score = sum(v for w, v in index.impact[i].items() if w in own)
+                    if score >= 0.6:
+                        want.append((t, i, score))
+        assert sorted(m[:3] for m in index.matches(texts)) == sorted(want)
+        found += len(want)
+    assert found > 100
 
 
 # 9
