@@ -72,6 +72,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(m["sha256"] for m in again) == sorted(m["sha256"] for m in listed)  # equal input, equal bytes
 
 
+def test_warc_shards(spark, tmp_path, monkeypatch):
+    """Files follow from the pages alone; null ids and repeated ids are parted by digest, each record is found once."""
+    random.seed(2)
+    pages = [(random.choice([None, None, 7, i, -i, 2**60 + i]), f"http://{i}", f"<p>{random.randint(0, 600)}" * random.choice([1, 300])) for i in range(1500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    cuts = warc.bounds(df, 12)
+    assert 6 <= len(cuts) <= 12 and cuts == sorted(set(cuts)) and cuts[1][0] == warc.NONE
+    manifest = warc.write(df, tmp_path.as_uri(), shards=12)
+    names = {m["file"]: m["sha256"] for m in manifest.collect()}
+    assert len(names) == len(cuts) + 1
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = warc.write(df.repartition(5).orderBy(F.rand()), (tmp_path / "again").as_uri(), shards=12)
+        assert {m["file"]: m["sha256"] for m in again.collect()} == names
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = warc.read(manifest, tmp_path.as_uri()).collect()
+    assert Counter((r["page_id"], r["payload_digest"]) for r in rows) == Counter((i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages)
+    raw = b"".join(__import__("gzip").decompress((tmp_path / "data" / f).read_bytes()) for f in names)
+    ids = re.findall(rb"WARC-Record-ID: <(.*?)>", raw)
+    assert len(ids) == len(set(ids)) == len(pages) and set(re.findall(rb"WARC-Refers-To: <(.*?)>", raw)) <= set(ids)
+
+
 def test_warc_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(empty, tmp_path.as_uri()), tmp_path.as_uri()).count() == 0

@@ -1,10 +1,13 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Writing: records are range-sorted by page; each task writes its range as gzip members, one a record, and starts a new
-file when the compressed size passes a limit. Headers and digests are made anew from the payload. A file is written
-under a temporary name and renamed when whole; names depend on the range and the roll number only, so a task that runs
-again, or twice at once, puts the same bytes under the same name. The manifest of all files, with sizes and digests, is
-committed last, by Spark's own writer; a reader takes nothing that the manifest does not list.
+Writing: records are range-sorted by page and digest into shards; each shard is written as gzip members, one a record, and a new
+file is started when the compressed size passes a limit. The ranges follow from the pages alone: their bounds are taken
+from the records that hash lowest, and their number from the bytes of all payloads. So equal pages give equal files,
+whatever the session's settings and however rows are dealt. Headers and digests are made anew from the
+payload. A file is written under a temporary name and renamed when whole; names depend on the shard and the roll number
+only, so a task that runs again, or twice at once, puts the same bytes under the same name. The manifest of all files,
+with sizes and digests, is committed last, by Spark's own writer, and temporary files that lost tasks left are swept; a
+reader takes nothing that the manifest does not list.
 
 Of records with equal payloads of at least REVISIT_BYTES, the one with the largest page_id is a response and the others
 revisit it. Defined results: a null or empty html is an empty payload; smaller payloads are always responses; a null
@@ -15,20 +18,26 @@ payload the first is the response and the others revisit it.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import io
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import map_batches, small_batches
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a shard, shards at most, and records that stand for a shard's share when bounds are taken.
+SHARD_BYTES, SHARDS, SAMPLED = 8 << 20, 20_000, 20
+#: Stands for a null id where ids are compared.
+NONE = -(1 << 63)
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -55,18 +64,54 @@ def planned(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     return named.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(revisits)
 
 
-def record(page_id: int | None, nth: int, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC record. A revisit holds the HTTP headers only; their Content-Length still is that of the payload."""
+def bounds(pages: DataFrame, shards: int = 0) -> list[tuple[int, str]]:
+    """(page_id, digest) at which a new shard begins: of the records that hash lowest, SAMPLED a shard on average, those
+    that part all records evenly. Equal records go together; null ids come first."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NONE)).alias("page_id"), html.alias("html"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    shards = shards or min(SHARDS, -(-size // SHARD_BYTES))
+    if shards < 2:
+        return []
+    part = min(1 << 30, -(-(shards * SAMPLED << 30) // n))
+    some = rows.where(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30)) < part).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+    found = sorted((r["page_id"], r["digest"], r["n"]) for r in some.groupBy("page_id", "digest").agg(F.count("*").alias("n")).collect())
+    total, seen, done, out = sum(k for *_, k in found), 0, 0, []
+    for page_id, digest, k in found:
+        if seen * shards // total > done:  # what came before fills its shards
+            done = seen * shards // total
+            out.append((page_id, digest))
+        seen += k
+    return out
+
+
+def shard_of(page_id: Column, digest: Column, cuts: list[tuple[int, str]]) -> Column:
+    """How many of the cuts are no greater than the record's id and digest."""
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, x) for x in zip(ids.tolist(), digests.tolist(), strict=True)], dtype="int32")
+
+    return place(F.coalesce(page_id, F.lit(NONE)), digest) if cuts else F.lit(0)
+
+
+def name_of(page_id: int | None, digest: str, nth: int = 0) -> str:
+    """Id of the n-th record of a page with a payload of this digest."""
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}:{nth}"
+
+
+def record(name: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One WARC record; names are those of name_of(). A revisit holds the HTTP headers only; their Content-Length still is that of the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + END
     block = http if refers_to else http + payload
     to32 = lambda raw: base64.b32encode(raw).decode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{nth}>",
+        f"WARC-Record-ID: <{name}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join(url.split())}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to else []),
+        *([f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to else []),
         f"WARC-Payload-Digest: sha1:{to32(bytes.fromhex(digest))}",
         f"WARC-Block-Digest: sha1:{to32(hashlib.sha1(block).digest())}",
         "Content-Type: application/http; msgtype=response",
@@ -100,47 +145,54 @@ class Roll:
         if self.size >= self.limit:
             self.close()
 
-    def close(self) -> None:
+    def close(self) -> list[tuple]:
+        """The files that are whole."""
         if self.out is not None:
             self.out.close()
             self.fs.move(self.temporary, f"{self.folder}/{self.name}")
             self.files.append((self.name, self.size, self.records, self.sha.hexdigest()))
             self.out, self.n = None, self.n + 1
+        return self.files
 
 
 MANIFEST = "file string, bytes long, records long, sha256 string"
 
 
-def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Write pages as WARC files under uri/data and return the committed manifest, uri/manifest."""
+def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES, shards: int = 0) -> DataFrame:
+    """Write pages as WARC files under uri/data and return the committed manifest, uri/manifest. shards: how many ranges of
+    ids, about; 0: as many as the payloads' bytes call for."""
     spark = pages.sparkSession
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{uri}/data")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = planned(pages, revisit_bytes).repartitionByRange(shards, F.col("page_id").asc_nulls_first(), "digest").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    cuts = bounds(pages, shards)
+    rows = planned(pages, revisit_bytes)
+    placed = rows.withColumn("shard", shard_of(F.col("page_id"), F.col("digest"), cuts)).repartitionByRange(len(cuts) + 1, "shard")
+    ranged = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        roll, last, nth, target = Roll(f"{uri}/data", TaskContext.get().partitionId(), roll_bytes), None, 0, None
+        roll, files, last, nth, target = None, [], None, 0, None
         for batch in small_batches(batches, "payload"):
-            columns = (batch.column(c).to_pylist() for c in ("page_id", "digest", "kind", "refers_to", "url", "payload"))
-            for page_id, digest, kind, refers_to, url, payload in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("shard", "page_id", "digest", "kind", "refers_to", "url", "payload"))
+            for shard, page_id, digest, kind, refers_to, url, payload in zip(*columns, strict=True):
+                if roll is None or roll.shard != shard:
+                    files += roll.close() if roll else []
+                    roll = Roll(f"{uri}/data", shard, roll_bytes)
                 if last != (page_id, digest):
-                    # the n-th record of this page; 0 is the one that others refer to
-                    nth, last, target = (nth if last and last[0] == page_id else 0), (page_id, digest), None
-                    first = nth
+                    nth, last, target = 0, (page_id, digest), None
                 if not kind:
-                    target = f"{refers_to}:{digest}"
+                    target = name_of(refers_to, digest)
                     continue
-                own = target or (f"{'' if page_id is None else page_id}:{digest}" if nth > first and len(payload) >= revisit_bytes else None)
-                roll.add(record(page_id, nth, url or "", payload, digest, own))
+                own = target or (name_of(page_id, digest) if nth and len(payload) >= revisit_bytes else None)
+                roll.add(record(name_of(page_id, digest, nth), url or "", payload, digest, own))
                 nth += 1
-        roll.close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roll.files, strict=True) if roll.files else ([],) * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "bytes", "records", "sha256"])
+        files += roll.close() if roll else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files, strict=True) if files else ([],) * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "bytes", "records", "sha256"])
 
     map_batches(ranged, run, MANIFEST).write.mode("overwrite").parquet(f"{uri}/manifest")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{uri}/data/.part-*")) or ():
+        store.delete(f.getPath(), False)
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
