@@ -56,8 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, of narrow rows, as a broadcast side if it has no more than rows of them; else Spark shuffles both sides."""
+#: Bytes of a side that small() broadcasts, and what a row of numbers takes beside them.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 32
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, of columns of numbers only, as a broadcast side if it is no larger than BROADCAST_BYTES; else Spark shuffles both
+    sides."""
+    rows = BROADCAST_BYTES // (ROW_BYTES + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
