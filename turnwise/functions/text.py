@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
 
-EDGE = r"^[\x00-\x20]+|[\x00-\x20]+$"
+EDGE = r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++$"
+
+
+def once(d: DataFrame, **columns: Column) -> DataFrame:
+    """d with the columns, each worked out once a row however often it is used: expressions are copied into each of their
+    uses, but not through a generator."""
+    kept = [c for c in d.columns if c not in columns]
+    return d.select(*kept, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__once")).select(*kept, "__once.*")
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, inside an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip_edges(c: Column) -> Column:
@@ -71,9 +83,10 @@ def is_discourse(c: Column) -> Column:
 
 
 def without_discourse(c: Column) -> Column:
-    """Discourse markers off both ends."""
+    """Discourse markers off both ends, a comma off the last word, one space between words."""
     words = f"(?:{L.any_of(L.DISCOURSE)}),?"
-    return F.regexp_replace(F.regexp_replace(strip_edges(F.lower(c)), f"^(?:{words}(?: +|$))+", ""), f"(?:(?:^| +){words})+$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip_edges(F.lower(c)), ",$", ""), " {2,}", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, f"^ ?(?:{words}(?: |$))++", ""), f"(?:(?:^| ){words})+$", ""))
 
 
 def comma_before_subject(c: Column) -> Column:

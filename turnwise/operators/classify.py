@@ -35,8 +35,8 @@ def addressed_modal(tokens: Column) -> Column:
 
 
 def negates(t: Column, following: Column) -> Column:
-    """not, never and ...n't, unless the second person follows ("don't you")."""
-    return (t.isin("not", "never") | t.endswith("n't")) & ~following.isin(*L.SECOND_PERSON)
+    """not, never, and ...n't unless the second person follows ("don't you")."""
+    return t.isin("not", "never") | (t.endswith("n't") & ~following.isin(*L.SECOND_PERSON))
 
 
 def negated(tokens: Column) -> Column:
@@ -56,35 +56,34 @@ def references(tokens: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda t: t.isin(*L.REFERENCES)))
 
 
-LEADS = rf"^(?:(?:{L.any_of(L.RETRACT_LEADS)})(?![{L.LEXICAL_CLASS}])[\s,-]*)+"
+LEADS = rf"^(?:(?:{L.any_of(L.RETRACT_LEADS)}|[,-])(?![{L.WORD_CLASS}])[\x00-\x20]*)+"
 
 
 def is_retraction(clause: Column) -> Column:
     """Leading interjections aside, the clause takes back what was said."""
     rest = F.regexp_replace(X.strip_edges(F.lower(clause)), LEADS, "")
-    return rest.rlike(f"^(?:{L.any_of(L.RETRACTIONS)})(?![{L.LEXICAL_CLASS}])")
+    return rest.rlike(f"^(?:{L.any_of(L.RETRACTIONS)})")
 
 
 SKIPPED = rf"^(?:[^\s,]+,\s*|(?:and|but|so|or|{L.any_of(L.DISCOURSE)}) +)+"
 
 
-def head_tokens(clause: Column) -> Column:
+def head_tokens(lower: Column, tokens: Column) -> Column:
     """Tokens from the first one that is no vocative, conjunction or discourse marker; the last token at least."""
-    rest = X.tokenize(F.regexp_replace(X.strip_edges(F.lower(clause)), SKIPPED, ""))
-    whole = X.tokenize(clause)
-    return F.when(F.size(rest) > 0, rest).otherwise(F.slice(whole, -1, 1))
+    rest = X.tokenize(F.regexp_replace(lower, SKIPPED, ""))
+    return F.when(F.size(rest) > 0, rest).otherwise(F.slice(tokens, -1, 1))
 
 
 def prepared(clauses, verbs=L.VERBS):
     """clauses with what the rules below look at, each as a column of its own: lower, tokens, lemmas, is_verb (an entry a
     token), head (tokens from the first that counts), head_lemmas, head_verbs, plain (place of the first token that is no
     discourse marker)."""
-    c = clauses.withColumn("lower", X.strip_edges(F.lower("clause"))).withColumn("tokens", X.tokenize(F.col("clause"))).withColumn("head", head_tokens(F.col("clause")))
-    for tokens, lemmas, flags in (("tokens", "lemmas", "is_verb"), ("head", "head_lemmas", "head_verbs")):
-        c = c.withColumn(lemmas, F.transform(tokens, lambda t: M.lemma(t)))
-        known = M.words(verbs)
-        c = c.withColumn(flags, F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(lemmas).alias("l")), lambda x: F.array_contains(known, x["t"]) | F.array_contains(known, x["l"]) | ((x["l"] != x["t"]) & F.array_contains(known, F.concat(x["l"], F.lit("e"))))))
-    return c.withColumn("plain", first_index(F.col("tokens"), lambda t, i: ~t.isin(*L.DISCOURSE)))
+    c = X.once(clauses, lower=X.strip_edges(F.lower("clause")), tokens=X.tokenize(F.col("clause")))
+    c = X.once(c, head=head_tokens(F.col("lower"), F.col("tokens")))
+    c = X.once(c, lemmas=F.transform("tokens", lambda t: M.lemma(t)), head_lemmas=F.transform("head", lambda t: M.lemma(t)))
+    known = M.words(verbs)
+    flags = lambda tokens, lemmas: F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(lemmas).alias("l")), lambda x: F.array_contains(known, x["t"]) | F.array_contains(known, x["l"]) | ((x["l"] != x["t"]) & F.array_contains(known, F.concat(x["l"], F.lit("e")))))
+    return X.once(c, is_verb=flags("tokens", "lemmas"), head_verbs=flags("head", "head_lemmas"), plain=first_index(F.col("tokens"), lambda t, i: ~t.isin(*L.DISCOURSE)))
 
 
 def _flag(flags: str, i) -> Column:
@@ -138,7 +137,7 @@ def with_predicate(c, act: str = "speech_act"):
         .when(lower.startswith("go ahead and "), 3)
         .otherwise(0)
     )
-    c = c.withColumn("begin", begin)
+    c = X.once(c, begin=begin)
     determined = lambda i: at(tokens, i).isin(*L.DETERMINERS)
     helper = lambda i: at(tokens, i).isin(*L.MODALS) | at(tokens, i).endswith("n't") | at(F.col("lemmas"), i).isin("be", "do", "have")
 
@@ -150,11 +149,11 @@ def with_predicate(c, act: str = "speech_act"):
         return out
 
     verb = first_index(tokens, lambda t, i: (i >= F.col("begin")) & _flag("is_verb", i) & ~((i > 0) & determined(i - 1)) & ~t.isin(*L.DISCOURSE) & ~(helper(i) & governs(i)))
-    c = c.withColumn("verb_at", verb).withColumn("open_at", first_index(tokens, lambda t, i: (i >= F.col("begin")) & ~t.isin(*L.DISCOURSE)))
+    c = X.once(c, verb_at=verb, open_at=first_index(tokens, lambda t, i: (i >= F.col("begin")) & ~t.isin(*L.DISCOURSE)))
     word = at(tokens, F.col("open_at"))
     closed = word.isin(*L.DETERMINERS, *L.SUBJECTS, "u", "not", "never", *L.WH_WORDS, "there", "here", "let's") | word.contains("'")
     unknown = (F.col(act) == "request") & (F.col("open_at") >= 0) & ~closed & at(tokens, F.col("open_at") + 1).isin(*OBJECTS, "her")
-    return c.withColumn("predicate", F.when(F.col("verb_at") >= 0, F.col("verb_at")).when(unknown, F.col("open_at")).otherwise(-1)).drop("begin", "verb_at", "open_at")
+    return X.once(c, predicate=F.when(F.col("verb_at") >= 0, F.col("verb_at")).when(unknown, F.col("open_at")).otherwise(-1)).drop("begin", "verb_at", "open_at")
 
 
 def with_unit(c, verbs=L.VERBS):
@@ -162,19 +161,19 @@ def with_unit(c, verbs=L.VERBS):
     tokens, p = F.col("tokens"), F.col("predicate")
     long = [v for v in verbs if "_" in v]
     head = F.when(at(F.col("lemmas"), p).isin(*verbs), at(F.col("lemmas"), p)).otherwise(at(tokens, p))
-    c = c.withColumn("unit_head", head)
+    c = X.once(c, unit_head=head)
     best = F.lit(1)
     for n in (2, 3, 4):
         joined = F.concat_ws("_", "unit_head", F.slice(tokens, F.greatest(p, F.lit(0)) + 2, n - 1))
         best = F.when((F.size(tokens) >= p + n) & joined.isin(*long), n).otherwise(best)
-    return c.withColumn("unit", F.when(at(tokens, p + 1).isin(*L.VERB_BLOCKERS), 1).otherwise(best)).drop("unit_head")
+    return X.once(c, unit=F.when(at(tokens, p + 1).isin(*L.VERB_BLOCKERS), 1).otherwise(best)).drop("unit_head")
 
 
 def with_target(c, text: str, target: str = "target", recipient: str = "recipient"):
     """c with the target and recipient of a column's text: a recipient in front or behind is taken off first."""
-    c = c.withColumn("__s", F.regexp_replace(text, X.SPAN_TAIL, ""))
+    c = X.once(c, __s=F.regexp_replace(text, X.SPAN_TAIL, ""))
     rest, who = X.split_recipient(F.col("__s"))
-    c = c.withColumn("__rest", rest).withColumn("__who", who)
+    c = X.once(c, __rest=rest, __who=who)
     given = (F.col("__who") != "") & (X.strip_edges(F.col("__rest")) != "")
     c = c.withColumn("__t", F.when(given, F.col("__rest")).otherwise(F.col(text))).withColumn(recipient, F.when(given, F.col("__who")).otherwise(""))
     return c.withColumn(target, F.coalesce(X.trim_target(F.col("__t")), F.lit(""))).drop("__s", "__rest", "__who", "__t")

@@ -45,28 +45,29 @@ def fetched(piece: Column) -> Column:
 
 
 def pieces(turns: DataFrame, surfaces, *keep: str) -> DataFrame:
-    """turn_id, clause_no (number of the piece), clause (what is compiled), raw (what was said), start_index, end_index,
+    """turns: turn_id, normalized. turn_id, clause_no (number of the piece), clause (what is compiled), raw (what was said), start_index, end_index,
     times, step, steps, normalized. An empty turn has no piece."""
-    found = turns.withColumn("normalized", X.normalize(F.col("text")))
-    parts = F.flatten(F.transform(split_clauses(F.col("normalized")), lambda c: split_coordination(c, surfaces)))
-    found = found.withColumn("places", places_of(F.col("normalized"), parts)).select("turn_id", "normalized", *keep, F.posexplode("places").alias("i", "c"))
+    found = X.once(turns, parts=split_clauses(F.col("normalized")), low=F.lower("normalized"))
+    found = X.once(found, cut=F.flatten(F.transform("parts", lambda c: split_coordination(c, surfaces))))
+    found = found.withColumn("places", places_of(F.col("normalized"), F.col("cut"), F.col("low"))).select("turn_id", "normalized", *keep, F.posexplode("places").alias("i", "c"))
     base, times = counted(F.col("raw"))
     verb, n = do_counted(F.col("raw"), surfaces)
-    found = found.select("turn_id", "normalized", *keep, "i", F.col("c.text").alias("raw"), "c.start_index", "c.end_index").withColumn("times", F.when(n > 0, n).otherwise(times)).withColumn("base", F.when(n > 0, verb).otherwise(base))
-    found = found.withColumn("all_steps", fetched(F.col("base"))).select("*", F.posexplode("all_steps").alias("step", "clause"))
+    found = X.once(found.select("turn_id", "normalized", *keep, "i", F.col("c.text").alias("raw"), "c.start_index", "c.end_index"), verb=verb, n=n, base=base, times=times)
+    found = found.withColumn("times", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("times"))).withColumn("base", F.when(F.col("n") > 0, F.col("verb")).otherwise(F.col("base")))
+    found = X.once(found, all_steps=fetched(F.col("base"))).select("*", F.posexplode("all_steps").alias("step", "clause"))
     order = Window.partitionBy("turn_id").orderBy("i", "step")
     return found.select("turn_id", "normalized", *keep, F.row_number().over(order).alias("clause_no"), "clause", "raw", "start_index", "end_index", "times", "step", F.size("all_steps").alias("steps"))
 
 
-QUESTION_WORDS = ("what ", "where ", "when ", "why ", "who ", "how ")
-INDIRECT_QUERY = ("need to know whether ", "tell me whether ", "want to know whether ", "wonder whether ")
-INDIRECT_REQUEST = ("i need you to ", "i would like you to ", "i'd like you to ", "i want you to ", "i am asking you to ", "go ahead and ")
-CANCELS = ("don't do", "dont do", "do not do", "not now", "cancel that", "cancel it")
-UNCLEAR = ("the other one", "the other?", "which one", "which target", "two matching targets", "matching targets are visible")
-THOUGHT = ("perceptioncognition", "metaactions", "perception", "information")
-STATES = ("closed", "open", "locked", "unlocked", "alone", "untouched")
-DEIXIS = ("here", "over here", "right here", "here with me", "with me", "next to me", "right next to me", "beside me", "near me", "by me", "close to me", "closer", "closer to me")
-INTERRUPTED = ("i", "you", "he", "she", "we", "they", "do", "does", "did", "can", "could", "would", "will", "is", "are", "was", "there", "what", "where", "who", "how", "why")
+QUESTION_WORDS = L.QUESTION_WORDS
+INDIRECT_QUERY = L.INDIRECT_QUERY
+INDIRECT_REQUEST = L.INDIRECT_REQUEST
+CANCELS = L.CANCELS
+UNCLEAR = L.UNCLEAR
+THOUGHT = L.THOUGHT
+STATES = L.STATES
+DEIXIS = L.DEIXIS
+INTERRUPTED = L.INTERRUPTED
 
 
 def contains_any(c: Column, parts) -> Column:
@@ -138,8 +139,9 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     names = sorted(r[0] for r in known.select("action").collect())
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    usable = turns.where((F.length("text") <= L.MAX_CHARS) & (F.size(X.tokenize(F.col("text"))) <= L.MAX_TOKENS))
-    cut = pieces(usable.repartition(n, "turn_id"), surfaces, *keep)
+    short = X.once(turns.select("turn_id", "text", *keep).repartition(n, "turn_id"), normalized=X.normalize(F.col("text"))).where(F.length("normalized") <= L.MAX_CHARS)
+    usable = short.where(F.size(X.tokenize(F.col("normalized"))) <= L.MAX_TOKENS)
+    cut = pieces(usable, surfaces, *keep)
 
     one = match.chosen(cut, registry, known)
     return _turn_level(_guards(one, surfaces, deeds, names, known), keep)
@@ -147,8 +149,8 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
 
 def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFrame:
     lower = X.strip_edges(F.lower("clause"))
-    d = one.withColumn("lower", lower).withColumns(questions(F.col("lower"), deeds))
-    d = d.withColumn("retraction", C.is_retraction(F.col("lower"))).withColumn("topic", topic(F.col("lower"))).withColumn("question_topic", F.when(F.col("question"), question_topic(F.col("lower"))).otherwise(""))
+    d = X.once(X.once(one, lower=lower), **questions(F.col("lower"), deeds))
+    d = X.once(d, retraction=C.is_retraction(F.col("lower")), topic=topic(F.col("lower")), question_topic=F.when(F.col("question"), question_topic(F.col("lower"))).otherwise(""))
     d = d.withColumn("possession", F.when(F.col("question"), possession(F.col("lower"))).otherwise(""))
     # the candidate and its actions; a surface that is one of its actions' names means that one
     d = d.select("*", "hit.surface", F.col("hit.how").alias("how"), "hit.prefix", "hit.lead", "hit.first", F.col("hit.end").alias("verb_end"), "hit.particle_at", "hit.particle_length", F.col("hit.actions").alias("several")).drop("hit")
@@ -158,10 +160,10 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
     d = d.join(match.small(known), "action", "left")
     suffix = F.substring("lower", F.col("verb_end") + 1, F.length("lower"))
     payload = F.when(F.col("particle_at") >= 0, F.concat(F.substring("lower", F.col("verb_end") + 1, F.col("particle_at") - F.col("verb_end")), F.substring("lower", F.col("particle_at") + F.col("particle_length") + 1, F.length("lower")))).otherwise(suffix)
-    d = d.withColumn("suffix", suffix).withColumn("payload", X.strip_edges(payload))
+    d = X.once(d, suffix=suffix, payload=X.strip_edges(payload))
     why_not = X.has_any_word(F.col("prefix"), ["why don't you", "why not"])
     d = d.withColumn("why_not", F.coalesce(why_not | (F.col("how") == "gerund"), F.lit(False))).withColumn("asks", F.col("question") & ~F.col("why_not"))
-    d = d.withColumn("prefix_tokens", X.tokenize(F.col("prefix"))).withColumn("after", X.tokenize(F.col("suffix")))
+    d = X.once(d, prefix_tokens=X.tokenize(F.col("prefix")), after=X.tokenize(F.col("suffix")), asks=F.col("asks"), why_not=F.col("why_not"))
     tokens = F.col("prefix_tokens")
     modal = (C.inverted_modal(tokens) >= 0) | X.has_any_word(F.col("prefix"), ["you can", "you could", "you would", "you will", "you may"])
     d = d.withColumn("addressed", F.coalesce(F.col("asks") & (F.col("target_mode") == "required") & modal & ~generic_plural(F.col("suffix")), F.lit(False)))
@@ -170,7 +172,8 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
     boundary = F.col("prefix").rlike("[—;:]$")
     ordered = (F.size(X.tokenize(F.col("lead"))) <= 1) | boundary | F.col("lead").isin("go", "come", "please go", "please come")
     request = X.has_any_word(F.col("prefix"), ["please"]) | told | contains_any(F.col("lower"), INDIRECT_REQUEST) | F.col("why_not") | ordered | (F.col("how") == "narration")
-    d = d.withColumn("request", F.coalesce(request, F.lit(False)))
+    d = X.once(d, request=F.coalesce(request, F.lit(False)), addressed=F.col("addressed"), told=F.coalesce(told, F.lit(False)))
+    told = F.col("told")
     after = F.col("after")
     subject = F.size(after).cast("int") >= 3
     bare = ~C.at(after, 0).isin(*L.DETERMINERS, "it", "them", "me", "us", "all", "every") & ~C.at(after, 1).isin(*L.VERB_BLOCKERS, "and", "or", "then", "now", "please") & C.at(after, 2).isin(*L.DETERMINERS, "it", "them", "me", "us", "him") & C.at(after, 1).isin(*L.VERBS)
@@ -203,17 +206,20 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
         ("noun_phrase", noun_phrase & ~F.col("addressed"), "conversation", "action_mention"),
         ("no_request", ~F.col("addressed") & ~F.col("request"), "conversation", "action_mention"),
     ]
-    guard, kind, query = F.lit("execute"), F.lit("execute"), F.lit("")
-    for name, test, frame_type, query_kind in reversed(guards):
-        hold = F.coalesce(test, F.lit(False))
-        guard, kind, query = F.when(hold, name).otherwise(guard), F.when(hold, frame_type).otherwise(kind), F.when(hold, query_kind).otherwise(query)
-    d = d.withColumns({"guard": guard, "outcome": kind, "query_kind": query, "surface_kind": F.when(quoted, "quotation").when(code, "code").otherwise("")})
+    guard = F.lit("execute")
+    for name, test, *_ in reversed(guards):
+        guard = F.when(F.coalesce(test, F.lit(False)), name).otherwise(guard)
+    d = X.once(d, guard=guard, surface_kind=F.when(quoted, "quotation").when(code, "code").otherwise(""))
+    outcome = M._map({name: kind for name, _, kind, _ in guards} | {"execute": "execute"})
+    asked = M._map({name: query for name, _, _, query in guards} | {"execute": ""})
+    d = d.withColumns({"outcome": F.element_at(outcome, F.col("guard")), "query_kind": F.element_at(asked, F.col("guard"))})
     # target, place and recipient
     resultative = r"^(it|them|this|that|him|her) ([^ ]*ed)[.!?]*$"
-    d = C.with_target(d, "payload", "whole_target", "recipient")
+    d = X.once(C.with_target(d, "payload", "whole_target", "recipient"), whole_target=F.col("whole_target"), recipient=F.col("recipient"))
     held = F.col("payload").rlike(resultative) & M.is_verb(F.regexp_extract("payload", resultative, 2))
     d = d.withColumn("whole_target", F.coalesce(F.when(held, F.regexp_extract("payload", resultative, 1)), F.col("whole_target"))).withColumn("recipient", F.when(held, "").otherwise(F.coalesce("recipient", F.lit(""))))
-    d = C.with_place(d.withColumn("target", F.col("whole_target")))
+    d = X.once(d.withColumn("target", F.col("whole_target")), recipient=F.col("recipient"), target=F.col("whole_target"))
+    d = X.once(C.with_place(d), target=F.col("target"), place=F.col("place"), preposition=F.col("preposition"))
     d = d.withColumn("complement", F.coalesce(F.col("payload").rlike("^(?:if|whether) "), F.lit(False)))
     d = d.withColumn("target", F.when(F.col("complement"), "").otherwise(F.col("target"))).withColumn("place", F.when(F.col("complement"), "").otherwise(F.col("place")))
     if "insert" in names:

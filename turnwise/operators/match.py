@@ -127,7 +127,7 @@ def chosen(pieces: DataFrame, registry: DataFrame, known: DataFrame, longest: in
     turn_id, then nothing is shuffled."""
     deeds = known.where(~F.col("family").isin("perception", "perceptioncognition", "metaactions", "information")).select("action").distinct().withColumn("deed", F.lit(True))
     table = registry.join(small(deeds), "action", "left").groupBy("surface").agg(F.sort_array(F.collect_set("action")).alias("actions"), F.min("alias_ord").alias("alias_ord"), F.sort_array(F.collect_set(F.when(F.col("deed"), F.col("action")))).alias("deeds"))
-    d = pieces.withColumn("low", F.lower("clause")).withColumn("w", words_of(F.col("clause")))
+    d = X.once(pieces, low=F.lower("clause"), w=words_of(F.col("clause")))
     item = lambda surface, first, end, how, at=F.lit(-1), n=F.lit(0): F.struct(surface.alias("surface"), first.cast("int").alias("first"), end.cast("int").alias("end"), F.lit(how).alias("how"), at.cast("int").alias("particle_at"), n.cast("int").alias("particle_length"))
     low, w = F.col("low"), F.col("w")
 
@@ -143,17 +143,19 @@ def chosen(pieces: DataFrame, registry: DataFrame, known: DataFrame, longest: in
         return F.transform(kept, lambda p: item(F.concat_ws(" ", head["word"], p["word"]), head["first"], head["end"], "separated", p["first"], F.length(p["word"])))
 
     told = F.regexp_extract(low, NARRATION, 1)
-    d = d.withColumn("told", told).withColumn("told_end", F.length(F.regexp_extract(low, NARRATION, 0)))
+    d = X.once(d, told=told, told_end=F.length(F.regexp_extract(low, NARRATION, 0)))
     told_bases = F.array_distinct(F.array(M.lemma(F.col("told")), F.concat(M.lemma(F.col("told")), F.lit("e")), F.col("told")))
     narration = F.when(F.col("told") != "", F.transform(told_bases, lambda b: item(b, F.col("told_end") - F.length("told"), F.col("told_end"), "narration"))).otherwise(F.array())
     mention = F.flatten(F.transform(w, lambda x: F.transform(bases_of(x["word"]), lambda b: item(b, x["first"], x["end"], "mention"))))
     asked = F.flatten(F.transform(F.filter(w, lambda x: x["word"].endswith("ing")), lambda x: F.transform(F.array(M.lemma(x["word"]), F.concat(M.lemma(x["word"]), F.lit("e"))), lambda b: item(b, x["first"], x["end"], "gerund"))))
     d = d.withColumn("all", F.concat(*(run(n) for n in range(1, longest + 1)), F.flatten(F.transform(w, apart)), F.coalesce(narration.cast("array<struct<surface:string,first:int,end:int,how:string,particle_at:int,particle_length:int>>"), F.array()), asked, mention))
-    d = d.drop("w", "told", "told_end").withColumn("c", F.explode_outer("all")).drop("all")
+    d = d.drop("w", "told", "told_end").select("*", F.posexplode_outer("all").alias("c_no", "c")).drop("all")
     d = d.withColumn("surface", F.col("c.surface")).join(small(table), "surface", "left")
+    # of what is no surface one row a piece is enough
+    d = d.where(F.col("actions").isNotNull() | (F.coalesce("c_no", F.lit(0)) == 0))
     before = F.substring("low", F.lit(1), F.col("c.first"))
-    d = d.withColumn("prefix", X.strip_edges(before)).withColumn("noun", before.rlike(f"(?:^|[^{L.LEXICAL_CLASS}])(?:{L.any_of(L.DETERMINERS[:-1])}) +$"))
-    d = d.withColumn("lead", imperative_prefix(F.col("prefix")))
+    d = X.once(d, prefix=X.strip_edges(before), noun=before.rlike(f"(?:^|[^{L.LEXICAL_CLASS}])(?:{L.any_of(L.DETERMINERS[:-1])}) +$"))
+    d = X.once(d, lead=imperative_prefix(F.col("prefix")))
     how = F.col("c.how")
     single = ~F.col("surface").contains(" ")
     fits = F.when(how == "narration", single & (F.size("deeds") > 0)).when(how == "gerund", single & ((F.col("lead") == "") | F.col("lead").endswith("mind") | F.col("lead").isin("how about", "what about"))).when(how == "mention", single).otherwise(True)

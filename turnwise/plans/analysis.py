@@ -13,16 +13,18 @@ from turnwise.operators.segment import clauses, split_clauses
 
 
 def limits(turns: DataFrame) -> DataFrame:
-    """turns with n_chars, n_tokens, n_clauses (one more than allowed at most) and the diagnostic of a turn over a limit."""
-    found = turns.withColumn("normalized", X.normalize(F.coalesce("text", F.lit("")))).withColumn("n_chars", F.length("normalized")).withColumn("n_tokens", F.size(X.tokenize(F.col("normalized"))))
-    found = found.withColumn("n_clauses", F.size(split_clauses(F.col("normalized"))))
+    """turns with n_chars, n_tokens, n_clauses (one more than allowed at most; null if the text is too long) and the
+    diagnostic of a turn over a limit."""
+    found = X.once(turns, normalized=X.normalize(F.coalesce("text", F.lit(""))))
+    within = F.length("normalized") <= L.MAX_CHARS  # nothing is cut or counted in a text that is too long
+    found = X.once(found, n_chars=F.length("normalized"), n_tokens=F.when(within, F.size(X.tokenize(F.col("normalized")))), n_clauses=F.when(within, F.size(split_clauses(F.col("normalized")))))
     code = F.when(F.col("n_chars") > L.MAX_CHARS, "NTA_LIMIT_EXCEEDED").when(F.col("n_tokens") > L.MAX_TOKENS, "NTA_TOKEN_LIMIT_EXCEEDED").when(F.col("n_clauses") > L.MAX_FRAMES, "NTA_CLAUSE_LIMIT_EXCEEDED").otherwise("")
     return found.withColumn("diagnostic_code", code).withColumn("language_status", F.when(F.col("normalized") == "", "empty").otherwise("english"))
 
 
 def features(turns: DataFrame, *keep: str) -> DataFrame:
     """One row a clause with its tokens and features."""
-    c = C.prepared(clauses(turns, *keep)).withColumn("speech_act", C.speech_act())
+    c = X.once(C.prepared(clauses(turns, *keep)), speech_act=C.speech_act())
     t = F.col("tokens")
     c = c.withColumns({"question": F.col("clause").endswith("?"), "negated": C.negated(t), "conditional": F.arrays_overlap(t, F.array(F.lit("if"), F.lit("would"))), "condition_kind": C.condition_kind(t), "modal": C.modal(t), "references": C.references(t)})
     return c

@@ -12,6 +12,7 @@ from turnwise.operators import segment as S
 from turnwise.plans import analysis
 from turnwise.plans import oracle as O
 from turnwise.plans.turns import turns
+from turnwise.sources.tables import Step
 from turnwise.streaming import dialogue
 
 QUERIES, ORACLE = {}, {}
@@ -27,15 +28,12 @@ def query(name: str, sql: str | None):
     return add
 
 
-_kept: dict[tuple, DataFrame] = {}
+def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.compiled(spark, turns(spark, sf_dir), "kind")
 
 
-def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames of the made turns, kept for the session: many queries look at them from one side each."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        _kept[key] = analysis.compiled(spark, turns(spark, sf_dir), "kind").persist()
-    return _kept[key]
+#: All frames of the made turns: many queries look at them from one side each.
+framed = Step("frames", compiled)
 
 
 long = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
@@ -125,12 +123,12 @@ FRAMES = (
 FRAMED = "WITH RECURSIVE " + FRAMES
 
 
-def on_frames(name: str, columns: str, where: str = "true"):
+def on_frames(name: str, columns: str, where: str = "true", of=framed):
     """A view of the frames: the same columns and condition on both sides, over frames compiled here and there."""
-    query(name, FRAMED + f"SELECT turn_id, CAST(frame_no AS BIGINT) AS frame_no, {columns} FROM frames WHERE {where}")(lambda s, d: framed(s, d).where(where).selectExpr("turn_id", "CAST(frame_no AS BIGINT) AS frame_no", *columns.split(", ")))
+    query(name, FRAMED + f"SELECT turn_id, CAST(frame_no AS BIGINT) AS frame_no, {columns} FROM frames WHERE {where}")(lambda s, d: of(s, d).where(where).selectExpr("turn_id", "CAST(frame_no AS BIGINT) AS frame_no", *columns.split(", ")))
 
 
-on_frames("compile_frames", "frame_type, query_kind, speech_act, action, object, destination, recipient, candidates, guard, count_index, count_total")
+on_frames("compile_frames", "frame_type, query_kind, speech_act, action, object, destination, recipient, candidates, guard, count_index, count_total", of=compiled)
 for _id, _name in {
     "b02": "prohibition", "b03": "equipment", "b04": "possession", "b05a": "emotion", "b05b": "preference", "b06": "threat", "b09": "no_alias", "b11": "ambiguous_alias", "b14": "delimited", "b16": "negated", "b17": "leave_state",
     "b18": "deferred", "b20": "question", "b22": "no_request", "b27": "narration", "b31": "missing_target", "b33": "execute", "k02": "retracted", "k06": "attention",
@@ -232,16 +230,13 @@ def link_turns(s, d):
     return s.sql(link_turns_sql().replace("FROM part", "FROM turnwise_part"))
 
 
-_links: dict[tuple, dict[str, DataFrame]] = {}
+requests = Step("requests", lambda s, d: link.numbered(link.requests(S.clauses(link_turns(s, d)), link.entries(s), match.aliases(s))))
 
 
 def linked(s, d):
-    key = (s.sparkContext.applicationId, d)
-    if key not in _links:
-        found = analysis.linked(s, link_turns(s, d))
-        _links[key] = found | {k: found[k].persist() for k in ("requests", "ranked")}
-        _links[key]["status"] = link.link_status(_links[key]["requests"], _links[key]["ranked"])
-    return _links[key]
+    asked = requests(s, d)
+    ranked, lacking = link.proposals(asked, link.candidates(s), match.actions(s))
+    return {"requests": asked, "ranked": ranked, "filtered": lacking, "status": link.link_status(asked, ranked)}
 
 
 _lt = "WITH lt AS (" + link_turns_sql() + ")"

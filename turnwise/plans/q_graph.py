@@ -4,9 +4,7 @@ is made from the rows of the tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import lexicon as L
 from turnwise.operators import contract, lexical_graph as G
 from turnwise.sources import lexical_files as S
+from turnwise.sources.tables import scratch
 
 QUERIES, ORACLE = {}, {}
 
@@ -60,8 +59,7 @@ def folder(spark: SparkSession) -> str:
     """The fixture written where executors read it too: spark.checkpoint.dir, or a folder of our own in local mode."""
     app = spark.sparkContext.applicationId
     if app not in _written:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="turnwise-")).as_uri()
-        path = f"{shared.rstrip('/')}/lexicon-{uuid.uuid4().hex}"
+        path = scratch(spark, "lexicon")
         for name, rows in files().items():
             spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(f"{path}/{name}")
         _written[app] = path

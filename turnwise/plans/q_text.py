@@ -12,6 +12,7 @@ from turnwise.operators import segment as S
 from turnwise.plans import analysis
 from turnwise.plans import oracle as O
 from turnwise.plans.turns import turns, utterances
+from turnwise.sources.tables import read, spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -228,7 +229,7 @@ on_clauses("c12_directive_future", f"regexp_matches(lower(clause), '(^|[^{O.X}])
     f"SELECT doc_id AS turn_id, CASE WHEN length(n) > 8192 THEN 'NTA_LIMIT_EXCEEDED' WHEN len({O.tokens('n')}) > 1024 THEN 'NTA_TOKEN_LIMIT_EXCEEDED' WHEN len({O.clause_list('n')}) > 32 THEN 'NTA_CLAUSE_LIMIT_EXCEEDED' ELSE '' END AS code FROM (SELECT doc_id, {O.normal('text')} AS n FROM documents)",
 )
 def _limits(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("turn_id"), "text")
+    docs = spread(read(s, d, "documents").select(F.col("doc_id").alias("turn_id"), "text"))
     return analysis.limits(docs).select("turn_id", F.col("diagnostic_code").alias("code"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnwise.sources.tables import read, spread
+
 #: {o}: the thing, {p}: a second thing; each tests what its name says.
 TEMPLATES = (
     ("direct", "Open the {o}."), ("polite", "Please close the {o}."), ("modal", "Can you open the {o}?"), ("prohibition", "Do not open the {o}."), ("negation", "You should never open the {o}."), ("quotation", '"Open the {o}" was on the sign.'),
@@ -43,7 +45,7 @@ def utterances_sql() -> str:
 def _query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in ("part", "conversations"):
         if f"FROM {name}" in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"turnwise_{name}")
+            spread(read(spark, sf_dir, name)).createOrReplaceTempView(f"turnwise_{name}")
             sql = sql.replace(f"FROM {name}", f"FROM turnwise_{name}")
     return spark.sql(sql)
 
