@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +13,45 @@ from turnwise.llm.common import written
 HOT, MEET = 250_000, 1000
 
 
-def spread_parts(rows: DataFrame, side: DataFrame, key: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """rows joined with side on key, in two parts. side has one row a key, with n, the rows of that key; total is the number
-    of rows.
+def limit_of(total: int) -> int:
+    """Rows of one key that may meet in one task, of total rows."""
+    return max(MEET, -(-total // HOT))
+
+
+def spread_parts(rows: DataFrame, side: DataFrame, key: str, total: int) -> list[DataFrame]:
+    """rows joined with side on key, in one or two parts. side has one row a key, with n, the rows of that key; total is the
+    number of rows.
 
     Keys with more than MEET rows, or their share of total if that is more, are joined where the rows are: there are HOT
     of them at most, since each has more than total / HOT rows. All others are joined by a shuffle, in which no key is hot."""
-    limit = max(MEET, -(-total // HOT))
-    if total <= limit:
-        return rows.limit(0).join(side.drop("n"), key), rows.join(side.drop("n"), key)
+    limit = limit_of(total)
+    if total > limit:
+        side = written(side, "side")
+        if (side.agg(F.max("n")).first()[0] or 0) > limit:
+            return _parts(rows, side, key, limit)
+    return [rows.join(side.drop("n"), key)]
+
+
+def _parts(rows: DataFrame, side: DataFrame, key: str, limit: int) -> list[DataFrame]:
     hot, cold = side.where(F.col("n") > limit).drop("n"), side.where(F.col("n") <= limit).drop("n")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key), rest.join(cold, key)
+    return [rows.join(F.broadcast(hot), key), rest.join(cold, key)]
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
-    """Both parts."""
-    hot, rest = spread_parts(rows, side, key, total)
-    return hot.unionByName(rest) if total > MEET else rest
+    """All parts."""
+    return reduce(DataFrame.unionByName, spread_parts(rows, side, key, total))
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """Large star: every larger neighbour of u is joined to the smallest node around u. Small star: u and its smaller
-    neighbours are. total: the number of edges, or more."""
+    neighbours are. hot: how many edges make a node hot, 0 if no node is."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
     least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    near = spread_join(sides, least, "u", 2 * total)
+    if hot:
+        least = written(least, "least")
+    near = reduce(DataFrame.unionByName, _parts(sides, least, "u", hot)) if hot else sides.join(least.drop("n"), "u")
     if large:
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
@@ -48,19 +62,23 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     without an edge are not in it. Every step writes its edges to the shared folder."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     for _ in range(steps):
-        total, open_ = _state(now)
+        total, open_, degree = _state(now)
         if not open_:
             break
-        now = written(_star(_star(now, True, total), False, total), "edges")
+        # a step gives no node more edges to smaller ones than it had edges
+        limit = limit_of(2 * total)
+        hot = limit if degree > limit else 0
+        stars = _star(now, True, hot)
+        now = written(_star(written(stars, "stars") if hot else stars, False, hot), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """How many edges there are, and how many nodes keep them from being stars around their smallest nodes: a larger end
-    of several edges, or of one and the smaller end of another."""
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """How many edges there are, how many nodes keep them from being stars around their smallest nodes (a larger end of
+    several edges, or of one and the smaller end of another), and the most edges of a node."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    nodes = ends.groupBy("node").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
-    found = nodes.agg(F.sum("a").alias("total"), F.count_if(F.expr("a > 1 or a > 0 and b > 0")).alias("open")).first()
-    return found["total"] or 0, found["open"]
+    nodes = ends.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = nodes.agg(F.sum("a").alias("total"), F.count_if(F.expr("a > 1 or a > 0 and b > 0")).alias("open"), F.max(F.expr("a + b")).alias("degree")).first()
+    return found["total"] or 0, found["open"], found["degree"] or 0

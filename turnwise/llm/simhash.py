@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +235,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     near = written(components(edges).join(found.select(F.col("key").alias("node"), "size", F.col("n").alias("copies")), "node"), "near")
     # one row of each text that is to be compared
     wanted = near.select(F.col("node").alias("key"), F.col("copies").alias("n"))
-    hot, rest = (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", every.count()))
-    sets = written(_shingle_sets(hot.unionByName(rest), shingle).withColumnRenamed("key", "node"), "sets")
+    texts = reduce(DataFrame.unionByName, (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", every.count())))
+    sets = written(_shingle_sets(texts, shingle).withColumnRenamed("key", "node"), "sets")
     exact = _links(near, sets, edges, similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
@@ -270,7 +271,7 @@ def _links(near: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float
         return out
     own = written(compare(_around(many, edges, total)), "own")
     family = components(own).select("node", F.col("component").alias("family"))
-    many = many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family"))
+    many = written(many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family")), "families")
     kinds = many.groupBy("component").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("component", "n")
     mixed = written(spread_join(many, kinds, "component", total), "mixed")
     parts = components(_sharing(mixed, sets, similarity)).select("node", F.col("component").alias("part"))
