@@ -1,15 +1,32 @@
-"""Pieces of DuckDB SQL that the oracle queries are put together from. Only fixed word classes and the patterns of the
-sentence marks are shared with the engine; what is done with them is written here anew."""
+"""Pieces of DuckDB SQL that the oracle queries are put together from. The classes that decide negation, conditions, modals,
+discourse markers and retractions, and the marks between sentences, are stated here anew, as is all that is done with
+them; other fixed word classes are shared with the engine."""
 
 from __future__ import annotations
 
 from turnwise.functions import lexicon as L
-from turnwise.operators.segment import BOUNDARIES
 from turnwise.plans.turns import turns_sql, utterances_sql
 
 W, X = L.WORD_CLASS, L.LEXICAL_CLASS.replace("'", "''")
 
 
+# Fixed values, restated.
+MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would")
+SECOND_PERSON = ("you", "u", "ya", "yah")
+CONDITIONS = ("if", "unless", "provided", "providing", "assuming", "supposing")
+DISCOURSE = ("ok", "okay", "now", "so", "alright", "well", "hey", "then", "right", "next", "first", "also", "afterwards", "finally", "later", "and", "but", "or", "oh", "um", "uh", "yeah", "maybe", "actually", "just", "please", "thanks", "sorry", "hi", "hello", "yes", "wow", "hmm")
+LEADS = ("actually", "no", "oh", "wait", "hmm", "sorry", "ok", "okay")
+RETRACTIONS = ("never mind", "nevermind", "cancel that", "cancel it", "cancel this", "forget it", "forget that", "forget about it", "scratch that", "don't do that", "don't do it", "do not do that", "not now")
+TITLES = ("mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "etc", "no")
+#: In order: a stop after a letter, a title, a dotted run or nothing is hidden, twice since matches share their edges.
+MARKS = (
+    (r"\? ", "?| "), ("! ", "!| "), ("\n", "| "),
+    *((rf"(^|[^{L.WORD_CLASS}.])([{L.WORD_CLASS}]|(?i:{'|'.join(TITLES)})|[{L.WORD_CLASS}.]*\.[{L.WORD_CLASS}.]*|)\. ", "$1$2\x02 "),) * 2,
+    (r"\. ", ".| "), ("\x02", "."), (r"(?i)(?:, and|,| and) (?:afterwards|after that|finally|later|next|then) | then |;", "| "),
+    ("(?i) and (create|make|are you|do you) ", "| $1 "), (", (could you|would you|are you|can you|did you|do you|have you|will you|was it|is it) ", "| $1 "),
+)
+
+
 def text(s: str) -> str:
     """A string literal; control signs are concatenated by code."""
     parts = []
@@ -70,13 +87,30 @@ def found_last(x: str, word: str, chars: str = X) -> str:
     return f"CASE WHEN regexp_matches({strip(f'lower({x})')}, '{p}') THEN length(regexp_extract({strip(f'lower({x})')}, '{p}', 1)) ELSE -1 END"
 
 
+def negation(i: str = "i", t: str = "t") -> str:
+    """The i-th token negates."""
+    return f"({t}[{i}] IN ('not', 'never') OR (suffix({t}[{i}], 'n''t') AND NOT coalesce({t}[{i} + 1], '') IN {members(SECOND_PERSON)}))"
+
+
+def retracts(x: str) -> str:
+    """x, lower-cased, takes back what was said once interjections, commas and dashes in front are off."""
+    apart = strip(f"regexp_replace({x}, '([,-])', ' \\1', 'g')")
+    return f"regexp_matches(regexp_replace({apart}, '^(?:(?:{one_of(LEADS)}|[,-])(?:[\\x00-\\x20]+|$))+', ''), '^(?:{one_of(RETRACTIONS)})')"
+
+
+def without_markers(x: str) -> str:
+    mark = f"(?:{one_of(DISCOURSE)}),?"
+    bare = f"regexp_replace(regexp_replace({x}, ',$', ''), ' {{2,}}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({bare}, '^ ?(?:{mark}(?: |$))+', ''), '(?:(?:^| ){mark})+$', ''), ' ')"
+
+
 def has_word(x: str, words, chars: str = X) -> str:
     return f"regexp_matches(lower({x}), '(^|[^{chars}])({one_of(words)})([^{chars}]|$)')"
 
 
 def marked(x: str) -> str:
     x = strip(x)
-    for pattern, put in BOUNDARIES:
+    for pattern, put in MARKS:
         x = f"regexp_replace({x}, {text(pattern)}, {text(put.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, 'g')"
     return x
 

@@ -160,7 +160,7 @@ on_turns("b04_possession_target", rf"regexp_replace(regexp_replace({O.strip(f'''
 _suf = rf"regexp_extract({low}, '(?:open|close|read) (.*)$', 1)"
 on_turns("b20_generic_plural", f"coalesce(len(t) BETWEEN 1 AND 3 AND t[1] NOT IN {O.members((*L.DETERMINERS, 'it', 'them', 'me', 'us'))} AND suffix(t[-1], 's') AND ({O.lemma('t[-1]')}) <> t[-1], false) AS plural".replace("t[", f"({O.tokens(_suf)})[").replace("len(t)", f"len({O.tokens(_suf)})"), plural=lambda: frames.generic_plural(F.regexp_extract(LOW(), "(?:open|close|read) (.*)$", 1)))
 _pre = f"regexp_extract({low}, '^(.*?)(?:^|[^{O.X}])open(?:[^{O.X}]|$)', 1)"
-_neg = f"len(list_filter(range(greatest(1, len(t) - 3), len(t) + 1), lambda i: ((t[i] IN ('not', 'never') OR suffix(t[i], 'n''t')) AND NOT coalesce(t[i + 1], '') IN {O.members(L.SECOND_PERSON)}) OR t[i] IN ('dont', 'avoid', 'stop'))) > 0"
+_neg = f"len(list_filter(range(greatest(1, len(t) - 3), len(t) + 1), lambda i: {O.negation()} OR t[i] IN ('dont', 'avoid', 'stop'))) > 0"
 query("b16_local_negation", O.T_TURNS + f"SELECT turn_id, {_neg} AS negated FROM (SELECT turn_id, {O.tokens(_pre)} AS t FROM turns)")(lambda s, d: turns(s, d).select("turn_id", frames.locally_negated(F.regexp_extract(LOW(), f"^(.*?)(?:^|[^{L.LEXICAL_CLASS}])open(?:[^{L.LEXICAL_CLASS}]|$)", 1)).alias("negated")))
 on_turns("b13_interjection", rf"regexp_matches({low}, '^[a-z]+,\s*(?:{O.one_of(frames.INTERRUPTED)})(?:[^a-z]|$)') AS interjection", interjection=lambda: LOW().rlike(rf"^[a-z]+,\s*(?:{L.any_of(frames.INTERRUPTED)})(?:[^a-z]|$)"))
 on_turns("b15_indirect_query", " OR ".join(f"contains({low}, '{p}')" for p in frames.INDIRECT_QUERY) + " AS indirect", indirect=lambda: frames.contains_any(LOW(), frames.INDIRECT_QUERY))
@@ -188,7 +188,7 @@ query("j08_direct_semi", O.T_CLAUSES + _hit + " SELECT turn_id, clause_no FROM c
 _key = f"CASE WHEN regexp_matches(p, '(^|[^{O.X}])please([^{O.X}]|$)') THEN 1000 ELSE 0 END"
 
 
-@query("r01_alias_rank", O.T_CLAUSES + _hit + f", k AS (SELECT *, {O.strip('substr(lower(clause), 1, first)')} AS p FROM hit), s AS (SELECT *, CASE WHEN {' OR '.join(f'''regexp_matches(p, '(^|[^{O.X}])({m}) ({y})([^{O.X}]|$)')''' for m, y in ((O.one_of(L.MODALS), O.one_of(L.SECOND_PERSON)), (O.one_of(L.SECOND_PERSON), O.one_of(L.MODALS))))} THEN 10000 ELSE 0 END + {_key} AS score FROM k) SELECT turn_id, clause_no, arg_max(surface, score::BIGINT * 1000000 - first * 1000 + length(surface)) AS surface FROM s GROUP BY ALL")
+@query("r01_alias_rank", O.T_CLAUSES + _hit + f", k AS (SELECT *, {O.strip('substr(lower(clause), 1, first)')} AS p FROM hit), s AS (SELECT *, CASE WHEN {' OR '.join(f'''regexp_matches(p, '(^|[^{O.X}])({m}) ({y})([^{O.X}]|$)')''' for m, y in ((O.one_of(O.MODALS), O.one_of(O.SECOND_PERSON)), (O.one_of(O.SECOND_PERSON), O.one_of(O.MODALS))))} THEN 10000 ELSE 0 END + {_key} AS score FROM k) SELECT turn_id, clause_no, arg_max(surface, score::BIGINT * 1000000 - first * 1000 + length(surface)) AS surface FROM s GROUP BY ALL")
 def _rank(s, d):
     """By score, place and length: the made turns have one clause-initial order each, so no other rule decides."""
     c = S.clauses(turns(s, d))
@@ -277,4 +277,4 @@ query("j12_request_flags", _lt + " " + _act_known)(lambda s, d: linked(s, d)["re
 query("v05_fail_closed", O.T_TURNS + "SELECT turn_id, CASE WHEN kind = 'blank' THEN 'SBA_ANALYSIS_INVALID' ELSE '' END AS code FROM turns")(lambda s, d: analysis.limits(turns(s, d)).select("turn_id", F.when(F.col("language_status") != "english", "SBA_ANALYSIS_INVALID").otherwise("").alias("code")))
 query("v06_build_info", "SELECT 'turnwise' AS engine, '4' AS analysis_version, 8192::BIGINT AS max_chars, 1024::BIGINT AS max_tokens, 32::BIGINT AS max_frames")(lambda s, d: s.range(1).select(*(F.lit(contract.build_info()[k]).cast("long" if k.startswith("max") else "string").alias(k) for k in ("engine", "analysis_version", "max_chars", "max_tokens", "max_frames"))))
 query("v01_analysis_errors", O.T_TURNS + "SELECT count(*) AS records, 0::BIGINT AS bad FROM turns")(lambda s, d: contract.validate_analysis(analysis.analyze(turns(s, d))).agg(F.count("*").alias("records"), F.count_if(F.size("errors") > 0).alias("bad")))
-query("modal_features", O.T_CLAUSES + f" SELECT turn_id, clause_no, len(list_filter(t, lambda w: w IN {O.members(L.MODALS)})) AS modals FROM ct")(lambda s, d: S.clauses(turns(s, d)).select("turn_id", long("clause_no").alias("clause_no"), long(F.size(F.filter(X.tokenize(F.col("clause")), lambda w: w.isin(*L.MODALS)))).alias("modals")))
+query("modal_features", O.T_CLAUSES + f" SELECT turn_id, clause_no, len(list_filter(t, lambda w: w IN {O.members(O.MODALS)})) AS modals FROM ct")(lambda s, d: S.clauses(turns(s, d)).select("turn_id", long("clause_no").alias("clause_no"), long(F.size(F.filter(X.tokenize(F.col("clause")), lambda w: w.isin(*L.MODALS)))).alias("modals")))

@@ -60,9 +60,8 @@ on_text("t06_find_last_word", f"{O.found_last('text', 'the')} AS the_at", the_at
 _last = lambda sign: f"CASE WHEN contains(text, '{sign}') THEN length(text) - strpos(reverse(text), '{sign[::-1]}') - {len(sign) - 1} ELSE -1 END"
 _edge = f"greatest({', '.join(_last(x) for x in (',', ';', '—', ':', '. '))}, CASE WHEN suffix(text, '.') THEN length(text) - 1 ELSE -1 END)"
 on_text("t07_last_boundary", f"{_edge} AS place", place=lambda: long(X.last_boundary(T())))
-on_clauses("t08_discourse_marker", f"coalesce(regexp_replace(t[1], ',$', '') IN {O.members(L.DISCOURSE)}, false) AS is_marker", is_marker=lambda: F.coalesce(X.is_discourse(F.get("t", F.lit(0))), F.lit(False)))
-_mark = f"(?:{O.one_of(L.DISCOURSE)}),?"
-_without = f"regexp_replace(regexp_replace({low}, '^(?:{_mark}(?: +|$))+', ''), '(?:(?:^| +){_mark})+$', '')"
+on_clauses("t08_discourse_marker", f"coalesce(regexp_replace(t[1], ',$', '') IN {O.members(O.DISCOURSE)}, false) AS is_marker", is_marker=lambda: F.coalesce(X.is_discourse(F.get("t", F.lit(0))), F.lit(False)))
+_without = O.without_markers(low)
 on_text("t09_without_discourse", f"{_without} AS bare", bare=lambda: X.without_discourse(T()))
 on_text("t10_local_prefix", f"{O.strip(f'substr(text, {_edge} + 2)')} AS prefix", prefix=lambda: X.local_prefix(T()))
 _comma = rf",\s*(?:{O.one_of(L.SUBJECTS)})(?:[^{O.X}]|$)"
@@ -141,7 +140,7 @@ _long = [v for v in L.VERBS if "_" in v]
 _unit = lambda n: f"len(t) >= {n} AND CASE WHEN ({O.lemma('t[1]')}) IN {O.members(L.VERBS)} THEN ({O.lemma('t[1]')}) ELSE t[1] END || '_' || array_to_string(t[2:{n}], '_') IN {O.members(_long)}"
 on_clauses("m04_verb_unit", f"CASE WHEN coalesce(t[2], '') IN {O.members(L.VERB_BLOCKERS)} THEN 1 WHEN {_unit(4)} THEN 4 WHEN {_unit(3)} THEN 3 WHEN {_unit(2)} THEN 2 ELSE 1 END AS n", n=lambda: long(M.verb_unit(TK(), F.lit(0))))
 on_clauses("m06_number_value", f"coalesce(CASE WHEN regexp_matches(t[2], '^[0-9]{{1,9}}$') THEN CAST(t[2] AS BIGINT) END, CASE t[2] {' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in L.NUMBERS.items())} ELSE 0 END) AS n", n=lambda: long(F.coalesce(M.number_value(F.get("t", F.lit(1))), F.lit(0))))
-on_clauses("m07_modal_and_second_person", f"coalesce(t[1] IN {O.members(L.MODALS)}, false) AS modal, coalesce(t[1] IN {O.members(L.SECOND_PERSON)}, false) AS you", modal=lambda: F.coalesce(F.get("t", F.lit(0)).isin(*L.MODALS), F.lit(False)), you=lambda: F.coalesce(F.get("t", F.lit(0)).isin(*L.SECOND_PERSON), F.lit(False)))
+on_clauses("m07_modal_and_second_person", f"coalesce(t[1] IN {O.members(O.MODALS)}, false) AS modal, coalesce(t[1] IN {O.members(O.SECOND_PERSON)}, false) AS you", modal=lambda: F.coalesce(F.get("t", F.lit(0)).isin(*L.MODALS), F.lit(False)), you=lambda: F.coalesce(F.get("t", F.lit(0)).isin(*L.SECOND_PERSON), F.lit(False)))
 _forms = "[b, b || 'ed', b || 'ing', b || 's', b || 'es', b || b[-1] || 'ed', b || b[-1] || 'ing'] || CASE WHEN suffix(b, 'e') THEN [b || 'd', b[:-2] || 'ing'] ELSE [] END || CASE WHEN suffix(b, 'y') AND length(b) > 1 THEN [b[:-2] || 'ied', b[:-2] || 'ies'] ELSE [] END"
 query("m05_inflected_forms", O.ON_TOKENS + f"SELECT DISTINCT w, b AS base FROM tok JOIN (SELECT unnest({list(s for s, _ in L.ALIASES if ' ' not in s)}) AS b) ON list_contains({_forms}, w)")(lambda s, d: _words(s, d).join(F.broadcast(s.createDataFrame([(a,) for a in dict.fromkeys(x for x, _ in L.ALIASES if " " not in x)], "base string").select("base", F.explode(M.forms_of(F.col("base"))).alias("w"))), "w").select("w", "base").distinct())
 
@@ -174,35 +173,34 @@ def _unit_tokens(s, d):
 query("g08_templates", O.T_TURNS + "SELECT kind, count(*) AS turns, count(DISTINCT text) AS texts FROM turns GROUP BY kind")(lambda s, d: turns(s, d).groupBy("kind").agg(F.count("*").alias("turns"), F.countDistinct("text").alias("texts")))
 
 # C
-_pair = f"t[i] IN {O.members(L.MODALS)} AND coalesce(t[i + 1], '') IN {O.members(L.SECOND_PERSON)}"
-_back = f"t[i] IN {O.members(L.SECOND_PERSON)} AND coalesce(t[i + 1], '') IN {O.members(L.MODALS)}"
+_pair = f"t[i] IN {O.members(O.MODALS)} AND coalesce(t[i + 1], '') IN {O.members(O.SECOND_PERSON)}"
+_back = f"t[i] IN {O.members(O.SECOND_PERSON)} AND coalesce(t[i + 1], '') IN {O.members(O.MODALS)}"
 _first = lambda test: f"coalesce(list_filter(range(1, len(t) + 1), lambda i: {test})[1], -1)"
 on_clauses("c01_inverted_modal", f"CASE WHEN {_first(_pair)} > 0 THEN {_first(_pair)} + 1 ELSE -1 END AS predicate_start", predicate_start=lambda: long(C.inverted_modal(TK())))
 on_clauses("c02_modal_request", f"{_first(_pair)} > 0 AS has", has=lambda: C.inverted_modal(TK()) >= 0)
 on_clauses("c03_addressed_modal", f"{_first(f'({_pair}) OR ({_back})')} > 0 AS has", has=lambda: C.addressed_modal(TK()))
-_neg = f"(t[i] IN ('not', 'never') OR suffix(t[i], 'n''t')) AND NOT coalesce(t[i + 1], '') IN {O.members(L.SECOND_PERSON)}"
+_neg = O.negation()
 on_clauses("c04_negated", f"{_first(_neg)} > 0 AS negated", negated=lambda: C.negated(TK()))
-on_clauses("c05_condition_kind", f"CASE WHEN list_has_any(t, {list(L.CONDITIONS)}) THEN 'explicit' WHEN list_has_any(t, ['would', 'could']) THEN 'modal' ELSE '' END AS kind", kind=lambda: C.condition_kind(TK()))
+on_clauses("c05_condition_kind", f"CASE WHEN list_has_any(t, {list(O.CONDITIONS)}) THEN 'explicit' WHEN list_has_any(t, ['would', 'could']) THEN 'modal' ELSE '' END AS kind", kind=lambda: C.condition_kind(TK()))
 on_clauses("c06_modal", f"coalesce(list_filter(t, lambda w: w IN {O.members((*L.MODALS, 'ought'))})[1], '') AS modal", modal=lambda: C.modal(TK()))
 query("c07_references", O.ON_TOKENS + f"SELECT turn_id, clause_no, string_agg(w, ',' ORDER BY i) AS refs, count(*) AS n FROM (SELECT turn_id, clause_no, w, min(i) AS i FROM tok WHERE w IN {O.members(L.REFERENCES)} GROUP BY ALL) GROUP BY ALL")(lambda s, d: S.clauses(utterances(s, d)).select("turn_id", long(F.col("clause_no")).alias("clause_no"), C.references(X.tokenize(CL())).alias("r")).where(F.size("r") > 0).select("turn_id", "clause_no", F.array_join("r", ",").alias("refs"), long(F.size("r")).alias("n")))
-_lead = rf"^(?:(?:{O.one_of(L.RETRACT_LEADS)})(?:[\s,-]+|$))+"
-on_clauses("c08_retraction", f"regexp_matches(regexp_replace({O.strip('lower(clause)')}, '{_lead}', ''), '^(?:{O.one_of(L.RETRACTIONS)})(?:[^{O.X}]|$)') AS retraction", retraction=lambda: C.is_retraction(CL()))
+on_clauses("c08_retraction", f"{O.retracts(O.strip('lower(clause)'))} AS retraction", retraction=lambda: C.is_retraction(CL()))
 
 _lc = O.strip("lower(clause)")
-_skip = rf"^(?:[^\s,]+,\s*|(?:{O.one_of(('and', 'but', 'so', 'or', *L.DISCOURSE))}) +)+"
+_skip = rf"^(?:[^\s,]+,\s*|(?:{O.one_of(('and', 'but', 'so', 'or', *O.DISCOURSE))}) +)+"
 _objs = O.members((*L.DETERMINERS, "it", "them", "me", "us", "him"))
 _base = lambda w: f"({O.verb(w)} AND ({O.lemma(w)}) = {w} AND {w} NOT IN {O.members((*L.MODALS, 'be', 'do', 'have'))})"
 _act = f"""
-, h AS (SELECT *, {_lc} AS lc, list_filter(t, lambda w: w NOT IN {O.members(L.DISCOURSE)})[1] AS plain, {O.tokens(f"regexp_replace({_lc}, '{_skip}', '')")} AS rest FROM ct),
+, h AS (SELECT *, {_lc} AS lc, list_filter(t, lambda w: w NOT IN {O.members(O.DISCOURSE)})[1] AS plain, {O.tokens(f"regexp_replace({_lc}, '{_skip}', '')")} AS rest FROM ct),
 g AS (SELECT *, CASE WHEN len(rest) > 0 THEN rest ELSE t[-1:] END AS hd FROM h),
 f AS (SELECT *, coalesce(hd[1], '') AS w1, coalesce(hd[2], '') AS w2, regexp_extract(coalesce(hd[1], ''), '^([^'']*)', 1) AS subj FROM g),
 act AS (SELECT turn_id, clause_no, clause, t, CASE
   WHEN len(t) = 0 THEN 'fragment'
   WHEN starts_with(lc, '*') THEN 'statement'
   WHEN t[1] IN ('can', 'could', 'may') AND coalesce(t[2], '') IN ('i', 'we') AND {O.verb("coalesce(t[3], '')")} THEN 'request'
-  WHEN suffix(lc, '?') AND NOT (t[1] IN {O.members(L.MODALS)} AND coalesce(t[2], '') IN {O.members(L.SECOND_PERSON)}) AND NOT coalesce({_base("plain")}, false) THEN 'question'
+  WHEN suffix(lc, '?') AND NOT (t[1] IN {O.members(O.MODALS)} AND coalesce(t[2], '') IN {O.members(O.SECOND_PERSON)}) AND NOT coalesce({_base("plain")}, false) THEN 'question'
   WHEN t[1] IN {O.members(L.AUXILIARIES)} AND coalesce(t[2], '') IN {O.members((*L.SUBJECTS, 'u'))} THEN 'question'
-  WHEN (t[1] IN {O.members(L.MODALS)} AND coalesce(t[2], '') IN {O.members(L.SECOND_PERSON)}) OR {' OR '.join(f"starts_with(lc, {O.text(p)})" for p in L.REQUEST_OPENERS)} THEN 'request'
+  WHEN (t[1] IN {O.members(O.MODALS)} AND coalesce(t[2], '') IN {O.members(O.SECOND_PERSON)}) OR {' OR '.join(f"starts_with(lc, {O.text(p)})" for p in L.REQUEST_OPENERS)} THEN 'request'
   WHEN subj IN {O.members(L.WH_WORDS)} THEN 'question'
   WHEN NOT {O.verb("w1")} THEN CASE
     WHEN subj NOT IN {O.members(L.DECLARATIVE)} AND ((w2 IN {_objs} AND len(list_filter(range(3, len(hd) + 1), lambda i: {O.verb("hd[i]")} AND hd[i - 1] NOT IN {_objs})) = 0) OR ({_base("w2")} AND NOT contains(w1, ''''))) THEN 'request' ELSE 'statement' END
