@@ -61,6 +61,25 @@ def test_roles(spark, clause, predicate, thing, who):
     assert (row["predicate_lemma"], row["object"], row["recipient_or_direction"]) == (predicate, thing, who)
 
 
+@pytest.mark.parametrize(
+    ("clause", "negated", "condition", "retracts"),
+    [("not you open it", True, "", False), ("never you mind", True, "", False), ("don't you open it", False, "", False), ("i didn't take it", True, "", False), ("when the bell rings", False, "", False), ("assuming it rains", False, "explicit", False), ("would you open it", False, "modal", False), ("unless it rains", False, "explicit", False), ("ok, not now", True, "", True), ("actually - cancel this", False, "", True), ("well, never mind", True, "", False), ("cancel the order", False, "", False)],
+)
+def test_classes(spark, clause, negated, condition, retracts):
+    t = lambda c: X.tokenize(c)
+    assert (one(spark, clause, lambda c: C.negated(t(c))), one(spark, clause, lambda c: C.condition_kind(t(c))), one(spark, clause, C.is_retraction)) == (negated, condition, retracts)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Long runs of stops, letters and spaces, which patterns must not try again and again."""
+    import time
+
+    rows = [(1, "a." * 100_000), (2, "x" * 200_000 + " . " + "\n" * 200_000 + "b"), (3, "Open the gate. " * 20_000)]
+    start = time.time()
+    cut = spark.createDataFrame(rows, "turn_id long, text string").select("turn_id", F.size(S.split_clauses(F.col("text"))).alias("n")).collect()
+    assert {r["turn_id"]: r["n"] for r in cut} == {1: 1, 2: 2, 3: L.MAX_FRAMES + 1} and time.time() - start < 20
+
+
 @settings(max_examples=30, deadline=None)
 @given(texts=st.lists(st.text(alphabet="ab .!?,;|\n\r\"'", max_size=40), min_size=1, max_size=20))
 def test_properties(spark, texts):

@@ -37,8 +37,8 @@ def marked(c: Column) -> Column:
 
 def pieces_of(c: Column, limit: int = L.MAX_FRAMES + 1) -> Column:
     """The pieces between marks without edges, trailing comma and empty ones; one more than a turn may have at most."""
-    parts = F.slice(F.filter(F.split(c, r"\|"), lambda p: p != ""), 1, limit)
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(X.strip_edges(p), ",$", "")), lambda p: p != "")
+    parts = F.transform(F.split(c, r"\|"), lambda p: F.regexp_replace(X.strip_edges(p), ",$", ""))
+    return F.slice(F.filter(parts, lambda p: p != ""), 1, limit)
 
 
 def split_clauses(c: Column) -> Column:

@@ -116,8 +116,8 @@ def marked(x: str) -> str:
 
 
 def clause_list(x: str) -> str:
-    parts = f"list_filter(string_split({marked(x)}, '|'), lambda p: p <> '')[1:33]"
-    return f"list_filter(list_transform({parts}, lambda p: regexp_replace({strip('p')}, ',$', '')), lambda p: p <> '')"
+    parts = f"list_transform(string_split({marked(x)}, '|'), lambda p: regexp_replace({strip('p')}, ',$', ''))"
+    return f"list_filter({parts}, lambda p: p <> '')[1:33]"
 
 
 TURNS = f"turns AS ({turns_sql()})"

@@ -107,6 +107,10 @@ EXPECTED = {
     "shared": [(W, "", R, "open", "o", "o", "", "", "execute", None, None), (W, "", R, "close", "o", "o", "", "", "execute", 1, None)],
     "nouns": [(W, "", R, "open", "o", "o", "", "", "execute", None, None), (W, "", R, "open", "p", "p", "", "", "execute", 1, None)],
     "bring": [(V, "", R, "pickup", "o", "o", "", "", "execute", None, None), (V, "", R, "give", "o", "o", "user", "", "execute", 1, None)],
+    "hedge": [(W, "", R, "open", "o", "o", "", "", "execute", None, None)],
+    "assuming": [(C_, "conversation", ST, "", "", "", "", "", "no_alias", None, None), (W, "", R, "close", "o", "o", "", "", "execute", 1, None)],
+    "not_you": [(C_, "prohibition", ST, "open", "", "", "", "", "negated", None, None)],
+    "not_now": [(C_, "prohibition", ST, "open", "o", "", "", "", "retracted", None, None), (C_, "conversation", ST, "", "", "", "", "", "no_alias", 1, None)],
 }
 
 _thing = lambda x: {"o": "lower(p_name)", "p": "lower(p_type)", "": "''"}.get(x, x)

@@ -16,6 +16,7 @@ TEMPLATES = (
     ("tail", "I left the {o} here, did you notice it?"), ("feeling", "How are you feeling?"), ("place", "Throw the {o} at the {p}."), ("front", "Hand me the {o}."), ("pending", "Use the {o} as the target."), ("competing", "I meant the {o} or the {p}."), ("code", '{{"action": "open"}}'), ("twice", "Open the {o} twice."),
     ("indirect", "I need you to repair the {o}."), ("title", "Mr. Smith saw the {o}. Read the {p}."), ("leave", "Leave the {o} closed."), ("multiword", "Get rid of the {o}."), ("adverb", "Carefully clean the {o}."), ("future", "You will probably examine the {o}."), ("report", "Anna told you to open the {o}."), ("why", "Why don't you open the {o}?"),
     ("gerund", "Would you mind opening the {o}?"), ("shared", "Open and close the {o}."), ("nouns", "Open the {o} and the {p}."), ("bring", "Can you bring me the {o}?"),
+    ("hedge", "Maybe you can open the {o}."), ("assuming", "Assuming it rains, close the {o}."), ("not_you", "Not you open the {o}."), ("not_now", "Open the {o}. Not now."),
 )
 
 def _expression(template: str, thing: str, other: str) -> str:
