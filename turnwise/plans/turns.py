@@ -43,10 +43,10 @@ def utterances_sql() -> str:
     return f"SELECT turn_id, text FROM ({turns_sql()}) t UNION ALL SELECT -(conv_id * 1000 + turn) - 1 AS turn_id, text FROM conversations"
 
 
-def _query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _query(spark: SparkSession, sf_dir: str, sql: str, over=lambda df: df) -> DataFrame:
     for name in ("part", "conversations"):
         if f"FROM {name}" in sql:
-            spread(read(spark, sf_dir, name)).createOrReplaceTempView(f"turnwise_{name}")
+            over(read(spark, sf_dir, name)).createOrReplaceTempView(f"turnwise_{name}")
             sql = sql.replace(f"FROM {name}", f"FROM turnwise_{name}")
     return spark.sql(sql)
 
@@ -56,4 +56,4 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _query(spark, sf_dir, utterances_sql())
+    return _query(spark, sf_dir, utterances_sql(), spread)
