@@ -29,6 +29,17 @@ CASES = {
     "Leave the hatch closed.": [("conversation", "", "")],
     "Only open the gate if I say so.": [("conversation", "open", "")],
     "Put the cup in the box.": [("world_action", "insert", "cup")],
+    "High five!": [("world_action", "gesture", "user")],
+    "Throw the lamp. Do two throws.": [("world_action", "throw", "lamp")] * 3,
+    "Throw the lamp. Do 2 throws, land on the mat.": [("world_action", "throw", "lamp")] * 2 + [("world_action", "throw", "mat")],
+    "Do 2 throws.": [("clarification", "throw", "")] * 2,
+    "Do 2 throws, land on the mat!": [("clarification", "throw", ""), ("world_action", "throw", "mat")],
+    "Do 40 throws.": [],
+    "Do two lifts.": [("clarification", "", "")],
+    "Break free.": [("conversation", "break", "")],
+    "Sam opened the gate.": [("conversation", "open", "")],
+    "Open windows make the room cold.": [("conversation", "open", "")],
+    "Open the box and examine if the lamp moves.": [("world_action", "open", "box"), ("world_action", "examine", "box")],
     "": [],
     "   ": [],
 }

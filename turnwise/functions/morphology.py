@@ -32,7 +32,7 @@ def lemma(c: Column, irregular: dict[str, str] = L.IRREGULAR) -> Column:
         .when(w.endswith("s") & ~w.rlike("(?:ss|us|is|ous|ics)$") & (F.length(w) > 3), cut(1))
         .otherwise(w)
     )
-    return F.coalesce(F.element_at(_map(irregular), w), rule)
+    return F.coalesce(F.element_at(_map(irregular), w), rule) if irregular else rule
 
 
 def is_verb(c: Column, verbs=L.VERBS) -> Column:

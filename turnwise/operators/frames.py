@@ -35,6 +35,12 @@ def do_counted(piece: Column, surfaces) -> tuple[Column, Column]:
     return F.when(known, word).otherwise(""), F.when(known, n).otherwise(0)
 
 
+def landing(piece: Column) -> Column:
+    """What the last of "do N verb" lands on, if the piece says so; else empty."""
+    said = X.strip_edges(F.regexp_extract(F.lower(piece), "(?s)^.*land on (.*)$", 1))
+    return X.strip_edges(F.regexp_replace(F.regexp_replace(said, r"[?]?!?[.]?$", ""), "^(?:the )?(?:a )?(?:an )?(?:to )?(?:on )?", ""))
+
+
 def fetched(piece: Column) -> Column:
     """The steps of a fetch: pick the thing up, then give it. One step, the piece itself, for everything else."""
     lead = F.regexp_extract(piece, FETCH, 1)
@@ -44,19 +50,20 @@ def fetched(piece: Column) -> Column:
     return F.when(piece.rlike(FETCH), back).when(piece.rlike(FETCH_FRONT), front).otherwise(F.array(piece))
 
 
-def pieces(turns: DataFrame, surfaces, *keep: str) -> DataFrame:
+def pieces(turns: DataFrame, surfaces, sole, *keep: str) -> DataFrame:
     """turns: turn_id, normalized. turn_id, clause_no (number of the piece), clause (what is compiled), raw (what was said), start_index, end_index,
-    times, step, steps, normalized. An empty turn has no piece."""
+    times, step, steps, do_times and do_landing ("do N verb": how often, else 0, and where the last ends), normalized. An
+    empty turn has no piece. sole: the surfaces of one action, which alone can be counted by "do"."""
     found = X.once(turns, parts=split_clauses(F.col("normalized")), low=F.lower("normalized"))
     found = X.once(found, cut=F.flatten(F.transform("parts", lambda c: split_coordination(c, surfaces))))
     found = found.withColumn("places", places_of(F.col("normalized"), F.col("cut"), F.col("low"))).select("turn_id", "normalized", *keep, F.posexplode("places").alias("i", "c"))
     base, times = counted(F.col("raw"))
-    verb, n = do_counted(F.col("raw"), surfaces)
-    found = X.once(found.select("turn_id", "normalized", *keep, "i", F.col("c.text").alias("raw"), "c.start_index", "c.end_index"), verb=verb, n=n, base=base, times=times)
-    found = found.withColumn("times", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("times"))).withColumn("base", F.when(F.col("n") > 0, F.col("verb")).otherwise(F.col("base")))
+    verb, n = do_counted(F.col("raw"), sole)
+    found = X.once(found.select("turn_id", "normalized", *keep, "i", F.col("c.text").alias("raw"), "c.start_index", "c.end_index"), verb=verb, do_times=n, do_landing=F.when(n > 0, landing(F.col("raw"))).otherwise(""), base=base, times=times)
+    found = found.withColumn("times", F.when(F.col("do_times") > 0, 1).otherwise(F.col("times"))).withColumn("base", F.when(F.col("do_times") > 0, F.col("verb")).otherwise(F.col("base")))
     found = X.once(found, all_steps=fetched(F.col("base"))).select("*", F.posexplode("all_steps").alias("step", "clause"))
     order = Window.partitionBy("turn_id").orderBy("i", "step")
-    return found.select("turn_id", "normalized", *keep, F.row_number().over(order).alias("clause_no"), "clause", "raw", "start_index", "end_index", "times", "step", F.size("all_steps").alias("steps"))
+    return found.select("turn_id", "normalized", *keep, F.row_number().over(order).alias("clause_no"), "clause", "raw", "start_index", "end_index", "times", "do_times", "do_landing", "step", F.size("all_steps").alias("steps"))
 
 
 QUESTION_WORDS = L.QUESTION_WORDS
@@ -132,7 +139,8 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     object, destination, recipient, candidates, references, evidence, guard, depends_on, count_index, count_total,
     start_index, end_index, raw. A turn over the limits, or empty, has no frame."""
     spark = turns.sparkSession
-    surfaces = [r[0] for r in match.surfaces(registry).select("surface").sort("surface").collect()]
+    listed = match.surfaces(registry).select("surface", F.size("actions").alias("n")).sort("surface").collect()
+    surfaces, sole = [r["surface"] for r in listed], [r["surface"] for r in listed if r["n"] == 1]
     thought = {r[0] for r in known.where(F.col("family").isin(*THOUGHT)).select("action").collect()}
     first = registry.groupBy("surface").agg(F.min_by("action", "alias_ord").alias("a")).collect()
     deeds = sorted(r["surface"] for r in first if r["a"] not in thought)
@@ -141,7 +149,7 @@ def compile_frames(turns: DataFrame, registry: DataFrame, known: DataFrame, *kee
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     short = X.once(turns.select("turn_id", "text", *keep).repartition(n, "turn_id"), normalized=X.normalize(F.col("text"))).where(F.length("normalized") <= L.MAX_CHARS)
     usable = short.where(F.size(X.tokenize(F.col("normalized"))) <= L.MAX_TOKENS)
-    cut = pieces(usable, surfaces, *keep)
+    cut = pieces(usable, surfaces, sole, *keep)
 
     one = match.chosen(cut, registry, known)
     return _turn_level(_guards(one, surfaces, deeds, names, known), keep)
@@ -226,12 +234,14 @@ def _guards(one: DataFrame, surfaces, deeds, names, known: DataFrame) -> DataFra
         d = d.withColumn("action", F.when((F.col("action") == "place") & F.col("preposition").isin("in", "into", "inside"), "insert").otherwise(F.col("action")))
     here = F.regexp_replace(F.col("payload"), r"(?:[.!?,\s]| please| now)+$", "")
     d = d.withColumn("deixis", F.coalesce(here.isin(*DEIXIS), F.lit(False))).withColumn("target", F.when(F.col("deixis"), "user").otherwise(F.col("target")))
+    five = F.coalesce((F.col("action") == "gesture") & F.col("surface").isin(*L.FIVES) & (F.col("target") == ""), F.lit(False))
+    d = d.withColumn("five", five).withColumn("target", F.when(F.col("five"), "user").otherwise(F.col("target"))).withColumn("recipient", F.when(F.col("five"), "user").otherwise(F.col("recipient")))
     indefinite = F.col("payload").rlike("^(?:(?:me|us|him|her|them) )*(?:a|an|some|any|another) ")
     return d.withColumn("indefinite", F.coalesce(indefinite, F.lit(False)))
 
 
 def _missing(target: Column, mode: Column) -> Column:
-    return (mode == "required") & ((target == "") | target.isin(*L.PRONOUN_TARGETS, "the other", "other") | target.contains("...") | ~X.has_word(target) | target.rlike("[—-]$"))
+    return (mode == "required") & ((target == "") | target.isin(*L.PRONOUN_TARGETS, "the other", "other", *L.BARE_PREPOSITIONS) | target.contains("...") | ~X.has_word(target) | target.rlike("[—-]$"))
 
 
 def _turn_level(d: DataFrame, keep) -> DataFrame:
@@ -247,11 +257,13 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
         near = F.when(s["target"] != "", s["target"]).when(s["topic"] != "", s["topic"]).otherwise(s["asked"])
         why = F.when(s["target"] != "", "coreference:unique_previous_target").when(s["topic"] != "", "coreference:previous_clause_subject").otherwise("coreference:previous_question_topic")
         taken = (pronoun & (near != "")) | (r["complement"] & (s["target"] != ""))
-        target = F.when(pronoun & (near != ""), near).when(r["complement"] & (s["target"] != ""), s["target"]).otherwise(r["target"])
-        lasting = (r["outcome"] == "execute") & ~_missing(target, r["target_mode"]) & (target != "")
+        again = (r["do_times"] > 0) & (r["target"] == "")  # "do N verb" is done to the thing before
+        target = F.when(pronoun & (near != ""), near).when((r["complement"] | again) & (s["target"] != ""), s["target"]).otherwise(r["target"])
+        last = F.when(r["do_landing"] != "", r["do_landing"]).otherwise(target)
+        lasting = (r["outcome"] == "execute") & ~_missing(last, r["target_mode"]) & (last != "")
         note = F.struct(target.alias("target"), F.when(pronoun & taken, r["target"]).otherwise("").alias("reference"), F.when(taken & pronoun, why).when(taken, "coreference:clause_complement_previous_target").otherwise("").alias("coreference"))
         return F.struct(
-            F.when(lasting, target).otherwise("").alias("target"),
+            F.when(lasting, last).otherwise("").alias("target"),
             F.when(r["outcome"] == "conversation", F.coalesce(r["topic"], F.lit(""))).otherwise("").alias("topic"),
             F.when(r["question"], F.coalesce(r["question_topic"], F.lit(""))).otherwise("").alias("asked"),
             F.concat(s["out"], F.array(note)).alias("out"),
@@ -260,6 +272,9 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
     notes = rows.withColumn("notes", F.aggregate("rows", start, step, lambda s: s["out"]))
     each = notes.select("turn_id", F.explode(F.arrays_zip("rows", "notes")).alias("z"))
     d = each.select("turn_id", "z.rows.clause_no", "z.rows.r.*", F.col("z.notes.target").alias("solved"), F.col("z.notes.reference").alias("reference"), F.col("z.notes.coreference").alias("coreference"))
+    # "do N verb": a frame each time, the last one where it lands; what the turn may hold at most is cut further down
+    d = d.withColumn("nth", F.explode(F.sequence(F.lit(1), F.least(F.greatest("do_times", F.lit(1)), F.lit(L.MAX_FRAMES + 1)))))
+    d = d.withColumn("lands", (F.col("do_landing") != "") & (F.col("nth") == F.col("do_times"))).withColumn("solved", F.when(F.col("lands"), F.col("do_landing")).otherwise(F.col("solved")))
     run = d["outcome"] == "execute"
     narrated = run & (F.col("how") == "narration")
     state = run & ~narrated & F.col("solved").isin("free", "loose", "shut", "closed", "open", "apart")
@@ -269,7 +284,7 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
     query = F.when(narrated, "self_narration").when(state, "action_mention").otherwise(F.col("query_kind"))
     d = d.withColumns({"guard": guard, "frame_type": kind, "query_kind": query})
     # a later retraction takes back what could be done
-    turn = Window.partitionBy("turn_id").orderBy("clause_no")
+    turn = Window.partitionBy("turn_id").orderBy("clause_no", "nth")
     later = F.coalesce(F.max("retraction").over(turn.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))
     back = later & F.col("frame_type").isin("world_action", "inventory_action", "clarification")
     d = d.withColumns({"guard": F.when(back, "retracted").otherwise(F.col("guard")), "query_kind": F.when(back, "prohibition").otherwise(F.col("query_kind")), "frame_type": F.when(back, "conversation").otherwise(F.col("frame_type"))})
@@ -287,10 +302,12 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
     executable = F.col("frame_type").isin("world_action", "inventory_action")
     d = d.withColumn("times", F.when(executable, F.col("times")).otherwise(1))
     d = d.withColumn("count_index", F.explode(F.sequence(F.lit(1), "times")))
+    done = F.col("do_times") > 0
+    d = d.withColumn("count_index", F.when(done, F.col("nth")).otherwise(F.col("count_index"))).withColumn("times", F.when(done, F.col("do_times")).otherwise(F.col("times"))).withColumn("counted", done | (F.col("times") > 1))
     order = Window.partitionBy("turn_id").orderBy("clause_no", "count_index")
     whole = Window.partitionBy("turn_id")
     d = d.withColumn("frame_no", F.row_number().over(order)).withColumn("frames", F.count("*").over(whole)).where(F.col("frames") <= L.MAX_FRAMES)
-    evidence = F.array_compact(F.array(F.concat(F.lit("guard:"), F.col("guard")), F.when(F.col("coreference") != "", F.col("coreference")), F.when(F.col("indefinite") & executable, F.lit("target_reference:indefinite")), F.when(F.col("deixis") & executable, F.lit("deixis:user_location")), F.when(F.col("preposition").isin("in", "into", "inside") & (F.col("action") == "insert"), F.lit("preposition:containment")), F.when(F.col("times") > 1, F.concat(F.lit("counted_action:"), F.col("count_index"), F.lit("/"), F.col("times")))))
+    evidence = F.array_compact(F.array(F.concat(F.lit("guard:"), F.col("guard")), F.when(F.col("coreference") != "", F.col("coreference")), F.when(F.col("indefinite") & executable, F.lit("target_reference:indefinite")), F.when(F.col("deixis") & executable, F.lit("deixis:user_location")), F.when(F.col("preposition").isin("in", "into", "inside") & (F.col("action") == "insert"), F.lit("preposition:containment")), F.when(F.col("five") & executable, F.when(F.col("surface") == "hit five", "typo_resolution:hit_five_to_high_five").otherwise("gesture:addressee_user")), F.when(F.col("counted"), F.concat(F.lit("counted_action:"), F.col("count_index"), F.lit("/"), F.col("times"))), F.when(F.col("lands"), F.lit("override:final_destination"))))
     acts = executable | (F.col("frame_type") == "clarification") | (F.col("guard").isin("narration", "retracted"))
     named = ~F.col("guard").isin("prohibition", "no_alias", "ambiguous_alias", "equipment", "possession", "emotion", "preference", "threat", "leave_state")
     act = (
@@ -311,6 +328,6 @@ def _turn_level(d: DataFrame, keep) -> DataFrame:
         F.when(F.col("frame_type") == "clarification", F.array_join("candidates", ",")).otherwise(empty).alias("candidates"),
         F.col("reference").alias("references"), evidence.alias("evidence"), "guard",
         F.when((F.col("frame_no") > 1) & ~F.col("plain"), F.col("frame_no") - 1).alias("depends_on"),
-        F.when(F.col("times") > 1, F.col("count_index")).cast("string").alias("count_index"), F.when(F.col("times") > 1, F.col("times")).cast("string").alias("count_total"),
+        F.when(F.col("counted"), F.col("count_index")).cast("string").alias("count_index"), F.when(F.col("counted"), F.col("times")).cast("string").alias("count_total"),
         "start_index", "end_index", "raw",
     )

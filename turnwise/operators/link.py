@@ -71,12 +71,28 @@ def unit_at(hits: DataFrame, units: DataFrame) -> DataFrame:
     return hits.join(u, ["turn_id", "clause_no"]).where((F.col("first") >= F.col("unit_first")) & (F.col("first") < F.col("unit_end")))
 
 
+def whole_at(lower: Column, words: Column) -> Column:
+    """Place where a column's words first stand whole in lower-cased text; -1 if they do not or there are none."""
+    return F.when(words != "", F.regexp_instr(lower, F.concat(F.lit(f"(?<![{L.WORD_CLASS}])\\Q"), words, F.lit(f"\\E(?![{L.WORD_CLASS}])"))) - 1).otherwise(-1)
+
+
+def link_act(lower: Column, act: Column, place: Column, surface: Column) -> Column:
+    """What a clause does for the linking step: a request stays one only if it opens like one, its predicate stands at the
+    start, is the clause's own, or follows a name or an "and"; told futures are statements. place: of the predicate, -1
+    if it is not found; surface: the clause's own predicate as it stands."""
+    head, tail = F.regexp_extract(lower, "(?s)^(.*?)you will", 1), X.strip_edges(F.regexp_extract(lower, "(?s)^.*?you will(.*)$", 1))
+    told = lower.contains("you will") & (F.arrays_overlap(X.tokenize(head), F.array(*map(F.lit, L.TEMPORAL))) | X.starts_any(tail, L.LIKELIHOOD))
+    before = F.substring(lower, F.lit(1), F.greatest(place, F.lit(0)))
+    stays = X.starts_any(lower, L.LINK_REQUESTS) | (place == 0) | ((place > 0) & ((whole_at(lower, F.lower(surface)) == place) | X.leading_vocative(before) | before.contains(" and ")))
+    return F.when(act != "request", F.when(act.isin("question", "fragment"), act).otherwise("statement")).when(told, "statement").when(stays, "request").otherwise("statement")
+
+
 def requests(clauses: DataFrame, graph: DataFrame, registry: DataFrame) -> DataFrame:
     """One row a clause: the longest entry at its predicate, or its unknown verb; act and what keeps it from being done."""
     c = C.with_roles(C.prepared(clauses).withColumn("speech_act", C.speech_act())).withColumnRenamed("speech_act", "act")
     # the place of the predicate: that of its word's first whole standing
     word = C.at(F.col("tokens"), F.col("predicate"))
-    c = c.withColumn("predicate_at", F.when(F.col("predicate") >= 0, F.regexp_instr(F.lower("clause"), F.concat(F.lit(f"(?<![{L.WORD_CLASS}])\\Q"), word, F.lit(f"\\E(?![{L.WORD_CLASS}])"))) - 1).otherwise(-1))
+    c = c.withColumn("predicate_at", F.when(F.col("predicate") >= 0, whole_at(F.lower("clause"), word)).otherwise(-1))
     hits = without_overlap(found_entries(clauses, graph), match.contiguous(clauses, registry))
     best = hits.groupBy("turn_id", "clause_no", "first").agg(F.max_by(F.struct("surface", "lemma", "particle"), F.struct(F.length("surface"), -F.col("entry_ord"))).alias("e"))
     c = c.join(best, (c["turn_id"] == best["turn_id"]) & (c["clause_no"] == best["clause_no"]) & (c["predicate_at"] == best["first"]), "left").select(c["*"], "e")
@@ -84,10 +100,12 @@ def requests(clauses: DataFrame, graph: DataFrame, registry: DataFrame) -> DataF
     c = c.join(direct, ["turn_id", "clause_no"], "left")
     lower = F.lower("clause")
     known = F.col("e").isNotNull()
+    place = F.when(known, F.col("predicate_at")).otherwise(whole_at(lower, F.col("predicate_lemma")))
+    act = link_act(X.strip_edges(lower), F.col("act"), place, F.col("predicate_surface"))
     negated = C.negated(F.col("tokens")) | X.starts_any(lower, ("do not ", "don't ", "never "))
     return c.select(
         "turn_id", "clause_no", "clause", "start_index", "end_index", known.alias("known"), F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("e.surface", "predicate_lemma").alias("surface"), F.coalesce("e.lemma", "predicate_lemma").alias("lemma"), F.coalesce("e.particle", F.lit("")).alias("particle"),
-        F.col("act").alias("speech_act"), negated.alias("negated"), (known & X.is_quoted(F.col("clause"), F.col("predicate_at"))).alias("quoted"), X.is_reported(F.col("clause")).alias("reported"), "predicate_at", "object",
+        act.alias("speech_act"), F.col("act").alias("clause_act"), negated.alias("negated"), (known & X.is_quoted(F.col("clause"), F.col("predicate_at"))).alias("quoted"), X.is_reported(F.col("clause")).alias("reported"), "predicate_at", "object",
     )
 
 

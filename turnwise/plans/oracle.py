@@ -60,8 +60,8 @@ def tokens(x: str, signs: str = L.TOKEN_SIGNS, cap: str = "[1:1025]") -> str:
     return f"list_filter(string_split_regex(translate(lower({x}), {text(signs)}, '{' ' * len(signs)}'), ' +'), lambda w: w <> ''){cap}"
 
 
-def lemma(w: str) -> str:
-    irregular = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.IRREGULAR.items())
+def lemma(w: str, forms: dict[str, str] = L.IRREGULAR) -> str:
+    irregular = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in forms.items()) or "WHEN '' THEN ''"
     return f"""CASE {w} {irregular} ELSE
       CASE WHEN suffix({w}, 'ies') AND length({w}) > 4 THEN {w}[:-4] || 'y'
            WHEN suffix({w}, 'ing') AND length({w}) > 5 THEN CASE WHEN {w}[-4] = {w}[-5] THEN {w}[:-5] ELSE {w}[:-4] END

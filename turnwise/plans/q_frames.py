@@ -111,6 +111,14 @@ EXPECTED = {
     "assuming": [(C_, "conversation", ST, "", "", "", "", "", "no_alias", None, None), (W, "", R, "close", "o", "o", "", "", "execute", 1, None)],
     "not_you": [(C_, "prohibition", ST, "open", "", "", "", "", "negated", None, None)],
     "not_now": [(C_, "prohibition", ST, "open", "o", "", "", "", "retracted", None, None), (C_, "conversation", ST, "", "", "", "", "", "no_alias", 1, None)],
+    "told_of": [(C_, "action_mention", ST, "open", "", "", "", "", "mention", None, None)],
+    "noun_subject": [(C_, "action_mention", ST, "open", "", "", "", "", "noun_phrase", None, None)],
+    "complement": [(W, "", R, "open", "o", "o", "", "", "execute", None, None), (W, "", R, "examine", "o", "o", "", "", "execute", None, None)],
+    "resultative": [(C_, "action_mention", ST, "break", "", "", "", "", "resultative", None, None)],
+    "span_cut": [(W, "", R, "open", "o", "o", "", "", "execute", None, None)],
+    "five": [(W, "", R, "gesture", "'user'", "user", "user", "", "execute", None, None)],
+    "again": [(W, "", R, "throw", "o", "o", "", "", "execute", None, None)] + [(W, "", R, "throw", "o", "o", "", "", "execute", n, (n, 2)) for n in (1, 2)],
+    "landing": [(W, "", R, "throw", "o", "o", "", "", "execute", None, None), (W, "", R, "throw", "o", "o", "", "", "execute", 1, (1, 2)), (W, "", R, "throw", "p", "p", "", "", "execute", 2, (2, 2))],
 }
 
 _thing = lambda x: {"o": "lower(p_name)", "p": "lower(p_type)", "": "''"}.get(x, x)
@@ -134,14 +142,18 @@ def on_frames(name: str, columns: str, where: str = "true", of=framed):
 
 on_frames("compile_frames", "frame_type, query_kind, speech_act, action, object, destination, recipient, candidates, guard, count_index, count_total", of=compiled)
 for _id, _name in {
-    "b02": "prohibition", "b03": "equipment", "b04": "possession", "b05a": "emotion", "b05b": "preference", "b06": "threat", "b09": "no_alias", "b11": "ambiguous_alias", "b14": "delimited", "b16": "negated", "b17": "leave_state",
-    "b18": "deferred", "b20": "question", "b22": "no_request", "b27": "narration", "b31": "missing_target", "b33": "execute", "k02": "retracted", "k06": "attention",
+    "b02": "prohibition", "b03": "equipment", "b04": "possession", "b05a": "emotion", "b05b": "preference", "b06": "threat", "b09": "no_alias", "b11": "ambiguous_alias", "b12": "mention", "b14": "delimited", "b16": "negated", "b17": "leave_state",
+    "b18": "deferred", "b20": "question", "b21": "noun_phrase", "b22": "no_request", "b27": "narration", "b30": "resultative", "b31": "missing_target", "b33": "execute", "k02": "retracted", "k06": "attention",
 }.items():
     on_frames(f"{_id}_{_name}", "frame_type, query_kind, speech_act, action, object", f"guard = '{_name}'")
 on_frames("b10_canonical_name", "action", "kind = 'canonical'")
 on_frames("b23_target_and_recipient", "object, recipient", "recipient <> ''")
 on_frames("b24_containment", "action, object, destination", "destination <> object")
 on_frames("b26_coreference", "object", "kind IN ('comma', 'topic', 'three') AND frame_no > 1")
+on_frames("b25_complement", "action, object", "kind = 'complement'")
+on_frames("b29_addressee", "action, object, recipient", "kind = 'five'")
+on_frames("g06_do_targets", "action, object, count_index, count_total", "kind IN ('again', 'landing')")
+query("k04_span_end", O.TURNS.join(("WITH ", " ")) + "SELECT turn_id, CAST(length('Open the ' || p_name) AS BIGINT) AS end_index FROM turns JOIN part ON p_partkey = turn_id WHERE kind = 'span_cut'")(lambda s, d: framed(s, d).where("kind = 'span_cut'").select("turn_id", long("end_index").alias("end_index")))
 on_frames("k05_dependencies", "CAST(CASE WHEN depends_on IS NULL THEN 0 ELSE depends_on END AS BIGINT) AS depends_on")
 on_frames("g05_counted_suffix", "count_index, count_total, object", "count_total IS NOT NULL")
 on_frames("g07_fetch", "action, object, recipient", "kind IN ('fetch', 'bring')")
@@ -219,7 +231,7 @@ def _pending(s, d):
 on_turns("k01_answers", rf"coalesce(CASE WHEN contains({low}, 'i meant ') AND NOT contains({low}, ' or ') THEN regexp_extract({low}, 'i meant (?:the )?(.*?)[.]?$', 1) WHEN regexp_matches({low}, 'use .* as the target') THEN regexp_extract({low}, 'use (?:the )?(.*?) as the target', 1) ELSE '' END, '') AS answer, contains({low}, 'i meant ') AND contains({low}, ' or ') AS asks_again", answer=lambda: dialogue.answer(T())["answer"], asks_again=lambda: dialogue.answer(T())["asks_again"])
 
 # Links
-LINK_TEMPLATES = ("Carve the {o}.", "Get rid of the {o}.", "Carry the {o} and open the {p}.", "Do not carve the {o}.", '"Carve the {o}" she wrote.', "You will probably carve the {o}.", "Mop the {o} up.", "Please bring the {o}.", "Cook the {o}.", "Open the {o}.", "Hide the {o}.", "Anna told you to paint the {o}.")
+LINK_TEMPLATES = ("Carve the {o}.", "Get rid of the {o}.", "Carry the {o} and open the {p}.", "Do not carve the {o}.", '"Carve the {o}" she wrote.', "You will probably carve the {o}.", "Mop the {o} up.", "Please bring the {o}.", "Cook the {o}.", "Open the {o}.", "Hide the {o}.", "Anna told you to paint the {o}.", "Sing to the {o}.", "Could we be singing the {o}?", "Carve the {o}. Paint the {p}.")
 
 
 def link_turns_sql() -> str:
@@ -244,16 +256,31 @@ def linked(s, d):
 
 
 _lt = "WITH lt AS (" + link_turns_sql() + ")"
-#: kind: (status, proposals of (action, confidence) in order)
-LINKS = {0: ("CANDIDATES", (("break", 62),)), 1: ("AMBIGUOUS", (("destroy", 70), ("drop", 60))), 2: ("CANDIDATES", (("pickup", 80),)), 3: ("NO_LINK", ()), 4: ("NO_LINK", ()), 5: ("NO_LINK", ()), 6: ("CANDIDATES", (("clean", 95),)), 7: ("CANDIDATES", (("give", 75), ("pickup", 45))), 8: ("NO_LINK", ()), 9: ("NOT_NEEDED", ()), 10: ("NO_LINK", ()), 11: ("NO_LINK", ())}
+#: kind: (status, what each clause links to: proposals of (action, confidence) in order)
+LINKS = {
+    0: ("CANDIDATES", [(("break", 62),)]), 1: ("AMBIGUOUS", [(("destroy", 70), ("drop", 60))]), 2: ("CANDIDATES", [(("pickup", 80),)]), 3: ("NO_LINK", [()]), 4: ("NO_LINK", [()]), 5: ("NO_LINK", [()]), 6: ("CANDIDATES", [(("clean", 95),)]),
+    7: ("CANDIDATES", [(("give", 75), ("pickup", 45))]), 8: ("NO_LINK", [()]), 9: ("NOT_NEEDED", [()]), 10: ("NO_LINK", [()]), 11: ("NO_LINK", [()]), 12: ("NO_LINK", [()]), 13: ("NO_LINK", [()]), 14: ("CANDIDATES", [(("break", 62),), (("clean", 35),)]),
+}
+#: kind: the act of each clause for the linking step, whether its predicate has an entry, and the surface or unknown verb
+ACTS = {
+    0: [("request", True, "carve")], 1: [("request", True, "get rid of")], 2: [("request", True, "carry")], 3: [("request", True, "carve")], 4: [("request", True, "carve")], 5: [("statement", True, "carve")], 6: [("request", True, "mop up")], 7: [("request", True, "bring")],
+    8: [("request", True, "cook")], 9: [("request", False, "open")], 10: [("request", True, "hide")], 11: [("statement", True, "paint")], 12: [("request", False, "sing")], 13: [("statement", False, "sing")], 14: [("request", True, "carve"), ("request", True, "paint")],
+}
 _status = " ".join(f"WHEN {k} THEN '{v[0]}'" for k, v in LINKS.items())
-_offers = ", ".join(f"({k}, {i}, '{a}', {c})" for k, v in LINKS.items() for i, (a, c) in enumerate(v[1], 1))
+_offers = ", ".join(f"({k}, {c}, {i}, '{a}', {p})" for k, v in LINKS.items() for c, offers in enumerate(v[1], 1) for i, (a, p) in enumerate(offers, 1))
+_acts = ", ".join(f"({k}, {c}, '{act}', {str(known).lower()}, '{surface}')" for k, v in ACTS.items() for c, (act, known, surface) in enumerate(v, 1))
+_asked = _lt + f" SELECT turn_id, CAST(c AS BIGINT) AS clause_no, {{}} FROM lt JOIN (VALUES {_acts}) v(k, c, act, known, surface) ON k = kind WHERE {{}}"
+_of = lambda column, name: lambda s, d: linked(s, d)["requests"].select("turn_id", long("clause_no").alias("clause_no"), F.col(column).alias(name))
 query("a03_link_status", _lt + f" SELECT turn_id, CASE kind {_status} END AS status FROM lt")(lambda s, d: linked(s, d)["status"])
-query("r03_candidate_rank", _lt + f" SELECT turn_id, CAST(r AS BIGINT) AS rank, action, CAST(c AS BIGINT) AS confidence FROM lt JOIN (VALUES {_offers}) v(k, r, action, c) ON k = kind")(lambda s, d: linked(s, d)["ranked"].select("turn_id", long("rank").alias("rank"), "action", long(F.col("confidence") * 100).alias("confidence")))
-query("r04_ambiguity", _lt + " SELECT turn_id, kind = 1 AS ambiguous FROM lt WHERE kind IN (0, 1, 2, 6, 7)")(lambda s, d: link.ambiguous(linked(s, d)["ranked"]).select("turn_id", "ambiguous"))
+query("r03_candidate_rank", _lt + f" SELECT turn_id, CAST(c AS BIGINT) AS clause_no, CAST(r AS BIGINT) AS rank, action, CAST(p AS BIGINT) AS confidence FROM lt JOIN (VALUES {_offers}) v(k, c, r, action, p) ON k = kind")(lambda s, d: linked(s, d)["ranked"].select("turn_id", long("clause_no").alias("clause_no"), long("rank").alias("rank"), "action", long(F.col("confidence") * 100).alias("confidence")))
+query("r04_ambiguity", _lt + f" SELECT turn_id, CAST(c AS BIGINT) AS clause_no, kind = 1 AS ambiguous FROM lt JOIN (VALUES {_offers}) v(k, c, r, action, p) ON k = kind WHERE r = 1")(lambda s, d: link.ambiguous(linked(s, d)["ranked"]).select("turn_id", long("clause_no").alias("clause_no"), "ambiguous"))
 query("j13_capability_filter", _lt + " SELECT turn_id, 'SBA_CAPABILITY_FILTERED:' || CASE kind WHEN 2 THEN 'teleport' ELSE 'boil' END AS code FROM lt WHERE kind IN (2, 8)")(lambda s, d: linked(s, d)["filtered"].select("turn_id", "code"))
-query("r05_request_order", _lt + " SELECT turn_id, format('literal_{:03d}', n) AS request_id FROM lt, (SELECT unnest([1]) AS n)")(lambda s, d: linked(s, d)["requests"].select("turn_id", "request_id"))
-query("r02_longest_entry", _lt + " SELECT turn_id, CASE kind WHEN 1 THEN 'get rid of' WHEN 2 THEN 'carry' WHEN 6 THEN 'mop up' WHEN 7 THEN 'bring' WHEN 8 THEN 'cook' WHEN 10 THEN 'hide' WHEN 11 THEN '' ELSE 'carve' END AS surface FROM lt WHERE kind NOT IN (9, 11)")(lambda s, d: linked(s, d)["requests"].where("known").join(link_turns(s, d).where("kind not in (9, 11)"), "turn_id", "left_semi").select("turn_id", "surface"))
+query("r05_request_order", _asked.format("format('literal_{:03d}', c) AS request_id", "true"))(_of("request_id", "request_id"))
+query("r02_longest_entry", _asked.format("surface", "known"))(lambda s, d: linked(s, d)["requests"].where("known").select("turn_id", long("clause_no").alias("clause_no"), "surface"))
+query("c13_link_act", _asked.format("act", "true"))(_of("speech_act", "act"))
+query("c14_unknown_predicate", _asked.format("surface AS verb", "NOT known"))(lambda s, d: linked(s, d)["requests"].where("not known").select("turn_id", long("clause_no").alias("clause_no"), F.col("surface").alias("verb")))
+_entries = "(VALUES " + ", ".join(f"('{a}', '{b}', '{p}')" for a, b, p in link.ENTRIES) + ") e(surface, lemma, particle)"
+query("j11_entry_hits", "WITH RECURSIVE lt AS (" + link_turns_sql() + f"), w AS (SELECT turn_id, lower(text) AS l, list_transform({O.tokens('text')}, lambda w: {O.lemma('w')}) AS ls FROM lt) SELECT DISTINCT turn_id, surface FROM w, {_entries} WHERE regexp_matches(l, '(^|[^{O.X}])' || surface || '([^{O.X}]|$)') OR list_contains(ls, lemma) OR (particle <> '' AND regexp_matches(l, '(^|[^{O.X}])' || split_part(surface, ' ', 1) || ' [^,]{{0,38}} ' || particle || '[.!?]*$'))")(lambda s, d: link.found_entries(S.clauses(link_turns(s, d)), link.entries(s)).select("turn_id", "surface").distinct())
 query("v03_link_errors", _lt + " SELECT count(*) FILTER (turn_id < 0) AS errors FROM lt")(lambda s, d: contract.validate_links(linked(s, d)["requests"], linked(s, d)["ranked"], match.actions(s)).agg(F.count("*").alias("errors")))
 _lo = f"lo AS (SELECT turn_id, lower(text) AS l FROM lt)"
 query("j09_interval_antijoin", _lt + f", {_lo} SELECT turn_id, surface, strpos(l, surface) - 1 AS first FROM lo, (VALUES ('the'), ('open the'), ('pen')) v(surface) WHERE contains(l, surface) AND (surface = 'the' OR (surface = 'pen' AND false))")(lambda s, d: _overlap(s, d))

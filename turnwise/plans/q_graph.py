@@ -66,6 +66,18 @@ def folder(spark: SparkSession) -> str:
     return _written[app]
 
 
+#: Files with names: folder and name, text.
+NAMED_FILES = {"inventory/drop.tres": "drop a thing", "inventory/give.tres": "give it", "physical/jump.tres": "jump", "physical/wave.tres": "wave é"}
+
+
+def named_files(spark: SparkSession) -> str:
+    """The folder of the named files, written for each use."""
+    path = scratch(spark, "named")
+    for name, text in NAMED_FILES.items():
+        S.put_file(spark, f"{path}/{name}", text)
+    return path
+
+
 def query(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = f
@@ -97,12 +109,17 @@ query("io07_sense_tags", f"SELECT split_part(k, '%', 1) AS word, off AS synset,
 _lemmas = lambda s: S.index(s, f"{folder(s)}/index.verb").select(F.col("word").alias("lemma")).distinct()
 _exc = values([(i, a, b) for i, (a, b) in enumerate(EXCEPTIONS)], "line, form, base")
 query("io08_exceptions", f"SELECT form, arg_min(base, line) AS base FROM {_exc} WHERE NOT regexp_matches(form, '[_-]') AND form NOT IN (SELECT word FROM {INDEX}) AND base IN (SELECT word FROM {INDEX}) GROUP BY form")(lambda s, d: G.first_bases(S.exceptions(s, f"{folder(s)}/verb.exc"), _lemmas(s)))
-query("io09_families", None)(lambda s, d: S.families(s, folder(s)).where(F.col("action").startswith("part-")).select("family").distinct())
+query("io09_families", f"SELECT DISTINCT action, family FROM {values([(f.split('/')[1].split('.')[0], f.split('/')[0]) for f in NAMED_FILES], 'action, family')}")(lambda s, d: S.families(s, named_files(s)))
 query("io10_table", f"SELECT action, off AS synset FROM {values(ANCHORS, 'action, off')}")(lambda s, d: S.table(s, f"{folder(s)}/roots.tsv", "action string, synset string"))
 query("io01_turn_source", "SELECT role, count(*) AS turns FROM conversations GROUP BY role")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.count("*").alias("turns")))
 query("io12_json_rows", "SELECT n_nationkey, CAST(to_json({'key': n_nationkey, 'name': n_name}) AS VARCHAR) AS json FROM nation")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", S.as_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("json")))
-query("io11_json_update", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k")).withColumn("k", F.col("k") + 1))
+_per_cent = lambda c: f"printf('%.2f', {c})"
+_quote = lambda sql: "chr(34) || " + sql + " || chr(34)"
+_candidate = "'{' || chr(34) || 'action' || chr(34) || ':' || " + _quote("'line ' || l_linenumber") + " || ',' || chr(34) || 'relation' || chr(34) || ':' || " + _quote("l_returnflag") + " || ',' || chr(34) || 'confidence' || chr(34) || ':' || " + _per_cent("l_discount") + " || ',' || chr(34) || 'role_compatibility' || chr(34) || ':' || " + _per_cent("l_tax") + " || '}'"
+query("io12_graph_entries", "SELECT 'order ' || o_orderkey AS surface, '{' || chr(34) || 'surface' || chr(34) || ':' || " + _quote("'order ' || o_orderkey") + " || ',' || chr(34) || 'lemma' || chr(34) || ':' || " + _quote("o_orderstatus") + " || ',' || chr(34) || 'particle' || chr(34) || ':' || chr(34) || chr(34) || ',' || chr(34) || 'candidates' || chr(34) || ':[' || coalesce(c, '') || ']}' AS json FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(" + _candidate + ", ',' ORDER BY round(l_discount, 2) DESC, 'line ' || l_linenumber, l_returnflag, round(l_tax, 2)) AS c FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")(lambda s, d: S.graph_entries(*_order_graph(s, d)))
+query("io11_json_update", "SELECT event_id, '{' || chr(34) || 'user' || chr(34) || ':' || CAST(user_id AS VARCHAR) || ',' || chr(34) || 'k' || chr(34) || ':' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR) || ',' || chr(34) || 'kind' || chr(34) || ':' || CAST(to_json(event_type) AS VARCHAR) || '}' AS json FROM events")(lambda s, d: _updated(s, d))
 query("io13_row_digest", "SELECT n_nationkey, sha256(n_name || ':' || CAST(n_regionkey AS VARCHAR)) AS digest FROM nation")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.sha2(F.concat_ws(":", "n_name", F.col("n_regionkey").cast("string")), 256).alias("digest")))
+query("io13_check", "SELECT * FROM (VALUES ('again', 'unchanged'), ('changed', 'DIFFERS'), ('fewer', 'DIFFERS')) v(what, state)")(lambda s, d: _checked(s, d))
 
 
 @query("io14_round_trip", "SELECT n_nationkey, n_name FROM nation")
@@ -113,8 +130,35 @@ def _round_trip(s, d):
     return s.read.schema("n_nationkey int, n_name string").json(path)
 
 
-query("io15_manifest", None)(lambda s, d: S.manifest(s, f"{folder(s)}/lexnames").where("name like 'part-%'").select("bytes", "sha256"))
-query("io16_text_sink", None)(lambda s, d: _text_sink(s, d))
+query("io15_manifest", f"SELECT name, octet_length(encode(text)) AS bytes, sha256(text) AS sha256 FROM {values([(f.split('/')[1], t) for f, t in NAMED_FILES.items()], 'name, text')}")(lambda s, d: S.manifest(s, named_files(s)))
+query("io16_text_sink", "SELECT n_name AS value FROM nation")(lambda s, d: _text_sink(s, d))
+
+
+def _updated(s, d):
+    """Two keys of a catalogue are set one after the other, one it has and one it lacks; the third stays as it is."""
+    props = F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit(","), F.expr("substring(props, 2)"))
+    k = F.from_json("props", "k long")["k"]
+    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", props.alias("json"), (k + 1).cast("string").alias("k"), F.to_json(F.array("event_type")).alias("kind"))
+    return rows.select("event_id", S.put_key(S.put_key(F.col("json"), "k", F.col("k")), "kind", F.expr("substring(kind, 2, length(kind) - 2)")).alias("json"))
+
+
+def _order_graph(s, d):
+    """Orders as entries, their lines as candidates: a graph as large as the tables."""
+    named = lambda c: F.concat(F.lit("order "), F.col(c).cast("string")).alias("surface")
+    entries = s.read.parquet(f"{d}/orders.parquet").select(named("o_orderkey"), F.col("o_orderstatus").alias("lemma"), F.lit("").alias("particle"))
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select(named("l_orderkey"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("action"), F.col("l_returnflag").alias("relation"), F.col("l_discount").alias("confidence"), F.col("l_tax").alias("role_compatibility"))
+    return entries, lines
+
+
+def _checked(s, d):
+    """A table against its own file, and against it with one value changed and one row less."""
+    rows = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    path = f"{folder(s)}/checked-{uuid.uuid4().hex}"
+    S.write_json(rows, path, "n_nationkey")
+    other = rows.withColumn("n_name", F.when(F.col("n_nationkey") == 3, "elsewhere").otherwise(F.col("n_name")))
+    cases = {"again": rows, "changed": other, "fewer": rows.where("n_nationkey <> 3")}
+    found = [S.checked(df, path).select(F.lit(what).alias("what"), "state") for what, df in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def _text_sink(s, d):
@@ -176,7 +220,6 @@ query("a09_coverage", f"SELECT count(*) AS nouns, count(*) FILTER (noun LIKE 're
 query("a10_branch_counts", f"SELECT dst AS parent, count(*) AS n FROM {EDGES} WHERE rel = '@' AND src NOT IN (SELECT off FROM {values(ANCHORS, 'action, off')}) GROUP BY dst")(lambda s, d: _edges(s).where("relation = '@'").join(_anchors(s).select(F.col("offset").alias("source")), "source", "left_anti").groupBy(F.col("target").alias("parent")).agg(F.count("*").alias("n")))
 query("r08_first_senses", f"SELECT noun, category FROM (SELECT *, row_number() OVER (PARTITION BY noun ORDER BY sense_rank, depth DESC, category) AS n FROM {_named}) WHERE n <= 3")(lambda s, d: s.createDataFrame(list(NAMED), "noun string, sense_rank int, depth int, category string").withColumn("n", F.row_number().over(Window.partitionBy("noun").orderBy("sense_rank", F.desc("depth"), "category"))).where("n <= 3").select("noun", "category"))
 query("r09_top_names", f"SELECT noun, n FROM {_top}")(lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("noun")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "noun").limit(20))
-query("r11_stable_order", "SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_size, p_partkey) AS parts FROM part WHERE p_size <= 2 GROUP BY p_brand")(lambda s, d: s.read.parquet(f"{d}/part.parquet").where("p_size <= 2").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_size", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("parts")))
 query("r11_stable_ordinals", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS ordinal FROM part")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", long(F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))).alias("ordinal")))
 _bad = ((0, 0, "open", "EQUIVALENT", 90), (1, 0, "", "EQUIVALENT", 90), (1, 1, "close", "SAME", 50), (2, 0, "jump", "ENABLES", 150))
 query("v02_graph_errors", "SELECT unnest(['candidate_action:1:0', 'candidate_relation:1:1', 'candidate_confidence:2:0', 'entry_surface:2']) AS error")(lambda s, d: contract.validate_graph(s.createDataFrame([(0, "open"), (1, "close"), (2, " ")], "i int, surface string"), s.createDataFrame(list(_bad), "i int, j int, action string, relation string, confidence int").withColumn("confidence", F.col("confidence") / 100)))

@@ -17,6 +17,8 @@ TEMPLATES = (
     ("indirect", "I need you to repair the {o}."), ("title", "Mr. Smith saw the {o}. Read the {p}."), ("leave", "Leave the {o} closed."), ("multiword", "Get rid of the {o}."), ("adverb", "Carefully clean the {o}."), ("future", "You will probably examine the {o}."), ("report", "Anna told you to open the {o}."), ("why", "Why don't you open the {o}?"),
     ("gerund", "Would you mind opening the {o}?"), ("shared", "Open and close the {o}."), ("nouns", "Open the {o} and the {p}."), ("bring", "Can you bring me the {o}?"),
     ("hedge", "Maybe you can open the {o}."), ("assuming", "Assuming it rains, close the {o}."), ("not_you", "Not you open the {o}."), ("not_now", "Open the {o}. Not now."),
+    ("told_of", "Sam opened the {o}."), ("noun_subject", "Open windows make the {o} cold."), ("complement", "Open the {o} and examine if the {p} moves."), ("resultative", "Break free."),
+    ("span_cut", "Open the {o} and write to Sam."), ("five", "High five!"), ("again", "Throw the {o}. Do 2 throws."), ("landing", "Throw the {o}. Do 2 throws, land on the {p}."),
 )
 
 def _expression(template: str, thing: str, other: str) -> str:

@@ -90,14 +90,59 @@ def write_json(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
 
 
-def fingerprint(df: DataFrame, *order: str) -> DataFrame:
-    """rows and sha256 of the ordered JSON lines: what a check compares instead of writing. The digest is that of the
-    rows' sorted digests, so that no row's text is gathered."""
-    each = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.select(each.alias("d")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("sha256"))
+def fingerprint(df: DataFrame) -> DataFrame:
+    """rows and sha256 of a table whatever its order: the digests of its rows' JSON are summed in parts, which any number
+    of tasks can do for their own rows."""
+    each = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("d"))
+    parts = [F.sum(F.conv(F.substring("d", k * 8 + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
+    return each.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *(F.coalesce(p, F.lit("0")) for p in parts)), 256).alias("sha256"))
+
+
+def checked(df: DataFrame, path: str) -> DataFrame:
+    """What a check does instead of writing: state ("unchanged" or "DIFFERS") and sha256 of df against the JSON lines at path."""
+    stored = fingerprint(df.sparkSession.read.schema(df.schema).json(path)).withColumn("new", F.lit(False))
+    both = fingerprint(df).withColumn("new", F.lit(True)).unionByName(stored)
+    same = (F.min("rows") == F.max("rows")) & (F.min("sha256") == F.max("sha256"))
+    return both.agg(F.when(same, "unchanged").otherwise("DIFFERS").alias("state"), F.max(F.when(F.col("new"), F.col("sha256"))).alias("sha256"))
+
+
+def put_key(catalogue: Column, key: str, value: Column) -> Column:
+    """A JSON object with one key set to a value (given as JSON text); all its other keys keep their places and values, a new
+    key comes last. What is no object becomes one of this key alone."""
+    known = F.coalesce(F.from_json(catalogue, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    new = F.parse_json(value)
+    return F.to_json(F.when(F.map_contains_key(known, key), F.transform_values(known, lambda k, v: F.when(k == key, new).otherwise(v))).otherwise(F.map_concat(known, F.create_map(F.lit(key), new))))
+
+
+def graph_entries(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """surface and json: an entry with its candidates in order, numbers with two places, as the graph's file has them.
+    entries: surface, lemma, particle; candidates: surface, action, relation, confidence, role_compatibility. What one surface
+    can mean is a short list."""
+    two = lambda c: F.col(c).cast("decimal(3,2)").alias(c)
+    each = candidates.select("surface", F.struct("action", "relation", two("confidence"), two("role_compatibility")).alias("c"))
+    rank = lambda c: F.struct((-c["confidence"]).alias("a"), c["action"].alias("b"), c.alias("c"))
+    lists = each.groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(rank(F.col("c")))), lambda x: x["c"]).alias("candidates"))
+    empty = F.array().cast(lists.schema["candidates"].dataType)
+    rows = entries.join(lists, "surface", "left").withColumn("candidates", F.coalesce("candidates", empty))
+    return rows.select("surface", F.to_json(F.struct("surface", "lemma", "particle", "candidates")).alias("json"))
+
+
+def write_graph(entries: DataFrame, candidates: DataFrame, path: str) -> None:
+    """The graph as one file, a line an entry, by surface: equal graphs give equal bytes."""
+    graph_entries(entries, candidates).orderBy("surface").coalesce(1).select("json").write.mode("overwrite").text(path)
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A file with a name of its own in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes and sha256 of each file under a folder."""
+    """name, bytes and sha256 of each file under a folder. Files without a byte are not listed: Spark reads none."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
