@@ -32,15 +32,25 @@ FOREIGN = -60.0
 USED = 0.01
 
 
+def _numbers(first: int, end: int) -> re.Pattern:
+    """Numbers that are word characters but neither letters nor digits (½, ², ①, Ⅳ): they part words."""
+    return re.compile("[" + "".join(c for c in map(chr, range(first, end)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 
-def _letters() -> str:
-    """A class of letters: word characters but the underscore, digits, and the numbers that are none (½, ², ①, Ⅳ)."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x32000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return rf"[^\W\d_{numbers}]"
 
+#: Two classes: the first is looked up in a table, which no class with code points beyond it is.
+NUMBER, FAR_NUMBER = _numbers(0x80, 0x10000), _numbers(0x10000, 0x32000)
+FAR = re.compile("[\U00010000-\U0010ffff]")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def parted(text: str) -> str:
+    """The text in lower case with a space for each such number: WORD finds its words of letters at their places."""
+    lower = text.lower()
+    if lower.isascii():
+        return lower
+    lower = NUMBER.sub(" ", lower)
+    return FAR_NUMBER.sub(" ", lower) if FAR.search(lower) else lower
 
-LETTER = _letters()
-WORD = re.compile(LETTER + "+")
 
 #: First code point of each range and its script; a range ends where the next begins.
 RANGES = (
@@ -123,7 +133,7 @@ def learn(docs: DataFrame, train: int = TRAIN) -> Model:
             langs, keys, counts = [], [], []
             words_of: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words_of.setdefault(lang, []).extend(WORD.findall(text.lower()))
+                words_of.setdefault(lang, []).extend(WORD.findall(parted(text)))
             for lang, words in words_of.items():
                 if words:
                     rows, _, script = grams(words)
@@ -163,7 +173,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, switch: float =
             ids: dict[str, int] = {}
             at, lengths = [], []
             for text in texts:
-                words = WORD.findall(text.lower()) if k else []
+                words = WORD.findall(parted(text)) if k else []
                 at += [ids.setdefault(w, len(ids)) for w in words]
                 lengths.append(len(words))
             counts, at = np.array(lengths, int), np.array(at, int)
@@ -191,7 +201,7 @@ def spans_of(texts: list[str], counts: np.ndarray, labels: np.ndarray, languages
     for text, n in zip(texts, counts, strict=True):
         own: list[dict] = []
         # positions are those of the lower-cased text, mapped back where lower() changes a text's length
-        lower = text.lower()
+        lower = parted(text)
         places = [m.span() for m in WORD.finditer(lower)] if n else []
         if len(lower) != len(text):
             back = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
