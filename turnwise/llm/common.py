@@ -31,10 +31,19 @@ def bounded(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost no recomputation."""
+#: Rows of a file of written(), where the number of rows is known.
+FILE_ROWS = 1 << 15
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, lost executors cost no recomputation.
+
+    rows: how many rows df may have. Its files then follow from that and not from the number of partitions: on a file system
+    without Hadoop's native library each file is several processes that the executor's JVM starts."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ def spread_parts(rows: DataFrame, side: DataFrame, key: str, total: int) -> list
     of them at most, since each has more than total / HOT rows. All others are joined by a shuffle, in which no key is hot."""
     limit = limit_of(total)
     if total > limit:
-        side = written(side, "side")
+        side = written(side, "side", total)
         if (side.agg(F.max("n")).first()[0] or 0) > limit:
             return _parts(rows, side, key, limit)
     return [rows.join(side.drop("n"), key)]
@@ -43,14 +43,14 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataF
     return reduce(DataFrame.unionByName, spread_parts(rows, side, key, total))
 
 
-def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot: int, total: int) -> DataFrame:
     """Large star: every larger neighbour of u is joined to the smallest node around u. Small star: u and its smaller
-    neighbours are. hot: how many edges make a node hot, 0 if no node is."""
+    neighbours are. hot: how many edges make a node hot, 0 if no node is; total: edges there are."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
     least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     if hot:
-        least = written(least, "least")
+        least = written(least, "least", 2 * total)
     near = reduce(DataFrame.unionByName, _parts(sides, least, "u", hot)) if hot else sides.join(least.drop("n"), "u")
     if large:
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -68,8 +68,8 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
         # a step gives no node more edges to smaller ones than it had edges
         limit = limit_of(2 * total)
         hot = limit if degree > limit else 0
-        stars = _star(now, True, hot)
-        now = written(_star(written(stars, "stars") if hot else stars, False, hot), "edges")
+        stars = _star(now, True, hot, total)
+        now = written(_star(written(stars, "stars", total) if hot else stars, False, hot, total), "edges", 2 * total)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -174,13 +174,14 @@ def in_buckets(dealt: DataFrame, near) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fingerprint, component_id, and the kept columns."""
     prints = written(fingerprints(docs, keep, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    total = prints.count()
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes", total)
     groups = components(links(nodes.select("fp"), radius))
     # the smallest document of each component of fingerprints, then back to fingerprints and documents
-    member = written(nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component")), "member")
+    member = written(nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component")), "member", total)
     least = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = written(spread_join(member, least, "component", member.count()).select("fp", "component_id", F.col("rows").alias("n")), "components")
-    return spread_join(prints, named, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    named = written(spread_join(member, least, "component", member.count()).select("fp", "component_id", F.col("rows").alias("n")), "components", total)
+    return spread_join(prints, named, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
 # Documents of a given similarity. Shingle sets that share four fifths differ in about ten of 64 fingerprint bits, which
@@ -230,21 +231,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     only where there is no other."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     every = written(sketches(keyed, shingle), "sketches")
-    found = written(every.groupBy("key").agg(F.first("size").alias("size"), F.first("segments").alias("segments"), F.count("*").alias("n")), "texts")
+    total = every.count()
+    found = written(every.groupBy("key").agg(F.first("size").alias("size"), F.first("segments").alias("segments"), F.count("*").alias("n")), "texts", total)
     edges = written(_candidates(found, similarity), "candidates")
-    near = written(components(edges).join(found.select(F.col("key").alias("node"), "size", F.col("n").alias("copies")), "node"), "near")
+    near = written(components(edges).join(found.select(F.col("key").alias("node"), "size", F.col("n").alias("copies")), "node"), "near", total)
     # one row of each text that is to be compared
     wanted = near.select(F.col("node").alias("key"), F.col("copies").alias("n"))
-    texts = reduce(DataFrame.unionByName, (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", every.count())))
+    texts = reduce(DataFrame.unionByName, (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", total)))
     sets = written(_shingle_sets(texts, shingle).withColumnRenamed("key", "node"), "sets")
     exact = _links(near, sets, edges, similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
     of = found.select("key", "n").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
-    named = written(spread_join(every.select("doc_id", "key"), of, "key", every.count()), "named")
+    named = written(spread_join(every.select("doc_id", "key"), of, "key", total), "named", total)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     one = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("one"), F.count("*").alias("n"))
-    return spread_join(named, one, "component", named.count()).select("doc_id", "component_id", "key", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))).alias("stays"))
+    return spread_join(named, one, "component", total).select("doc_id", "component_id", "key", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))).alias("stays"))
 
 
 def _candidates(found: DataFrame, similarity: float) -> DataFrame:
@@ -262,20 +264,20 @@ def _links(near: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float
     """u, v: links whose components are those of all similar texts. near: node, component (of candidates), size."""
     total = near.count()
     sizes = near.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).withColumn("few", (F.col("n") <= CLUSTER) & (F.col("weight") <= WEIGHT))
-    near = written(spread_join(near.select("node", "component", "size"), sizes.select("component", "n", "few"), "component", total), "sized")
+    near = written(spread_join(near.select("node", "component", "size"), sizes.select("component", "n", "few"), "component", total), "sized", total)
     compare = lambda met: _verified(met.join(sets, "node").select("component", "a", "b", "node", "shingles"), similarity)
     zero = F.lit(0).cast("long")
     out = compare(near.where("few").select("node", "component", zero.alias("a"), zero.alias("b")))
     many = near.where("not few").select("node", "component", "size")
     if not many.limit(1).count():
         return out
-    own = written(compare(_around(many, edges, total)), "own")
+    own = written(compare(_around(many, edges, total)), "own", 2 * total)
     family = components(own).select("node", F.col("component").alias("family"))
-    many = written(many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family")), "families")
+    many = written(many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family")), "families", total)
     kinds = many.groupBy("component").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("component", "n")
-    mixed = written(spread_join(many, kinds, "component", total), "mixed")
+    mixed = written(spread_join(many, kinds, "component", total), "mixed", total)
     parts = components(_sharing(mixed, sets, similarity)).select("node", F.col("component").alias("part"))
-    left = written(mixed.join(parts, "node").select("node", F.col("part").alias("component"), "size", "family"), "left")
+    left = written(mixed.join(parts, "node").select("node", F.col("part").alias("component"), "size", "family"), "left", total)
     return out.unionByName(own).unionByName(compare(_blocks(left, total)))
 
 
