@@ -62,3 +62,15 @@ def test_oracle(spark, name):
     want = con.execute(entry.oracle_sql()[name]).fetchdf()[list(got.columns)]
     rows = lambda d: sorted(map(repr, d.astype(object).values.tolist()))
     assert len(got) and rows(got) == rows(want)
+
+
+def test_requests_read_their_turns_once(spark):
+    from turnwise.operators import link, match
+    from turnwise.operators import segment as S
+    from turnwise.plans.q_frames import link_turns
+
+    asked = link.numbered(link.requests(S.clauses(link_turns(spark, str(DATA))), link.entries(spark), match.aliases(spark)))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    # dealt by turn before anything is worked out, and never again
+    assert plan.count("FileScan") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2  # the other one is of the registry

@@ -69,3 +69,18 @@ def test_acts_for_links(spark):
     df = spark.createDataFrame([(i, *a) for i, a in enumerate(ACTS)], "i int, lower string, act string, place int, surface string, want string")
     rows = df.withColumn("got", link.link_act(F.col("lower"), F.col("act"), F.col("place"), F.col("surface"))).collect()
     assert [(r["lower"], r["got"]) for r in rows] == [(r["lower"], r["want"]) for r in rows]
+
+
+def test_standing_entries_are_the_found_ones(spark):
+    from turnwise.operators import match
+    from turnwise.operators import segment as G
+
+    texts = ["Mop the floor up!", "mop up mop up.", "Mop, then, up the floor.", "Get rid of the open box, cooks hid it.", "", "Carving; carve the door and carry it"]
+    clauses = G.clauses(spark.createDataFrame(list(enumerate(texts)), "turn_id long, text string")).cache()
+    graph, registry = link.entries(spark, (*link.ENTRIES, ("open the", "open", ""), ("get of", "get", "of"))), match.aliases(spark)
+    rows = link.standing(clauses, graph, registry).collect()
+    got = {(r["turn_id"], r["clause_no"], *h) for r in rows for h in r["hits"]}
+    want = link.found_entries(clauses, graph).select("turn_id", "clause_no", "first", "end", "surface", "lemma", "particle", "entry_ord").collect()
+    assert len(rows) == clauses.count() and got == {tuple(r) for r in want} and len(got) > 8
+    direct = {(r["turn_id"], r["clause_no"], *d) for r in rows for d in r["direct"]}
+    assert direct == {tuple(r) for r in match.contiguous(clauses, registry).select("turn_id", "clause_no", "first", "end").collect()}

@@ -10,6 +10,7 @@ from turnwise.functions import morphology as M
 from turnwise.functions import text as X
 from turnwise.operators import classify as C
 from turnwise.operators import match
+from turnwise.operators.segment import words_of
 
 RELATIONS = ("EQUIVALENT", "SPECIALIZATION", "APPROXIMATE_EFFECT", "ENABLES", "ENTAILS", "CONFLICTS")
 STATUSES = ("INVALID", "AMBIGUOUS", "CANDIDATES", "NOT_NEEDED", "NO_LINK")
@@ -41,6 +42,16 @@ def phrase_words(c: Column) -> Column:
     return X.tokenize(c, L.LINK_SIGNS, None)
 
 
+def _apart(lower: Column, end: Column, particle: Column) -> Column:
+    """The particle follows the word that ends there, near enough, with no comma or conjunction between."""
+    rest = F.substring(lower, end + 1, F.length(lower))
+    sought = F.concat(F.lit(" "), particle, F.lit(" "))
+    gap = F.instr(F.concat(rest, F.lit(" ")), sought) - 1
+    gap = F.when(gap >= 0, gap).otherwise(F.instr(F.regexp_replace(rest, r"[.!?]+$", " "), sought) - 1)
+    between = F.substring(rest, F.lit(1), gap)
+    return (gap >= 1) & (gap < PARTICLE_WINDOW) & ~between.contains(",") & ~X.has_any_word(between, ["and", "then", "but", "or"])
+
+
 def found_entries(clauses: DataFrame, graph: DataFrame) -> DataFrame:
     """Where an entry stands in a clause: whole, with its particle apart, or by the lemma of a word."""
     grams = match.ngrams(clauses)
@@ -48,11 +59,7 @@ def found_entries(clauses: DataFrame, graph: DataFrame) -> DataFrame:
     lower = clauses.select("turn_id", "clause_no", F.lower("clause").alias("lower"))
     split = graph.where("particle != ''").withColumn("head", F.expr("substring(surface, 1, length(surface) - length(particle) - 1)"))
     apart = match.ngrams(clauses, 1).withColumnRenamed("surface", "head").join(match.small(split), "head").join(lower, ["turn_id", "clause_no"])
-    rest = F.substring("lower", F.col("end") + 1, F.length("lower"))
-    gap = F.instr(F.concat(rest, F.lit(" ")), F.concat(F.lit(" "), F.col("particle"), F.lit(" "))) - 1
-    gap = F.when(gap >= 0, gap).otherwise(F.instr(F.regexp_replace(rest, r"[.!?]+$", " "), F.concat(F.lit(" "), F.col("particle"), F.lit(" "))) - 1)
-    between = F.substring(rest, F.lit(1), gap)
-    apart = apart.where((gap >= 1) & (gap < PARTICLE_WINDOW) & ~between.contains(",") & ~X.has_any_word(between, ["and", "then", "but", "or"]))
+    apart = apart.where(_apart(F.col("lower"), F.col("end"), F.col("particle")))
     apart = apart.select("turn_id", "clause_no", "surface", "lemma", "particle", "entry_ord", "first", (F.col("first") + F.length("surface")).alias("end"))
     words = match.ngrams(clauses, 1).withColumn("lemma", M.lemma(F.col("surface"))).drop("surface", "end")
     byword = words.join(match.small(graph), "lemma").select("turn_id", "clause_no", "surface", "lemma", "particle", "entry_ord", "first", (F.col("first") + F.length("surface")).alias("end"))
@@ -87,24 +94,53 @@ def link_act(lower: Column, act: Column, place: Column, surface: Column) -> Colu
     return F.when(act != "request", F.when(act.isin("question", "fragment"), act).otherwise("statement")).when(told, "statement").when(stays, "request").otherwise("statement")
 
 
+def standing(clauses: DataFrame, graph: DataFrame, registry: DataFrame) -> DataFrame:
+    """clauses with direct (the intervals of the registry's surfaces in them) and hits (the entries that stand in them, as
+    found_entries has them). All words and runs are laid out in the row, joined once and put together where the rows are:
+    partitioned by turn_id, which is unique, nothing is shuffled."""
+    entry = F.struct("surface", "lemma", "particle", "entry_ord").alias("entry")
+    head = F.expr("substring(surface, 1, length(surface) - length(particle) - 1)")
+    row = lambda df, how, key, e=entry: df.select(F.lit(how == "lemma").alias("by_lemma"), F.lit(how).alias("how"), key.alias("key"), e)
+    # an entry of a registry surface is null
+    table = row(graph, "whole", F.col("surface")).unionByName(row(graph, "lemma", F.col("lemma"))).unionByName(row(graph.where("particle != ''"), "apart", head))
+    table = table.unionByName(row(registry.select("surface").distinct(), "direct", F.col("surface"), F.lit(None).cast(table.schema["entry"].dataType).alias("entry")))
+    d = X.once(clauses, low=F.lower("clause"), w=words_of(F.col("clause")))
+    w = F.col("w")
+    run = lambda n: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.struct(x["first"].alias("first"), F.get(w, i + (n - 1))["end"].alias("end"), F.lit(n).alias("n")))
+    lone = F.transform(w, lambda x: F.struct(x["first"].alias("first"), x["end"].alias("end"), F.lit(0).alias("n")))  # by its lemma
+    d = d.select(*clauses.columns, "low", F.posexplode_outer(F.concat(lone, *map(run, (1, 2, 3)))).alias("g_no", "g"))
+    word = F.substring("low", F.col("g.first") + 1, F.col("g.end") - F.col("g.first"))
+    by_lemma = F.coalesce(F.col("g.n") == 0, F.lit(False))
+    d = d.withColumn("by_lemma", by_lemma).withColumn("key", F.when(by_lemma, M.lemma(word)).otherwise(word)).join(match.small(table), ["by_lemma", "key"], "left")
+    # of what is no surface one row a clause is enough
+    d = d.where(F.col("how").isNotNull() | (F.coalesce("g_no", F.lit(0)) == 0))
+    apart = (F.col("g.n") == 1) & _apart(F.col("low"), F.col("g.end"), F.col("entry.particle"))
+    stands = F.col("entry").isNotNull() & ((F.col("how") != "apart") | F.coalesce(apart, F.lit(False)))
+    first = F.col("g.first")
+    hit = F.struct(first.alias("first"), (first + F.length("entry.surface")).alias("end"), F.col("entry.surface").alias("surface"), F.col("entry.lemma").alias("lemma"), F.col("entry.particle").alias("particle"), F.col("entry.entry_ord").alias("entry_ord"))
+    rest = [c for c in clauses.columns if c not in ("turn_id", "clause_no")]
+    return d.groupBy("turn_id", "clause_no").agg(*(F.first(c).alias(c) for c in rest), F.collect_list(F.when(F.col("how") == "direct", F.struct(first.alias("first"), F.col("g.end").alias("end")))).alias("direct"), F.collect_list(F.when(stands, hit)).alias("hits"))
+
+
 def requests(clauses: DataFrame, graph: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row a clause: the longest entry at its predicate, or its unknown verb; act and what keeps it from being done."""
-    c = C.with_roles(C.prepared(clauses).withColumn("speech_act", C.speech_act())).withColumnRenamed("speech_act", "act")
+    """One row a clause: the longest entry at its predicate, or its unknown verb; act and what keeps it from being done.
+    clauses: those of by_turn(turns), so that no task gets more turns than its share."""
+    c = C.with_roles(C.prepared(standing(clauses, graph, registry)).withColumn("speech_act", C.speech_act())).withColumnRenamed("speech_act", "act")
     # the place of the predicate: that of its word's first whole standing
     word = C.at(F.col("tokens"), F.col("predicate"))
-    c = c.withColumn("predicate_at", F.when(F.col("predicate") >= 0, whole_at(F.lower("clause"), word)).otherwise(-1))
-    hits = without_overlap(found_entries(clauses, graph), match.contiguous(clauses, registry))
-    best = hits.groupBy("turn_id", "clause_no", "first").agg(F.max_by(F.struct("surface", "lemma", "particle"), F.struct(F.length("surface"), -F.col("entry_ord"))).alias("e"))
-    c = c.join(best, (c["turn_id"] == best["turn_id"]) & (c["clause_no"] == best["clause_no"]) & (c["predicate_at"] == best["first"]), "left").select(c["*"], "e")
-    direct = match.contiguous(clauses, registry).select("turn_id", "clause_no").distinct().withColumn("direct", F.lit(True))
-    c = c.join(direct, ["turn_id", "clause_no"], "left")
-    lower = F.lower("clause")
+    c = X.once(c, low=F.lower("clause"), predicate_at=F.when(F.col("predicate") >= 0, whole_at(F.lower("clause"), word)).otherwise(-1), act=F.col("act"), predicate_lemma=F.col("predicate_lemma"), predicate_surface=F.col("predicate_surface"), object=F.col("object"))
+    free = lambda h: ~F.exists("direct", lambda d: (h["first"] < d["end"]) & (d["first"] < h["end"]))
+    own = F.filter("hits", lambda h: (h["first"] == F.col("predicate_at")) & free(h))
+    best = F.array_max(F.transform(own, lambda h: F.struct(F.length(h["surface"]).alias("n"), (-h["entry_ord"]).alias("ord"), h["surface"].alias("surface"), h["lemma"].alias("lemma"), h["particle"].alias("particle"))))
+    c = X.once(c, e=best)
+    lower = F.col("low")
     known = F.col("e").isNotNull()
     place = F.when(known, F.col("predicate_at")).otherwise(whole_at(lower, F.col("predicate_lemma")))
-    act = link_act(X.strip_edges(lower), F.col("act"), place, F.col("predicate_surface"))
+    c = X.once(c, place=place)
+    act = link_act(X.strip_edges(lower), F.col("act"), F.col("place"), F.col("predicate_surface"))
     negated = C.negated(F.col("tokens")) | X.starts_any(lower, ("do not ", "don't ", "never "))
     return c.select(
-        "turn_id", "clause_no", "clause", "start_index", "end_index", known.alias("known"), F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("e.surface", "predicate_lemma").alias("surface"), F.coalesce("e.lemma", "predicate_lemma").alias("lemma"), F.coalesce("e.particle", F.lit("")).alias("particle"),
+        "turn_id", "clause_no", "clause", "start_index", "end_index", known.alias("known"), (F.size("direct") > 0).alias("direct"), F.coalesce("e.surface", "predicate_lemma").alias("surface"), F.coalesce("e.lemma", "predicate_lemma").alias("lemma"), F.coalesce("e.particle", F.lit("")).alias("particle"),
         act.alias("speech_act"), F.col("act").alias("clause_act"), negated.alias("negated"), (known & X.is_quoted(F.col("clause"), F.col("predicate_at"))).alias("quoted"), X.is_reported(F.col("clause")).alias("reported"), "predicate_at", "object",
     )
 

@@ -10,6 +10,7 @@ from turnwise.functions import text as X
 from turnwise.operators import classify as C
 from turnwise.operators import frames, link, match
 from turnwise.operators.segment import clauses, split_clauses
+from turnwise.sources.tables import by_turn
 
 
 def limits(turns: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def packets(spark: SparkSession, turns: DataFrame) -> DataFrame:
 
 def linked(spark: SparkSession, turns: DataFrame) -> dict[str, DataFrame]:
     """requests, ranked candidates, filtered codes and the status of each turn."""
-    c = clauses(turns)
+    c = clauses(by_turn(turns))
     asked = link.requests(c, link.entries(spark), match.aliases(spark))
     ranked, lacking = link.proposals(asked, link.candidates(spark), match.actions(spark))
     return {"requests": link.numbered(asked), "ranked": ranked, "filtered": lacking, "status": link.link_status(asked, ranked)}

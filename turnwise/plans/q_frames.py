@@ -12,7 +12,7 @@ from turnwise.operators import segment as S
 from turnwise.plans import analysis
 from turnwise.plans import oracle as O
 from turnwise.plans.turns import turns
-from turnwise.sources.tables import Step
+from turnwise.sources.tables import Step, by_turn
 from turnwise.streaming import dialogue
 
 QUERIES, ORACLE = {}, {}
@@ -243,7 +243,7 @@ def link_turns_sql() -> str:
 
 def link_turns(s, d):
     s.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("turnwise_part")
-    return s.sql(link_turns_sql().replace("FROM part", "FROM turnwise_part"))
+    return by_turn(s.sql(link_turns_sql().replace("FROM part", "FROM turnwise_part")))
 
 
 requests = Step("requests", lambda s, d: link.numbered(link.requests(S.clauses(link_turns(s, d)), link.entries(s), match.aliases(s))))

@@ -15,6 +15,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def by_turn(turns: DataFrame) -> DataFrame:
+    """turns dealt by turn_id over the shuffle partitions: a file's rows can all be in one row group, which is one task
+    whatever the number of partitions read."""
+    n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return turns.repartition(n, "turn_id")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
