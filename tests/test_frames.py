@@ -114,3 +114,20 @@ def test_late_surfaces_split(spark, monkeypatch):
     monkeypatch.setattr(match, "BROADCAST_ROWS", 3)
     turns = spark.createDataFrame([(1, "Open the gate and wave.")], "turn_id long, text string")
     assert [r["action"] for r in analysis.compiled(spark, turns).sort("frame_no").collect()] == ["open", "wave"]
+
+
+def test_fold_goes_on_from_batch_to_batch(spark):
+    """Rows of many conversations, an open question in each, in batches of two; no call for each conversation."""
+    n = 50
+    rows = [(c, t, 10 * c + t, "lamp" if t == 2 else "", None if t == 1 else False, "open" if t == 0 else "", False, False) for c in range(n) for t in (2, 0, 1)]
+    rows += [(None, t, -t, "lamp" if t == 2 else "", False, "give" if t == 1 else "", False, False) for t in (2, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, turn_id long, answer string, asks_again boolean, opens string, closes boolean, conditional boolean").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        folded = dialogue.fold(df)
+        assert "InPandas" not in folded._jdf.queryExecution().executedPlan().toString()
+        got = {r["turn_id"]: (r["resolved"], r["frame_type"], r["action"], r["object"], r["pending"]) for r in folded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {10 * c + t: w for c in range(n) for t, w in enumerate([(False, "", "", "", "open"), (False, "", "", "", "open"), (True, "world_action", "open", "lamp", "")])}
+    assert got == want | {-1: (False, "", "", "", "give"), -2: (True, "inventory_action", "give", "lamp", "")}
