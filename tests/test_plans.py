@@ -74,3 +74,16 @@ def test_requests_read_their_turns_once(spark):
     # dealt by turn before anything is worked out, and never again
     assert plan.count("FileScan") == 1 and plan.count("REPARTITION_BY_NUM") == 1
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2  # the other one is of the registry
+
+
+def test_columns_worked_out_once_are_compiled(spark):
+    """Lambdas stand in projections: a generator that holds one is interpreted with all that stands in it."""
+    from pyspark.sql import functions as F
+
+    from turnwise.functions import text as X
+
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "i int, t string")
+    got = X.once(df, t=F.upper("t"), n=F.size(F.transform(F.split("t", " "), lambda w: F.concat(w, F.lit("!")))))
+    made = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate " in line]
+    assert made and not any("lambda" in line or "array(" in line for line in made)
+    assert [tuple(r) for r in got.sort("i").collect()] == [(1, "A B", 2), (2, "", 1), (3, None, None if df.selectExpr("size(cast(null as array<int>)) n").first()["n"] is None else -1)]

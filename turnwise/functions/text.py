@@ -12,9 +12,11 @@ EDGE = r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++$"
 
 def once(d: DataFrame, **columns: Column) -> DataFrame:
     """d with the columns, each worked out once a row however often it is used: expressions are copied into each of their
-    uses, but not through a generator."""
+    uses, but not through a generator. They are worked out in a projection below it, as compiled code: a generator whose
+    own expressions hold a lambda is interpreted. (The outer form, as Spark infers a filter on the other one's input.)"""
     kept = [c for c in d.columns if c not in columns]
-    return d.select(*kept, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__once")).select(*kept, "__once.*")
+    made = d.select(*kept, F.array(F.struct(*(c.alias(k) for k, c in columns.items()))).alias("__made"))
+    return made.select(*kept, F.explode_outer("__made").alias("__once")).select(*kept, "__once.*")
 
 
 def let(value: Column, use) -> Column:
