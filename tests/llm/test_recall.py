@@ -63,3 +63,37 @@ def test_links_just_above_and_below(docs_of):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(rows)).select("doc_id", F.col("component_id")).collect()}
     apart = sum(want[k * 10] != want[k * 10 + 3] for k in range(120))
     assert links > 150 and apart > 20 and got == want
+
+
+def test_texts_that_are_not_compared_stay_where_they_are(spark, docs_of):
+    """With sides too large for a broadcast, only the texts of candidates are shuffled."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"{draw.randrange(1 << 40):x}" for _ in range(2000))) for i in range(150)]
+    rows.append((150, rows[0][1] + " once more"))
+    docs = docs_of(rows)
+    docs.count()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    conf, kept = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    source = docs.select("doc_id", "text").write
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/stay-where-they-are"
+    source.mode("overwrite").parquet(path)
+    spark.conf.set(conf, "-1")
+    try:
+        before = moved()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.read.parquet(path)).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        shuffled = moved() - before
+    finally:
+        spark.conf.set(conf, kept)
+    assert got == {i: 0 if i == 150 else i for i in range(151)}
+    assert shuffled < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_sifted_rows_keep_every_key(spark):
+    rows = spark.range(-20_000, 20_000)
+    side = rows.where("id % 40 = 0")
+    got = simhash.sifted(rows, side, "id", 1000)
+    assert got.columns == ["id"] and got.where("id % 40 = 0").count() == 1000
+    assert got.count() < 6000

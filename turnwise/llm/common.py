@@ -59,6 +59,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sifted(rows: DataFrame, side: DataFrame, key: str, n: int) -> DataFrame:
+    """rows without most of those whose key is not among the n keys of side, so that a join that follows shuffles little
+    else. A bit map, 16 bits a key but no larger than BROADCAST_BYTES as a broadcast side, is looked up where the rows are;
+    with more keys it lets more of the other rows through."""
+    words = max(1, min(n // 4, BROADCAST_BYTES // (ROW_BYTES + 16)))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * words).cast("long"))
+    found = side.select(place.alias("p")).selectExpr("shiftright(p, 6) AS __word", "shiftleft(1L, CAST(p & 63 AS INT)) AS __bit")
+    marks = found.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = rows.withColumn("__p", place).withColumn("__word", F.expr("shiftright(__p, 6)")).join(F.broadcast(marks), "__word")
+    return held.where("shiftright(__bits, CAST(__p & 63 AS INT)) & 1 = 1").select(*rows.columns)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about limit bytes of the text column (one row at least)."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import UPPER, as_bytes, map_batches, map_texts, written
+from turnwise.llm.common import UPPER, as_bytes, map_batches, map_texts, sifted, written
 from turnwise.llm.components import components, spread_join, spread_parts
 
 SHINGLE = 4
@@ -235,11 +235,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     found = written(every.groupBy("key").agg(F.first("size").alias("size"), F.first("segments").alias("segments"), F.count("*").alias("n")), "texts", total)
     edges = written(_candidates(found, similarity), "candidates")
     near = written(components(edges).join(found.select(F.col("key").alias("node"), "size", F.col("n").alias("copies")), "node"), "near", total)
-    # one row of each text that is to be compared
-    wanted = near.select(F.col("node").alias("key"), F.col("copies").alias("n"))
-    texts = reduce(DataFrame.unionByName, (x.dropDuplicates(["key"]) for x in spread_parts(keyed.select("key", "text"), wanted, "key", total)))
+    # one row of each text that is to be compared; most others are not shuffled
+    wanted = _placed(near, edges).withColumnRenamed("node", "key").withColumnRenamed("copies", "n")
+    some = sifted(keyed.select("key", "text"), wanted, "key", wanted.count())
+    texts = reduce(DataFrame.unionByName, (x.dropDuplicates(["key"]) for x in spread_parts(some, wanted, "key", total)))
     sets = written(_shingle_sets(texts, shingle).withColumnRenamed("key", "node"), "sets")
-    exact = _links(near, sets, edges, similarity)
+    exact = _links(sets, similarity)
     empty = found.where("size = 0").select(F.lit(0).cast("long").alias("u"), F.col("key").alias("v"))
     groups = components(exact.unionByName(empty))
     of = found.select("key", "n").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
@@ -260,25 +261,38 @@ def _candidates(found: DataFrame, similarity: float) -> DataFrame:
     return spread_join(dealt, least, "bucket", 6 * SEGMENTS * found.count()).where("u != v").groupBy("u", "v").agg(F.count("*").alias("votes"))
 
 
-def _links(near: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links whose components are those of all similar texts. near: node, component (of candidates), size."""
+def _placed(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """near (node, component of candidates, size, copies) with few, whether its component is compared in one task, and at,
+    the (component, a, b) in which it is compared first: so sets of shingles are dealt there without a join."""
     total = near.count()
     sizes = near.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).withColumn("few", (F.col("n") <= CLUSTER) & (F.col("weight") <= WEIGHT))
-    near = written(spread_join(near.select("node", "component", "size"), sizes.select("component", "n", "few"), "component", total), "sized", total)
-    compare = lambda met: _verified(met.join(sets, "node").select("component", "a", "b", "node", "shingles"), similarity)
+    near = written(spread_join(near.select("node", "component", "size", "copies"), sizes.select("component", "n", "few"), "component", total), "sized", total)
     zero = F.lit(0).cast("long")
-    out = compare(near.where("few").select("node", "component", zero.alias("a"), zero.alias("b")))
-    many = near.where("not few").select("node", "component", "size")
+    few = near.where("few").withColumn("at", F.array(F.struct("component", zero.alias("a"), zero.alias("b"))))
+    many = near.where("not few")
     if not many.limit(1).count():
+        return few
+    around = _around(many.select("node", "component", "size"), edges, total).groupBy("node").agg(F.collect_list(F.struct("component", "a", "b")).alias("at"))
+    return written(few.unionByName(many.join(around, "node", "left").select(*few.columns)), "placed", total)
+
+
+def _links(sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links whose components are those of all similar texts. sets: those of _placed() with their shingles."""
+    compare = lambda s: _verified(s.select(F.explode("at").alias("p"), "node", "shingles").select("p.*", "node", "shingles"), similarity)
+    out = compare(sets.where("few"))
+    many = sets.where("not few").select("node", "component", "size")
+    total = many.count()
+    if not total:
         return out
-    own = written(compare(_around(many, edges, total)), "own", 2 * total)
+    own = written(compare(sets.where("not few")), "own", 2 * total)
     family = components(own).select("node", F.col("component").alias("family"))
     many = written(many.join(family, "node", "left").select("node", "component", "size", F.coalesce("family", "node").alias("family")), "families", total)
     kinds = many.groupBy("component").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("component", "n")
     mixed = written(spread_join(many, kinds, "component", total), "mixed", total)
     parts = components(_sharing(mixed, sets, similarity)).select("node", F.col("component").alias("part"))
     left = written(mixed.join(parts, "node").select("node", F.col("part").alias("component"), "size", "family"), "left", total)
-    return out.unionByName(own).unionByName(compare(_blocks(left, total)))
+    met = _blocks(left, total).join(sets.select("node", "shingles"), "node").select("component", "a", "b", "node", "shingles")
+    return out.unionByName(own).unionByName(_verified(met, similarity))
 
 
 def _around(many: DataFrame, edges: DataFrame, total: int) -> DataFrame:
@@ -294,14 +308,17 @@ def _around(many: DataFrame, edges: DataFrame, total: int) -> DataFrame:
 
 def _sharing(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """u, v: edges that connect texts of one component that share one of their rarest shingles, where texts of different
-    families do. How rare a shingle is, is counted in its component."""
-    held = mixed.join(sets, "node").select("node", "family", "size", "component", F.explode("shingles").alias("s")).select("node", "family", "size", F.xxhash64("component", "s").alias("g"))
-    held = written(held, "held")
-    counts = held.groupBy("g").agg(F.count("*").alias("n"))
+    families do. How rare a shingle is, is counted in its component. Shingles of one text are only counted: they come
+    first, and connect nothing."""
+    # few components: each has over CLUSTER texts or WEIGHT shingles
+    held = sets.where("not few").join(F.broadcast(mixed.select("component").distinct()), "component")
+    held = written(held.select("node", "component", F.explode("shingles").alias("s")).select("node", F.xxhash64("component", "s").alias("g")), "held")
+    counts = held.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     some = spread_join(held, counts.withColumn("rows", F.col("n")), "g", held.count())
+    shared = some.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rows", "g"))).alias("all")).join(mixed.select("node", "family", "size"), "node")
     first = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
-    rare = some.groupBy("node").agg(F.first("family").alias("family"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("rows", "g"))).alias("all"))
-    rare = rare.select("node", "family", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.rows > 1").select("node", "family", "x.g")
+    alone = F.col("size").cast("int") - F.size("all")
+    rare = shared.select("node", "family", F.explode(F.slice("all", F.lit(1), F.greatest(first - alone, F.lit(0)))).alias("x")).select("node", "family", "x.g")
     rare = written(rare, "rare")
     groups = rare.groupBy("g").agg(F.min("node").alias("u"), F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).where("x != y").select("g", "u", "n")
     return spread_join(rare, groups, "g", rare.count()).select("u", F.col("node").alias("v"))
@@ -327,17 +344,18 @@ def _blocks(left: DataFrame, total: int) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """key and shingles, the distinct 64-bit hashes."""
+    """key, shingles (the distinct 64-bit hashes), and what else texts have but the text."""
+    names = [c for c in texts.columns if c not in ("key", "text")]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in as_bytes(batch.column("text"))]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))), *(batch.column(c) for c in names)], ["key", "shingles", *names])
 
         return step
 
-    return map_texts(texts, make, "key long, shingles array<long>")
+    return map_texts(texts, make, "key long, shingles array<long>" + "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in names))
 
 
 def _verified(met: DataFrame, similarity: float) -> DataFrame:
