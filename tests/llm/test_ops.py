@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from turnwise.llm import bpe, components, decontaminate, gbt, html_extract, language_id, license_scan, quality, simhash, suffix_dedup, url_filter, warc
+from turnwise.llm import bpe, components, decontaminate, gbt, html_extract, language_id, license_scan, quality, queries, simhash, suffix_dedup, url_filter, warc
 
 P = pytest.importorskip("public_tokenizers")
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -298,6 +298,33 @@ def test_whole_characters(docs_of):
     assert {bytes(r["kept"]).decode() for r in found} == {"xy", "üz"}
 
 
+@pytest.mark.parametrize(("length", "passage", "group"), [(40, 20, 16_384), (60, 16, 2), (30, 30, 16_384)])
+def test_repeats_and_passages(docs_of, length, passage, group):
+    random.seed(passage)
+    base = ["".join(random.choice("abc é") for _ in range(random.randint(0, 150))) for _ in range(40)]
+    texts = ["".join(b[s : s + random.randint(0, 80)] for b in random.choices(base, k=random.randint(0, 4)) for s in [random.randint(0, len(b))]) for _ in range(90)]
+    texts += ["xyz " + "the " * random.randint(5, 30) + "of " * random.randint(0, 20) for _ in range(10)] + ["a" * 100, "", None]
+    texts[5] = texts[6]
+    rows = [*enumerate(texts), (0, texts[0])]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats_and_passages(docs_of(rows), length, passage, group)).collect()
+    want = suffix_dedup.remove_repeats(docs_of(rows), passage, whole=True).collect()
+    strings = [(t or "").encode() for _, t in rows]
+    assert Counter(tuple(r)[:5] for r in got) == Counter((i, *w) for (i, _), w in zip(rows, _repeats(strings, length), strict=True))
+    assert Counter((r["doc_id"], r["n_in_passages"], r["without_passages"]) for r in got) == Counter((r["row"]["doc_id"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"]).decode()) for r in want)
+
+
+def test_op6_names_passages_shorter_than_its_strings(spark, tmp_path):
+    words = ["".join(random.Random(i).choice("abcdefghij") for _ in range(5)) for i in range(200)]
+    shared = " ".join(words[:55])
+    assert suffix_dedup.PASSAGE <= len(shared) < suffix_dedup.LENGTH
+    rows = [(1, f"alpha {shared} omega"), (2, f"first {shared} last"), (3, " ".join(words[80:190]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 0, 0] and [got[i]["text"] for i in (1, 2, 3)] == [t for _, t in rows]
+    assert [got[i]["n_in_passages"] for i in (1, 2, 3)] == [len(shared) + 2, len(shared) + 2, 0]
+    assert [got[i]["without_passages"] for i in (1, 2, 3)] == ["alphaomega", "firstlast", rows[2][1]]
+
+
 def test_suffix_dedup_empty(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([(1, "x")]).where("false")).count() == 0
 

@@ -38,7 +38,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats_and_passages(table(spark, sf_dir, "documents")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

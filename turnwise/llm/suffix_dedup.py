@@ -17,6 +17,8 @@ A byte is removed if a string of LENGTH bytes that covers it also starts anywher
 4. Anchors with more than GROUP distinct contexts don't fit one task. Their LENGTH-byte strings are hashed and counted in
    Spark, key by key, which gives the same strings.
 
+Two lengths at once (remove_repeats_and_passages): the shorter is searched in all texts, the longer only in what that covers.
+
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than LENGTH are kept; repeated rows
 are repeats of each other; further columns are carried by remove_repeats() whatever their names.
 """
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import as_bytes, map_batches, map_texts, small_batches, written
+from turnwise.llm.common import as_bytes, map_batches, map_texts, sifted, small_batches, written
 
 LENGTH = 400
 GROUP = 16_384
@@ -352,16 +354,24 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return single.unionByName(reached.where("whole").select("k1", "k2", (place - F.col("left")).alias("first"), (place + seed + F.col("right")).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, whole: bool = False) -> DataFrame:
-    """row (a struct of docs' columns but text), n_bytes, kept (the bytes left) and spans (array<struct<first, end>> of
-    byte places). whole: spans shrink to whole characters, and kept is their text."""
-    spark = docs.sparkSession
-    if length < 16:
-        raise ValueError("length must be 16 bytes or more")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """k1, k2, text and row, a struct of the other columns. Rows of the same doc_id and text share their keys."""
     names = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*names).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row"), F.col("text").cast("string").alias("text"))
     own = F.col("row.doc_id").cast("string") if "doc_id" in names else F.lit("")
-    keyed = packed.select(F.xxhash64(own).alias("k1"), F.xxhash64("text").alias("k2"), "text", "row")
+    return packed.select(F.xxhash64(own).alias("k1"), F.xxhash64("text").alias("k2"), "text", "row")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return keyed.repartition(n, "k1", "k2")
+
+
+def _repeated(keyed: DataFrame, dealt: DataFrame, length: int, group: int) -> DataFrame:
+    """k1, k2 and spans, the spans of a text's bytes under strings that are repeated; they may overlap. dealt: keyed by its
+    keys."""
+    if length < 16:
+        raise ValueError("length must be 16 bytes or more")
     found = written(_anchors(keyed, length), "anchors")
     local, anchors = found.where("place < 0").select("k1", "k2", "first", F.col("last").alias("end")), found.where("place >= 0")
     classes = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
@@ -369,31 +379,95 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, wh
     wanted = written(classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes"), "classes")
     copies = anchors.join(wanted.where("n > 1").select("anchor", "context"), ["anchor", "context"]).where(F.col("last") - F.col("first") >= length).select("k1", "k2", "first", F.col("last").alias("end"))
     probes = wanted.where("classes > 1").select("one.*", "anchor", "classes")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keyed.repartition(n, "k1", "k2")  # the text is shuffled once and read for the contexts and for the result
     spans = _merged(_contexts(dealt, probes.where(F.col("classes") <= group), length), length, group)
     hot = probes.where(F.col("classes") > group)
     if hot.limit(1).count():
         spans = spans.unionByName(_counted(written(_contexts(keyed, hot, length), "hot"), length))
-    marks = spans.unionByName(copies).unionByName(local).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    pieces = dealt.join(marks, ["k1", "k2"], "left")
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<first: int, end: int>>"
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    return _gathered(spans.unionByName(copies).unionByName(local))
+
+
+def _gathered(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    cuts = [0, *(x for s in spans for x in s), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def _shrunk(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [x for s in spans for x in [within_characters(raw, *s)] if x[0] < x[1]]
+
+
+def _joined(column: pa.Array) -> list[list[tuple[int, int]]]:
+    return [joined((s["first"], s["end"]) for s in found or ()) for found in column.to_pylist()]
+
+
+KEPT = "n_bytes long, kept binary, spans array<struct<first: int, end: int>>"
+_SPAN_LIST = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
+
+def _as_spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"first": a, "end": b} for a, b in own] for own in spans], _SPAN_LIST)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, whole: bool = False) -> DataFrame:
+    """row (a struct of docs' columns but text), n_bytes, kept (the bytes left) and spans (array<struct<first, end>> of
+    byte places). whole: spans shrink to whole characters, and kept is their text."""
+    keyed = _keyed(docs)
+    dealt = _dealt(keyed)  # the text is shuffled once and read for the contexts and for the result
+    pieces = dealt.join(_repeated(keyed, dealt, length, group), ["k1", "k2"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            texts = as_bytes(batch.column("text"))
+            spans = [_shrunk(raw, own) if whole else own for raw, own in zip(texts, _joined(batch.column("spans")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(map(len, texts), pa.int64()), pa.array(map(_without, texts, spans), pa.binary()), _as_spans(spans)], ["row", "n_bytes", "kept", "spans"])
+
+    return map_batches(pieces.select("k1", "k2", "row", "text", "spans"), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}")
+
+
+#: Bytes of a passage: under fifty words of any of the languages served.
+PASSAGE = 200
+
+
+def remove_repeats_and_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
+    """What remove_repeats(docs, length) returns, and n_in_passages and without_passages: the bytes of whole characters
+    under repeated strings of passage bytes, and the text without them. passage is at most length.
+
+    Any passage bytes of a repeated string are repeated, so strings of length bytes stand in the joined spans of the
+    passages, each whole in one: only these stretches, as texts of their own, are searched for them."""
+    if passage > length:
+        raise ValueError("passage must not be longer than length")
+    keyed = _keyed(docs)
+    short = written(_repeated(keyed, _dealt(keyed), passage, group), "passages")
+    far = short.where(F.array_max("spans.end") - F.array_min("spans.first") >= length)
+    texts = sifted(keyed.select("k1", "k2", "text"), far, "k2", far.count()).join(far, ["k1", "k2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            found = zip(as_bytes(batch.column("text")), _joined(batch.column("spans")), strict=True)
+            rows = [(i, a, raw[a:b]) for i, (raw, spans) in enumerate(found) for a, b in spans if b - a >= length]
+            take = pa.array([i for i, _, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(take), batch.column("k2").take(take), pa.array([a for _, a, _ in rows], pa.int32()), pa.array([t for _, _, t in rows], pa.binary())], ["k1", "k2", "base", "text"])
+
+    parts = written(map_batches(texts.select("k1", "k2", "text", "spans"), cut, "k1 long, k2 long, base int, text binary").withColumn("part", F.xxhash64("k2", "base")), "parts")
+    alone = parts.select("k1", F.col("part").alias("k2"), "text")
+    inside = _repeated(alone, _dealt(alone), length, group).select("k1", F.col("k2").alias("part"), F.explode("spans").alias("s"))
+    inside = inside.join(parts.select("k1", "part", "k2", "base").distinct(), ["k1", "part"])
+    long = _gathered(inside.select("k1", "k2", (F.col("base") + F.col("s.first")).alias("first"), (F.col("base") + F.col("s.end")).alias("end")))
+    pieces = _dealt(keyed).join(short.withColumnRenamed("spans", "passages").join(long, ["k1", "k2"], "left"), ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            sizes, kept, out = [], [], []
-            for raw, found in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                own = joined((s["first"], s["end"]) for s in found or ())
-                if whole:
-                    own = [x for s in own for x in [within_characters(raw, *s)] if x[0] < x[1]]
-                cuts = [0, *(x for s in own for x in s), len(raw)]
-                sizes.append(len(raw))
-                kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
-                out.append([{"first": a, "end": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(out, kind)], ["row", "n_bytes", "kept", "spans"])
+            texts = as_bytes(batch.column("text"))
+            spans = _joined(batch.column("spans"))
+            passages = [_shrunk(raw, own) for raw, own in zip(texts, _joined(batch.column("passages")), strict=True)]
+            columns = [batch.column("row"), pa.array(map(len, texts), pa.int64()), pa.array(map(_without, texts, spans), pa.binary()), _as_spans(spans)]
+            columns += [pa.array([sum(b - a for a, b in own) for own in passages], pa.int64()), pa.array(map(_without, texts, passages), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "n_bytes", "kept", "spans", "n_in_passages", "without_passages"])
 
-    return map_batches(pieces.select("k1", "k2", "row", "text", "spans"), run, schema)
+    return map_batches(pieces.select("k1", "k2", "row", "text", "passages", "spans"), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}, n_in_passages long, without_passages binary")
 
 
 def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:
@@ -407,6 +481,8 @@ def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:
 
 def digest(found: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text, the bytes left as a string; characters that
-    a cut has split come out as U+FFFD there."""
+    a cut has split come out as U+FFFD there. n_in_passages and without_passages follow where found has them."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["first"]))
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    text = lambda c: F.make_valid_utf8(F.col(c).cast("string"))
+    more = ["n_in_passages", text("without_passages").alias("without_passages")] if "without_passages" in found.columns else []
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text("kept").alias("text"), *more)
