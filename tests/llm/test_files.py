@@ -1,8 +1,10 @@
 """Tables between the steps: their files follow from their rows, not from the number of partitions."""
 
+from collections import Counter
+
 import pytest
 
-from turnwise.llm import common, components, simhash
+from turnwise.llm import common, components, simhash, suffix_dedup
 
 
 @pytest.fixture
@@ -51,3 +53,29 @@ def test_rows_of_a_file(spark):
     made = common.written(spark.range(0, 3 * common.FILE_ROWS + 1, 1, 16), "made", 3 * common.FILE_ROWS + 1)
     assert len(made.inputFiles()) == 4 and made.count() == made.distinct().count() == 3 * common.FILE_ROWS + 1
     assert common.written(spark.range(0).repartition(5), "none", 0).count() == 0
+
+
+def test_suffix_dedup(spark, docs_of, many_parts, monkeypatch):
+    found = []
+
+    def counted(df, name, *rows):
+        out = common.written(df, name, *rows)
+        found.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    passage = " ".join(f"passage{i}" for i in range(60))
+    rows = [(i, f"{i * 7919} begins {passage[: 300 + i]} and ends {i * 104729}") for i in range(90)]
+    docs = docs_of(rows, 20)
+    got = suffix_dedup.remove_repeats(docs, 200, whole=True)
+    twice = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    want = {}
+    for k, t in rows:
+        ends = [i for i in range(len(t) - 199) if twice[t[i : i + 200]] > 1]
+        gone = {j for i in ends for j in range(i, i + 200)}
+        want[k] = "".join(c for j, c in enumerate(t) if j not in gone)
+    assert {r["row"]["doc_id"]: bytes(r["kept"]).decode() for r in got.collect()} == want
+    few = 20 // common.TOGETHER
+    assert got.rdd.getNumPartitions() <= few and suffix_dedup.remove_repeats_and_passages(docs).rdd.getNumPartitions() <= few
+    assert {"anchors", "classes"} <= {name for name, _ in found} and all(n <= few for name, n in found if name in ("anchors", "classes"))

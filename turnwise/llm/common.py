@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Shuffle partitions that fewer() gives to one task.
+TOGETHER = 4
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """df with several of its partitions in one task, one after another, and at least as many tasks as cores. For results with
+    large rows: of a file for each partition every one starts three processes (see written()), and while such a process starts
+    it shares the memory of its JVM, which counts twice until then."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, spark.sparkContext.defaultParallelism, n // TOGETHER))
+
+
 #: Bytes of a side that small() broadcasts, and what a row of numbers takes beside them.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 32
 

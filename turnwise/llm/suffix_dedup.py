@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import as_bytes, map_batches, map_texts, sifted, small_batches, written
+from turnwise.llm.common import as_bytes, fewer, map_batches, map_texts, sifted, small_batches, written
 
 LENGTH = 400
 GROUP = 16_384
@@ -372,11 +372,11 @@ def _repeated(keyed: DataFrame, dealt: DataFrame, length: int, group: int) -> Da
     keys."""
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
-    found = written(_anchors(keyed, length), "anchors")
+    found = written(_anchors(fewer(keyed), length), "anchors")
     local, anchors = found.where("place < 0").select("k1", "k2", "first", F.col("last").alias("end")), found.where("place >= 0")
     classes = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     totals = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1").drop("total")
-    wanted = written(classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes"), "classes")
+    wanted = written(fewer(classes.join(totals, "anchor").select("anchor", "context", "n", "one", "classes")), "classes")
     copies = anchors.join(wanted.where("n > 1").select("anchor", "context"), ["anchor", "context"]).where(F.col("last") - F.col("first") >= length).select("k1", "k2", "first", F.col("last").alias("end"))
     probes = wanted.where("classes > 1").select("one.*", "anchor", "classes")
     spans = _merged(_contexts(dealt, probes.where(F.col("classes") <= group), length), length, group)
@@ -424,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, wh
             spans = [_shrunk(raw, own) if whole else own for raw, own in zip(texts, _joined(batch.column("spans")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(map(len, texts), pa.int64()), pa.array(map(_without, texts, spans), pa.binary()), _as_spans(spans)], ["row", "n_bytes", "kept", "spans"])
 
-    return map_batches(pieces.select("k1", "k2", "row", "text", "spans"), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}")
+    return map_batches(fewer(pieces.select("k1", "k2", "row", "text", "spans")), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}")
 
 
 #: Bytes of a passage: under fifty words of any of the languages served.
@@ -467,7 +467,7 @@ def remove_repeats_and_passages(docs: DataFrame, length: int = LENGTH, passage:
             columns += [pa.array([sum(b - a for a, b in own) for own in passages], pa.int64()), pa.array(map(_without, texts, passages), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "n_bytes", "kept", "spans", "n_in_passages", "without_passages"])
 
-    return map_batches(pieces.select("k1", "k2", "row", "text", "passages", "spans"), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}, n_in_passages long, without_passages binary")
+    return map_batches(fewer(pieces.select("k1", "k2", "row", "text", "passages", "spans")), run, f"row {keyed.schema['row'].dataType.simpleString()}, {KEPT}, n_in_passages long, without_passages binary")
 
 
 def within_characters(raw: bytes, first: int, end: int) -> tuple[int, int]:
